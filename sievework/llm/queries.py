@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup
+from . import bpe, neardup, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts and the digest of what is left of every document after substring deduplication."""
+    out = substring.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text for every document."""
     out = bpe.encode_decode(documents(spark, sf_dir))
@@ -25,6 +31,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_neardup": op5_neardup,
+    "op7_substring": op7_substring,
     "op10_bpe": op10_bpe,
 }
 
