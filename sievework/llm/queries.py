@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, substring
+from . import bpe, decontam, langid, neardup, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where("doc_id is not null and not held_out"))
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return neardup.near_duplicates(documents(spark, sf_dir))
@@ -23,6 +30,11 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items contained in documents."""
+    return decontam.find_contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text for every document."""
     out = bpe.encode_decode(documents(spark, sf_dir))
@@ -30,8 +42,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op5_neardup": op5_neardup,
     "op7_substring": op7_substring,
+    "op9_decontam": op9_decontam,
     "op10_bpe": op10_bpe,
 }
 
