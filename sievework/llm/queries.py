@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, substring
+from . import bpe, decontam, html, langid, neardup, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    source = pages.select(F.struct("page_id", "url").alias("key"), "html")
+    return html.extract(source, id_col="key").select("key.page_id", "key.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return neardup.near_duplicates(documents(spark, sf_dir))
@@ -43,6 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_html": op2_html,
     "op5_neardup": op5_neardup,
     "op7_substring": op7_substring,
     "op9_decontam": op9_decontam,
