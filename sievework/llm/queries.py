@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, langid, neardup, substring
+from . import bpe, decontam, html, langid, neardup, quality, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdict for every document."""
+    return quality.rate(documents(spark, sf_dir))
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items contained in documents."""
     return decontam.find_contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
@@ -53,8 +58,11 @@ QUERIES = {
     "op2_html": op2_html,
     "op5_neardup": op5_neardup,
     "op7_substring": op7_substring,
+    "op8_quality": op8_quality,
     "op9_decontam": op9_decontam,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_quality": quality.ORACLE,
+}
