@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, langid, neardup, quality, substring
+from . import bpe, decontam, html, langid, license, lmscore, neardup, quality, substring, urlfilter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +26,30 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(source, id_col="key").select("key.page_id", "key.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document, with those labelled as good for the target."""
+    wanted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return lmscore.score(documents(spark, sf_dir), wanted)
+
+
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest, licence and licence notices of every document."""
+    return license.scan(documents(spark, sf_dir))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the lists as they stood when it was fetched. The table has no time of fetch: page_id stands
+    for it, as the day of 2024 that it is modulo 366."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    day = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(page_id % 366 as int))").cast("timestamp")
+    return urlfilter.evaluate(pages.withColumn("fetched", day), urlfilter.listed_entries(spark))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word counts and the digest of what is left of every document after substring deduplication."""
     out = substring.remove_repeats(documents(spark, sf_dir))
@@ -56,7 +75,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_html": op2_html,
+    "op3_lmscore": op3_lmscore,
+    "op4_license": op4_license,
     "op5_neardup": op5_neardup,
+    "op6_urlfilter": op6_urlfilter,
     "op7_substring": op7_substring,
     "op8_quality": op8_quality,
     "op9_decontam": op9_decontam,
@@ -64,5 +86,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_urlfilter": urlfilter.ORACLE,
     "op8_quality": quality.ORACLE,
 }
