@@ -1,0 +1,219 @@
+"""Rule scans: text rules as expressions, and the catalogue of C and C++ rules over masked text."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sievework.functions.lexical import call_arguments, function_spans, mask
+from sievework.functions.text import severity_rank
+
+
+@dataclass(frozen=True)
+class Rule:
+    id: str
+    cwe: str
+    severity: str
+    pattern: str
+    issue: str = ""
+    #: sees string literals
+    strings: bool = False
+    #: name of a further test on the match
+    confirm: str = ""
+
+
+#: Rules for plain text and markup; their patterns mean the same to Java, Python and RE2.
+TEXT_RULES = [
+    Rule("secret_literal", "CWE-798", "high", r"(token|secret|password|api_key) *= *\"[^\"]+\"", "A secret is written out."),
+    Rule("card_number", "CWE-359", "high", r"(^|[^0-9])[0-9]{16}([^0-9]|$)", "A number of 16 digits may be a payment card."),
+    Rule("mail_address", "CWE-359", "medium", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]+", "A mail address identifies a person."),
+    Rule("hex_digest", "CWE-312", "medium", r"[0-9a-f]{40}", "A hexadecimal string of 40 digits may be a key."),
+    Rule("script_element", "CWE-79", "medium", r"<script", "A script element runs code."),
+    Rule("ip_address", "CWE-200", "low", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "An IP address is disclosed."),
+    Rule("shouting", "CWE-1099", "low", r"[A-Z]{4,}!!", "Words are shouted."),
+    Rule("symbol_noise", "CWE-1099", "info", r"(###|%%%|&&&|\$\$\$)", "Symbols stand in for text."),
+    Rule("licence_line", "CWE-1053", "info", r"[Ll]icensed under", "A licence is named."),
+]
+
+
+def _call(names: str) -> str:
+    """A call of one of the names that is neither a member nor part of a longer name."""
+    return rf"(?<![\w.>:])(?:std::|::)?(?:{names})\s*\("
+
+
+#: The catalogue, in order of priority.
+CODE_RULES = [
+    Rule("gets", "CWE-242", "critical", _call("gets")),
+    Rule("system", "CWE-78", "high", _call("system")),
+    Rule("popen", "CWE-78", "high", _call("_?popen")),
+    Rule("strcpy", "CWE-120", "high", _call("strcpy")),
+    Rule("strcat", "CWE-120", "high", _call("strcat")),
+    Rule("sprintf", "CWE-120", "high", _call("sprintf")),
+    Rule("scanf_percent_s", "CWE-120", "high", _call("scanf") + r"\s*\"[^\"\n]{0,200}%s", strings=True),
+    Rule("memcpy", "CWE-120", "medium", _call("memcpy"), confirm="unsized_copy"),
+    Rule("memmove", "CWE-120", "medium", _call("memmove"), confirm="unsized_copy"),
+    Rule("alloca", "CWE-770", "medium", _call("_?alloca")),
+    Rule("reinterpret_cast", "CWE-704", "medium", r"\breinterpret_cast\s*<"),
+    Rule("const_cast", "CWE-704", "low", r"\bconst_cast\s*<"),
+    Rule("printf_format_string", "CWE-134", "high", _call("printf") + r"\s*[A-Za-z_]\w*\s*\)"),
+    Rule("fprintf_format_string", "CWE-134", "high", _call("fprintf|dprintf|syslog") + r"[^,()\n]{1,120},\s*[A-Za-z_]\w*\s*\)"),
+    Rule("snprintf_format_string", "CWE-134", "high", _call("snprintf") + r"[^,\n]{1,120},[^,\n]{1,120},\s*[A-Za-z_]\w*\s*[,)]"),
+    Rule("hardcoded_credentials", "CWE-798", "high", r"(?i)\b\w{0,40}(?:passw(?:or)?d|passwd|secret|api_?key|token)\w{0,40}\s*(?:\[[^\]\n]{0,20}\])?\s*=\s*\"[^\"\n]{1,200}\"", strings=True),
+    Rule("vsprintf_unbounded", "CWE-120", "high", _call("vsprintf")),
+    Rule("wcscpy_wcscat", "CWE-120", "high", _call("wcscpy|wcscat")),
+    Rule("stpcpy_unbounded", "CWE-120", "high", _call("stpcpy")),
+    Rule("bcopy_legacy", "CWE-120", "medium", _call("bcopy")),
+    Rule("getwd_unbounded", "CWE-120", "high", _call("getwd")),
+    Rule("realpath_fixed_buf", "CWE-120", "medium", _call("realpath") + r"[^,()\n]{1,120},\s*(?!NULL\b|nullptr\b|0\s*\))\S"),
+    Rule("scanf_family_unbounded", "CWE-120", "high", _call("[fs]scanf") + r"[^,\n]{1,120},\s*\"[^\"\n]{0,200}%[s\[]", strings=True),
+    Rule("malloc_strlen_no_nul", "CWE-131", "medium", _call("malloc") + r"\s*strlen\s*\([^()\n]{1,120}\)\s*\)"),
+    Rule("alloc_mul_overflow", "CWE-190", "high", _call("malloc") + r"[^;\n]{0,120}\w\)?\s*\*\s*\(?\w"),
+    Rule("realloc_mul_overflow", "CWE-190", "high", _call("realloc") + r"[^,;\n]{1,120},[^;\n]{0,120}\w\)?\s*\*\s*\(?\w"),
+    Rule("new_array_mul_overflow", "CWE-190", "high", r"\bnew\s+[\w:<>]{1,60}\s*\[[^\]\n]{0,120}\w\s*\*\s*\w"),
+    Rule("memcpy_mul_len_overflow", "CWE-190", "high", _call("memcpy|memmove") + r"[^,;\n]{1,120},[^,;\n]{1,120},[^;\n]{0,120}\w\)?\s*\*\s*\(?\w"),
+    Rule("alloc_size_underflow", "CWE-191", "medium", _call("malloc") + r"[^;\n]{0,120}\w\)?\s*-\s*\(?\w"),
+    Rule("alloc_size_from_atoi", "CWE-789", "high", _call("malloc|calloc|realloc|alloca") + r"[^;\n]{0,120}\bato(?:i|l|ll)\s*\("),
+    Rule("exec_path_search", "CWE-426", "high", _call("execlp|execvp|execvpe|posix_spawnp")),
+    Rule("dlopen_untrusted_lib", "CWE-426", "low", _call("dlopen")),
+    Rule("weak_crypto_primitive", "CWE-327", "medium", r"\b(?:MD[245]|SHA1|DES|RC[24])_?(?:Init|Update|Final|set_key\w*|ecb_encrypt|cbc_encrypt|ncbc_encrypt)?\s*\("),
+    Rule("unix_crypt_weak_hash", "CWE-327", "low", _call("crypt")),
+    Rule("ecb_mode_cipher", "CWE-327", "medium", r"\bEVP_\w{1,40}_ecb\b"),
+    Rule("insecure_prng", "CWE-330", "low", _call("rand|srand|random|drand48|rand_r")),
+    Rule("insecure_secret_comparison", "CWE-208", "medium", r"(?i)" + _call("strcmp|strncmp|memcmp") + r"[^;\n]{0,80}\b\w{0,40}(?:passw|secret|token|hmac|digest|mac|key)\w{0,40}"),
+    Rule("world_writable_perms", "CWE-732", "high", _call("chmod|fchmod|open|creat|mkdir") + r"[^;\n]{0,120}\b0[0-7]{2}[2367]\b"),
+    Rule("insecure_temp_file", "CWE-377", "medium", _call("mktemp|tmpnam|tempnam")),
+    Rule("access_toctou", "CWE-367", "medium", _call("access")),
+    Rule("setuid_privilege_change", "CWE-273", "low", _call("set(?:e|re|res)?[ug]id")),
+    Rule("new_delete_mismatch", "CWE-762", "high", r"\bdelete\s+(?!\[)(?P<name>[A-Za-z_]\w*)", confirm="made_as_array"),
+    Rule("free_then_use", "CWE-416", "high", _call("free") + r"\s*(?P<name>[A-Za-z_]\w*)\s*\)", confirm="used_after"),
+    Rule("double_free", "CWE-415", "high", _call("free") + r"\s*(?P<name>[A-Za-z_]\w*)\s*\)", confirm="freed_again"),
+    Rule("use_after_move", "CWE-672", "medium", r"\bstd::move\s*\(\s*(?P<name>[A-Za-z_]\w*)\s*\)", confirm="used_after"),
+    Rule("dangling_cstr", "CWE-416", "medium", r"\b(?P<name>[A-Za-z_]\w*)\s*=\s*[^;=\n]{1,120}\)\s*\.\s*c_str\s*\(\s*\)", confirm="used_after"),
+    Rule("string_view_temporary", "CWE-416", "medium", r"\bstring_view\s+\w{1,60}\s*(?:=|\{|\()\s*(?:std::)?(?:string\s*\(|to_string\s*\()"),
+    Rule("iterator_invalidation", "CWE-672", "medium", r"\bfor\s*\([^;{}\n]{1,120}:\s*(?P<name>[A-Za-z_]\w*)\s*\)", confirm="grown_inside"),
+    Rule("vprintf_format", "CWE-134", "high", _call("vprintf|vfprintf|vsyslog") + r"(?:[^,()\n]{1,120},)?\s*[A-Za-z_]\w*\s*,"),
+    Rule("strncpy_no_nul", "CWE-170", "medium", _call("strncpy") + r"\s*(?P<name>[A-Za-z_]\w*)", confirm="never_ended"),
+    Rule("malloc_no_null_check", "CWE-476", "medium", r"\b(?P<name>[A-Za-z_]\w*)\s*=\s*(?:\([^()\n]{1,60}\)\s*)?(?:m|c|re)alloc\s*\(", confirm="never_checked"),
+    Rule("strtok_nonreentrant", "CWE-676", "low", _call("strtok")),
+]
+_COMPILED = [(r, re.compile(r.pattern)) for r in CODE_RULES]
+
+
+def _rest(code: str, m: re.Match) -> str:
+    """What follows the statement of a match, up to where its name is set anew."""
+    end = code.find(";", m.end())
+    rest = code[end + 1 :] if end >= 0 else ""
+    again = re.search(rf"\b{re.escape(m['name'])}\s*=[^=]", rest)
+    return rest[: again.start()] if again else rest
+
+
+def _unsized_copy(code, raw, m):
+    args = _arguments_at(code, m.end())
+    return not (args and len(args) == 3 and re.fullmatch(rf"sizeof\s*\(?\s*\*?\s*{re.escape(args[0])}\s*\)?", args[2]))
+
+
+def _arguments_at(code: str, at: int) -> list[str] | None:
+    depth = 1
+    for i in range(at, min(len(code), at + 2000)):
+        depth += (code[i] == "(") - (code[i] == ")")
+        if not depth:
+            return call_arguments(code[at:i])
+    return None
+
+
+CONFIRM = {
+    "unsized_copy": _unsized_copy,
+    "made_as_array": lambda code, raw, m: bool(re.search(rf"\b{m['name']}\s*=\s*new\s+[\w:<>]{{1,60}}\s*\[", code[: m.start()])),
+    "used_after": lambda code, raw, m: bool(re.search(rf"(?<!free\()(?<!delete )\b{m['name']}\b", re.sub(rf"\bfree\s*\(\s*{m['name']}\s*\)", "", _rest(code, m)))),
+    "freed_again": lambda code, raw, m: bool(re.search(rf"\bfree\s*\(\s*{m['name']}\s*\)", _rest(code, m))),
+    "grown_inside": lambda code, raw, m: bool(re.search(rf"\b{m['name']}\s*\.\s*(?:push_back|emplace_back|insert|erase|clear|resize)\s*\(", _block_after(code, m.end()))),
+    "never_ended": lambda code, raw, m: not re.search(rf"\b{m['name']}\s*\[[^\]\n]{{1,80}}\]\s*=\s*(?:'\\0'|0|L'\\0')", raw[m.end() :]),
+    "never_checked": lambda code, raw, m: not re.search(rf"(?:!\s*{m['name']}\b|\b{m['name']}\s*[=!]=\s*(?:NULL|nullptr|0)\b|(?:NULL|nullptr)\s*[=!]=\s*{m['name']}\b|\bif\s*\(\s*{m['name']}\s*\)|\bassert\s*\(\s*{m['name']}\b)", code[m.end() :]),
+}
+
+
+def _block_after(code: str, at: int) -> str:
+    begin = code.find("{", at)
+    if begin < 0 or code[at:begin].strip():
+        return code[at : code.find(";", at) + 1]
+    depth = 0
+    for i in range(begin, len(code)):
+        depth += (code[i] == "{") - (code[i] == "}")
+        if not depth:
+            return code[begin:i]
+    return code[begin:]
+
+
+SUPPRESS = re.compile(r"scan:ignore(?:\[([^\]\n]*)\])?")
+
+
+def scan_code(text: str) -> list[tuple[str, int]]:
+    """(rule, line from 1) of every rule that matches, once a line, in the catalogue's order within a line.
+
+    A line with `scan:ignore` is left out, one with `scan:ignore[a, b]` for these rules.
+    """
+    bare, with_strings = mask(text), mask(text, keep_strings=True)
+    ignored: dict[int, set[str] | None] = {}
+    for n, line in enumerate(text.split("\n"), 1):
+        if "scan:ignore" in line and (m := SUPPRESS.search(line)):
+            ignored[n] = {x.strip() for x in m[1].split(",") if x.strip()} or None if m[1] else None
+    found = set()
+    for order, (rule, pattern) in enumerate(_COMPILED):
+        code = with_strings if rule.strings else bare
+        for m in pattern.finditer(code):
+            line = code.count("\n", 0, m.start()) + 1
+            if (line, order) in found or line in ignored and (ignored[line] is None or rule.id in ignored[line]):
+                continue
+            if not rule.confirm or CONFIRM[rule.confirm](code, with_strings, m):
+                found.add((line, order))
+    return [(CODE_RULES[order].id, line) for line, order in sorted(found)]
+
+
+def scan_files(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, start_line, end_line, rule, cwe, severity, line): each file's functions, and what is left between them, by rule and line."""
+    source = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
+    meta = {r.id: (r.cwe, r.severity) for r in CODE_RULES}
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not t:
+                    continue
+                spans = function_spans(t)
+                for rule, line in scan_code(t):
+                    a, b = next(((a + 1, b) for a, b in spans if a < line <= b), (line, line))
+                    rows.append((p, a, b, rule, *meta[rule], line))
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["path", "start_line", "end_line", "rule", "cwe", "severity", "line"])
+
+    return source.mapInArrow(run, "path string, start_line int, end_line int, rule string, cwe string, severity string, line int")
+
+
+def scan_lines(lines: DataFrame, rules: list[Rule] = TEXT_RULES) -> DataFrame:
+    """``lines`` (with a column line) by matching rule: rule, ord (priority), cwe, severity, issue. The rules are constants of
+    one expression, so no join is needed and matching stays in generated code. Suppression markers are honoured."""
+    marker = F.regexp_extract("line", r"scan:ignore(?:\[([^\]]*)\])?", 0)
+    named = F.transform(F.split(F.regexp_extract("line", r"scan:ignore\[([^\]]*)\]", 1), ","), lambda x: F.trim(x))
+    hits = F.array(*[F.when(F.col("line").rlike(r.pattern), F.struct(F.lit(i).alias("ord"), F.lit(r.id).alias("rule"), F.lit(r.cwe).alias("cwe"), F.lit(r.severity).alias("severity"), F.lit(r.issue).alias("issue"))) for i, r in enumerate(rules)])
+    kept = F.filter(hits, lambda h: h.isNotNull() & ((F.col("marker") == "") | (F.col("marker").contains("[") & ~F.array_contains(F.col("named"), h["rule"]))))
+    rows = lines.withColumn("marker", marker).withColumn("named", named)
+    return rows.select(*lines.columns, F.explode(kept).alias("hit")).select(*lines.columns, "hit.*")
+
+
+def primary_rule(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rules that hit, per key: the most severe (unknown counts as medium), the first of equals; with all rules and texts in order."""
+    rank = severity_rank(F.col("severity"), 2)
+    best = F.max_by(F.struct("rule", "cwe", "severity", "ord"), F.struct(rank, -F.col("ord")))
+    ordered = F.array_sort(F.collect_set(F.struct("ord", "rule", "issue")))
+    out = hits.groupBy(*keys).agg(best.alias("best"), ordered.alias("all"))
+    return out.select(*keys, F.col("best.rule").alias("rule"), F.col("best.cwe").alias("cwe"), F.col("best.severity").alias("severity"), F.array_join(F.col("all.rule"), ",").alias("rules"), F.array_join(F.array_distinct(F.col("all.issue")), " ").alias("text"))
+
+
+def at_least(severity: Column, floor: str) -> Column:
+    """Severity floor: unknown names count as info."""
+    return severity_rank(severity, 0) >= severity_rank(F.lit(floor))
