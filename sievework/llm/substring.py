@@ -335,15 +335,17 @@ def _cut(batches):
                 np.add.at(mask, np.minimum(behind, len(own)), -1)
                 left.append(own[np.cumsum(mask[:-1]) == 0].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, end - row), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(left, pa.binary()).cast(pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_words", "text"],
+                [batch.column(0).slice(row, end - row), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(left, pa.binary()).cast(pa.string()), batch.column(3).slice(row, end - row)],
+                ["doc_id", "n_words", "n_removed", "kept_words", "text", "carried"],
             )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_words (binary, joined by one space) and the text without the removed words."""
-    docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    spans = repeated_spans(docs)
-    schema = T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept_words binary, text string")
-    out = _with_parts(docs, spans, "left").select("doc_id", "text", "parts").mapInArrow(_cut, schema)
-    return out.withColumnRenamed("doc_id", id_col)
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_words (binary, joined by one space), the text without the removed words, and
+    the columns named in ``carry`` as they are."""
+    carry = carry or []
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    spans = repeated_spans(source.select("doc_id", "text"))
+    schema = T.StructType([*T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept_words binary, text string").fields, source.schema["carried"]])
+    out = _with_parts(source, spans, "left").select("doc_id", "text", "parts", "carried").mapInArrow(_cut, schema)
+    return out.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept_words", "text", *[F.col(f"carried.{c}") for c in carry])
