@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from sievework.plans import datasets, reviews, scan, scores, spans  # noqa: F401  (each registers its queries)
+from sievework.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -128,6 +128,8 @@ def _is_signature(head: str) -> bool:
     if close <= 0 or depth:
         return False
     tail = head[close:]
+    if re.match(r"\s*:(?!:)", tail) and re.search(r"[\w>]\s*$", tail):
+        return False  # a member initialised in braces: the body is still to come
     return not re.match(r"\s*=", tail) and not re.search(r"[^=!<>]=[^=]", re.sub(r"\{[^{}]*\}", "", tail.split(":", 1)[0]))
 
 

@@ -95,14 +95,14 @@ def stratified(df: DataFrame, group: str, label: str, order: list[str], quotas:
     return rows.groupBy("one").applyInPandas(fold, StructType(kept))
 
 
-def budget_pick(df: DataFrame, digest: Column, tie: list[str], size: str, pair: str, label: str, max_rows: int, max_bytes: int, max_share: float = 0.62) -> DataFrame:
+def budget_pick(df: DataFrame, digest: Column, tie: list[str], size: str, pair: str, label: str, max_rows: int, max_bytes: int, max_share: float = 0.62, reach: int = 8) -> DataFrame:
     """Greedy within row and byte budgets, in the order of a hash: whole pairs first, then single rows as long as no label
     has more than ``max_share`` of what is picked. What does not fit is skipped and costs nothing, so a running sum will not
-    do. Only rows that could be among the picked reach the fold: the first ``8 * max_rows`` pairs and singles each.
+    do. The fold considers the first ``reach * max_rows`` pairs and as many singles, which bounds it; a unit further back is not picked.
     """
     units = df.withColumn("digest", digest).groupBy(pair).agg(F.min("digest").alias("digest"), F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n"), F.max(label).alias("top"), F.min(pair).alias("unit"))
     units = units.where(F.col("bytes") <= max_bytes)
-    chosen = units.where("n > 1").orderBy("digest", "unit").limit(8 * max_rows).unionByName(units.where("n = 1").orderBy("digest", "unit").limit(8 * max_rows)).withColumn("one", F.lit(1))
+    chosen = units.where("n > 1").orderBy("digest", "unit").limit(reach * max_rows).unionByName(units.where("n = 1").orderBy("digest", "unit").limit(reach * max_rows)).withColumn("one", F.lit(1))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = used = 0

@@ -93,7 +93,7 @@ def diff_lines(patches: DataFrame, key: list[str], patch: str) -> DataFrame:
     # what follows the last line break of the patch is no line of the file
     last = F.max("line_no").over(Window.partitionBy(*key))
     lines = lines.withColumn("last", last)
-    return lines.where("new_side and not (line_no = last and line = '')").select(*key, F.col("line_at").alias("line"))
+    return lines.where("new_side and not (line_no = last and line = '')").select(*key, F.col("line_at").cast("int").alias("line"))
 
 
 def commentable_lines(findings: DataFrame, diff: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +23,19 @@ def decode_dropping(content: pd.Series) -> pd.Series:
 
 
 def list_sources(spark: SparkSession, path: str, endings: tuple[str, ...] = SOURCE_ENDINGS, exclude: str | None = None) -> DataFrame:
-    """(path, text) of a tree's source files by ending, in any case; globs of ``exclude`` are tested before a file is read."""
+    """(path, text) of a tree's source files by ending, in any case; a glob to ``exclude`` is tested on the relative path, before a file is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     wanted = F.lower("path").rlike(r"\.(?:" + "|".join(e.replace("+", r"\+") for e in endings) + ")$")
     if exclude:
-        wanted = wanted & ~F.col("path").rlike(glob_pattern(exclude))
+        relative = F.regexp_replace("path", "^.*?" + re.escape(path.split(":", 1)[-1].rstrip("/")) + "/", "")
+        wanted = wanted & ~relative.rlike(glob_pattern(exclude))
     return files.where(wanted).select("path", decode_dropping("content").alias("text"))
 
 
 def glob_pattern(glob: str) -> str:
     """A pattern for a file glob whose * also crosses /."""
     special = {"*": ".*", "?": "."}
-    return "(?s)(?:^|/)" + "".join(special.get(c) or ("\\" + c if c in r".+()|^$\{}" else c) for c in glob) + "$"
+    return "(?s)^" + "".join(special.get(c) or ("\\" + c if c in r".+()|^$\{}" else c) for c in glob) + "$"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
