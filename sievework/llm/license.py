@@ -57,6 +57,7 @@ SPELLINGS = {
     "signalling": "signaling",
     "sub licence": "sublicense",
     "sub license": "sublicense",
+    "sublicence": "sublicense",
     "utilisation": "utilization",
     "whilst": "while",
     "wilful": "willful",
@@ -109,7 +110,8 @@ NOTICES = {
     "SPDX-License-Identifier: MIT": "MIT",
     "This file is in the public domain": "public-domain",
 }
-COPYRIGHT_LINE = r"(?im)^[ \t*#/;%!-]*(?:copyright\b|\(c\)|©|all rights reserved).*$"
+#: Statements only: a wrapped line may well begin with the words `copyright notice` or with a list's `(c)`.
+COPYRIGHT_LINE = r"(?im)^[ \t*#/;%!-]*(?:copyright[ \t]*(?:\(c\)|©|:|[0-9]{4}|<|\[|by\b)|\(c\)[ \t]*(?:copyright\b|[0-9]{4})|©|all rights reserved).*$"
 
 
 def canonical(text: Column) -> Column:
