@@ -50,7 +50,7 @@ def test_estimates_are_closer_than_independent_minima():
         both = np.concatenate([pool[:400], pool[100:]])
         s = neardup.superminhash(both, np.array([0, 400, 800]))
         errors.append((s[0] == s[1]).mean() - 0.6)
-    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < (0.6 * 0.4 / 128) ** 0.5
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < (0.6 * 0.4 / neardup.SLOTS) ** 0.5
 
 
 def test_blocks_change_no_signature(monkeypatch):
@@ -60,6 +60,18 @@ def test_blocks_change_no_signature(monkeypatch):
     assert (neardup.superminhash(own, np.array([0, 5000])) == whole).all()
 
 
+def test_agreement_of_sketches(spark):
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 2**63, (40, neardup.SLOTS)).astype(np.uint64)
+    two = np.where(rng.random(one.shape) < 0.7, one, rng.integers(0, 2**63, one.shape).astype(np.uint64))
+    a, b = neardup.sketch(one), neardup.sketch(two)
+    nibbles = lambda v: (v[:, :, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4))) & np.uint64(15)
+    want = (nibbles(a) == nibbles(b)).sum(axis=(1, 2)).tolist()
+    rows = [(i, x.view(np.int64).tolist(), y.view(np.int64).tolist()) for i, (x, y) in enumerate(zip(a, b))]
+    got = spark.createDataFrame(rows, "i int, a array<long>, b array<long>").selectExpr("i", f"{neardup._agreement('a', 'b')} as n").collect()
+    assert [r.n for r in sorted(got)] == want
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (None, 3)]
@@ -100,21 +112,25 @@ def test_query_against_brute_force(spark, tmp_path):
     check(spark, tmp_path, rows)
 
 
-@pytest.mark.parametrize("rounds", [0, 6])
-def test_a_chain_through_a_crowd(spark, tmp_path, monkeypatch, rounds):
+@pytest.mark.parametrize("bands", [1, 8])
+def test_a_chain_through_a_crowd(spark, tmp_path, monkeypatch, bands):
     """Texts that slide along: neighbours are linked, far ones are not, and all meet in shared buckets."""
-    monkeypatch.setattr(neardup, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "FIRST_BANDS", bands)
     words = [f"v{i}" for i in range(400)]
     rows = [(900 - i, " ".join(words[4 * i : 4 * i + 90])) for i in range(60)]
     check(spark, tmp_path, rows)
 
 
-def test_small_table(spark):
-    from pathlib import Path
+def test_a_family_at_all_distances(spark, tmp_path):
+    """Copies of one text, changed by a little up to a lot: some are linked by way of others, some not at all."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(i, " ".join(rng.choice(base) if rng.random() < (i % 9) * 0.008 else w for w in base)) for i in range(120)]
+    check(spark, tmp_path, rows)
+
 
+def test_small_table(spark):
     path = "/root/testdata/sf0.001"
-    if not Path(path).exists():
-        pytest.skip("no driver tables")
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
     want = brute_force(docs)
     for r in op5_neardup(spark, path).collect():
