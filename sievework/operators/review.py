@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import jaccard, tokens
 
-#: Topics in order of priority: (topic, pattern, CWE given, CWEs that may stand).
+#: Topics in order of priority: (topic, pattern, CWE given, CWEs that may stand). Names, order and CWEs.
 TOPICS = [
     ("append-overflow", r"(append|concat|strcat).*(overflow|past the end|out of bounds)", "CWE-787", ("CWE-787", "CWE-191")),
     ("parse-overread", r"(pars|decod|unpack).*(over-?read|past the end|out of bounds)", "CWE-125", ("CWE-125", "CWE-191", "CWE-190")),

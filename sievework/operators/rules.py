@@ -45,7 +45,7 @@ def _call(names: str) -> str:
     return rf"(?<![\w.>:])(?:std::|::)?(?:{names})\s*\("
 
 
-#: The catalogue, in order of priority.
+#: The catalogue, in order of priority. Ids, CWEs, severities and their order, by which results are compared.
 CODE_RULES = [
     Rule("gets", "CWE-242", "critical", _call("gets")),
     Rule("system", "CWE-78", "high", _call("system")),
