@@ -9,7 +9,7 @@ Candidates. Two texts at similarity s share all of a band's slots with chance s^
 pair shares no bucket with chance 5e-6. Equal sets are one node. In the buckets of the first bands all are compared with
 one pivot, which joins most of what belongs together in as many comparisons as there are members. Of groups that are still apart
 and meet in a bucket of any band, pairs are made across groups only, once each, and only if their whole signatures
-agree in AGREE of 256 slots (four bits each): an estimate of 0.65 or more, which a pair at 0.75 misses with chance 6e-5. Every
+agree in AGREE of 512 slots (four bits each): an estimate of 0.68 or more, which a pair at 0.75 misses with chance 6e-5. Every
 pair made is confirmed on full sets. Pairs inside a group that is joined already are never made, so thousands of copies
 cost thousands of comparisons, not millions.
 
@@ -30,21 +30,22 @@ from .components import connected_components
 from .staging import pick, stage
 from .textkernel import U64, mix, shingles, word_chunks
 
-SLOTS = 256
+SLOTS = 512
 BANDS = 32
 ROWS = 4
-AGREE = 172
+AGREE = 358
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
-BLOCK = 1 << 14
-SMALL = 160
+BLOCK = 1 << 13
+FRACTION = 48
+SMALL = 256
 BROADCAST_IDS = 1_000_000
 FIRST_BANDS = 8
 MAX = U64(0xFFFFFFFFFFFFFFFF)
 
 
 def superminhash(hashes: np.ndarray, bound: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """Signatures (texts x slots). Step in the top byte, fraction below; MAX only for empty sets."""
+    """Signatures (texts x slots). Step in the top bits, fraction below; MAX only for empty sets."""
     count = len(bound) - 1
     out = np.full((count, slots), MAX, U64)
     size = np.diff(bound)
@@ -68,22 +69,22 @@ def superminhash(hashes: np.ndarray, bound: np.ndarray, slots: int = SLOTS) -> n
 
 
 def _offer(hashes: np.ndarray, owner: np.ndarray, signature: np.ndarray, slots: int) -> None:
-    place = np.empty((len(hashes), slots), np.uint8)
-    place[:] = np.arange(slots, dtype=np.uint8)
+    place = np.empty((len(hashes), slots), np.uint16)
+    place[:] = np.arange(slots, dtype=np.uint16)
     flat = signature.reshape(-1)
     active = np.arange(len(hashes))
     for step in range(slots):
-        rank = U64(step << 56)
+        rank = U64(step << FRACTION)
         open_rows = signature.max(axis=1) >= rank
         if not open_rows.all():
             active = active[open_rows[owner[active]]]
             if not len(active):
                 return
         x = mix(hashes[active], 1000 + step)
-        k = step + (((x & U64(0xFFFFFF)) * U64(slots - step)) >> U64(24)).astype(np.int64)
+        k = step + (((x & U64(0xFFFF)) * U64(slots - step)) >> U64(16)).astype(np.int64)
         slot = place[active, k]
         place[active, k] = place[active, step]
-        np.minimum.at(flat, owner[active] * slots + slot, rank | (x >> U64(24)))
+        np.minimum.at(flat, owner[active] * slots + slot, rank | (x >> U64(64 - FRACTION)))
 
 
 def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
