@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,7 @@ ANCHOR = 6
 SHARD = 20_000
 READERS = 500
 BROADCAST_ROWS = 500_000
-BROADCAST_PARTS = 4_000_000
+BROADCAST_PARTS = 2_000_000
 
 
 def minimisers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +90,15 @@ def _stretch_rows(batches):
             )
 
 
+def packed(start: Column, size: Column) -> Column:
+    """A span of a text as one long: its first word and its length."""
+    return F.shiftleft(start.cast("long"), 32) + size.cast("long")
+
+
+def unpacked(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return parts >> 32, parts & 0xFFFFFFFF
+
+
 def _window_rows(batches):
     """The windows of the named stretches, each hash once a text."""
     for batch in batches:
@@ -97,8 +106,7 @@ def _window_rows(batches):
         for row, end, words in word_chunks(batch.column(1), lower=False):
             hashes, at = words.ngrams(WINDOW)
             lists = asked.slice(row, end - row)
-            parts = lists.flatten()
-            begin, size = parts.field("start").to_numpy(zero_copy_only=False).astype(np.int64), parts.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            begin, size = unpacked(lists.flatten().to_numpy(zero_copy_only=False))
             text = np.repeat(np.arange(end - row), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             begin = np.repeat(begin + words.bound[text], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             text = np.repeat(text, size)
@@ -251,15 +259,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null")
     found = docs.mapInArrow(_stretch_rows, "anchor long, content long, doc_id long, start int, n int")
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    again = stage(again, "again")  # read back, it joins as a plain side, and a hot anchor's rows can be split
     hot = stage(found.join(again, "anchor").select("content", "doc_id", "start", "n"), "hot")
     first = hot.groupBy("content").agg(F.min("doc_id").alias("first_doc"), F.min_by("start", "doc_id").alias("first_start"), F.first("n").alias("size"), F.count(F.lit(1)).alias("c"))
     first = stage(first, "first")
     late = hot.join(first.where("c > 1").select("content", "first_doc", "first_start"), "content").where("doc_id > first_doc").select(*RUN_NAMES)
 
-    asked = first.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first_start").alias("start"), F.col("size").alias("n"))).alias("parts"))
+    asked = first.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(packed(F.col("first_start"), F.col("size"))).alias("parts"))
     windows = _with_parts(docs, stage(asked, "asked"), "inner").select("doc_id", "text", "parts").mapInArrow(_window_rows, "hash long, doc_id long, start int")
     windows = stage(windows, "windows")
     opened = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.min_by("start", "doc_id").alias("first_start"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    opened = stage(opened, "opened")
     late_too = windows.join(opened, "hash").where("doc_id > first_doc").select("doc_id", "start", F.lit(1).alias("n"), "first_doc", "first_start")
 
     rows = late.union(late_too).select(*[F.col(c).cast("long").alias(c) for c in RUN_NAMES])
@@ -280,7 +290,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     pieces = _with_parts(docs, needed, "inner").select("doc_id", "text", "parts").mapInArrow(_pieces, kinds)
     pieces = pieces.repartition("shard_doc", "shard", "salt").sortWithinPartitions("shard_doc", "shard", "salt", "reader")
     spans = pieces.mapInArrow(_matched, "doc_id long, start long, stop long")
-    return stage(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("parts")), "spans")
+    return stage(spans.groupBy("doc_id").agg(F.collect_set(packed(F.col("start"), F.col("stop") - F.col("start"))).alias("parts")), "spans")
 
 
 def inner_repeats(words: Words, low: int, high: int) -> np.ndarray:
@@ -307,10 +317,9 @@ def _cut(batches):
             for i in range(row, end):
                 low, high = int(words.bound[i - row]), int(words.bound[i - row + 1])
                 edge = np.zeros(high - low + 1, np.int64)
-                parts = asked[i].as_py() or ()
-                for part in parts:
-                    edge[part["start"]] += 1
-                    edge[part["stop"]] -= 1
+                start, size = unpacked(np.array(asked[i].as_py() or (), np.int64))
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + size, -1)
                 inner = inner_repeats(words, low, high)
                 np.add.at(edge, inner, 1)
                 np.add.at(edge, inner + WINDOW, -1)
