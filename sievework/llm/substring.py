@@ -7,8 +7,8 @@ what is known to repeat, and a text meets only the shards that hold its own repe
 
 1. Every window is represented by its least hashed run of ANCHOR words (a minimiser). Windows in a row with one
    anchor form a stretch; equal windows have equal anchors, wherever they stand. Anchors that occur once are done.
-2. Stretches with equal words have one first text: later ones are repeats as a whole. The first of each is
-   opened into its windows, whose first texts are found in the same way. All is min and count by hash, summed
+2. Stretches with equal words have one first text: later ones are repeats as a whole. The first of each (in its
+   text the earliest, as the later ones are its inner repeats) is opened into its windows, whose first texts are found in the same way. All is min and count by hash, summed
    before the shuffle, then joined back, so a passage in a third of all texts is no single task's work.
 3. The first places form the reference, cut into shards of at most SHARD words. Each shard becomes a suffix
    automaton in one task; the stretches that refer to it stream past, and only where the matching statistic
@@ -84,9 +84,12 @@ def _stretch_rows(batches):
             begin, size, anchor, content = stretches(words)
             text = np.searchsorted(words.bound, begin, "right") - 1
             ids = batch.column(0).slice(row, end - row).to_numpy(zero_copy_only=False)[text]
+            order = np.lexsort((begin, content, text))
+            earliest = np.ones(len(order), bool)
+            earliest[order[1:]] = (content[order][1:] != content[order][:-1]) | (text[order][1:] != text[order][:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array((begin - words.bound[text]).astype(np.int32)), pa.array(size.astype(np.int32))],
-                ["anchor", "content", "doc_id", "start", "n"],
+                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array((begin - words.bound[text]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(earliest)],
+                ["anchor", "content", "doc_id", "start", "n", "earliest"],
             )
 
 
@@ -257,11 +260,12 @@ def _with_parts(docs: DataFrame, parts: DataFrame, how: str) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, parts array of start, stop): spans of words that also stand in a text of smaller doc_id."""
     docs = docs.where("doc_id is not null")
-    found = docs.mapInArrow(_stretch_rows, "anchor long, content long, doc_id long, start int, n int")
+    found = docs.mapInArrow(_stretch_rows, "anchor long, content long, doc_id long, start int, n int, earliest boolean")
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
     again = stage(again, "again")  # read back, it joins as a plain side, and a hot anchor's rows can be split
-    hot = stage(found.join(again, "anchor").select("content", "doc_id", "start", "n"), "hot")
-    first = hot.groupBy("content").agg(F.min("doc_id").alias("first_doc"), F.min_by("start", "doc_id").alias("first_start"), F.first("n").alias("size"), F.count(F.lit(1)).alias("c"))
+    hot = stage(found.join(again, "anchor").select("content", "doc_id", "start", "n", "earliest"), "hot")
+    place = F.min_by("start", F.when(F.col("earliest"), F.col("doc_id")))  # no ties within a text; plain numbers, so it is summed by hash
+    first = hot.groupBy("content").agg(F.min("doc_id").alias("first_doc"), place.alias("first_start"), F.first("n").alias("size"), F.count(F.lit(1)).alias("c"))
     first = stage(first, "first")
     late = hot.join(first.where("c > 1").select("content", "first_doc", "first_start"), "content").where("doc_id > first_doc").select(*RUN_NAMES)
 

@@ -68,6 +68,15 @@ def test_small_shards_salts_and_no_broadcast(spark, tmp_path, monkeypatch):
     check(spark, tmp_path, corpus(3))
 
 
+@pytest.mark.parametrize("passage", [21, 30])
+def test_passage_twice_in_a_later_text(spark, tmp_path, passage):
+    part = lambda name, n=40: [f"{name}{i}" for i in range(n)]
+    rows = [(1, " ".join(part("u") + part("p", passage) + part("v")))]
+    for i in range(2, 12):
+        rows.append((i, " ".join((part(f"x{i}_") + part("p", passage) + part(f"y{i}_")) * (2 + i % 2))))
+    check(spark, tmp_path, rows)
+
+
 def test_driver_table(spark):
     path = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
