@@ -1,14 +1,16 @@
 """Cross-entropy difference: matched target and background n-gram models over one vocabulary.
 
-Tokens are lower-cased words. Both models count unigrams and bigrams over the same hashed vocabulary (UNIGRAMS and BIGRAMS
-buckets), over all texts: the background over every text, the target over the texts marked as wanted. The background's counts are
-scaled to the target's number of tokens, so that the models differ in what they have seen and not in how much. A word's
-probability is its bigram's relative frequency, smoothed towards its unigram's with weight MU, and that towards
-the uniform one with weight ALPHA. A text's score is the mean over its tokens of the target's loss less the background's:
-low where a text looks like the wanted ones.
-
-Each task counts into arrays of fixed size and sends what is not zero, once; sums are taken before and after the shuffle.
-The model, whose size BIGRAMS and UNIGRAMS fix (20 MB), is the only thing that reaches the driver.
+Tokens are lower-cased words. Both models count unigrams and bigrams exactly, each by its own 64-bit hash, over all texts: the
+background over every text, the target over the texts marked as wanted. The background's counts are scaled to the
+target's number of tokens, so that the models differ in what they have seen and not in how much. A word's probability is its
+bigram's relative frequency, smoothed towards its unigram's with weight MU, and that towards the uniform one over a nominal
+vocabulary of UNIGRAMS words with weight ALPHA. A text's score is the mean over its tokens of the target's loss less the
+background's: low where a text looks like the wanted ones.
+
+Counts grow with the input, so no task and not the driver holds them all. Texts are packed into chunks, one row each. A chunk
+sends its distinct n-grams, sorted and cut into ranges of the hash, with its own counts; the task of a range adds up all chunks'
+and answers each with the sums, in the order of its question. The chunk, joined with its answers, makes the same sorted
+list again and scores its texts. A frequent n-gram is one entry a chunk, however often it stands in it.
 
 Edge cases: a text without words (null, empty) has 0 tokens and null losses and score; without wanted texts all
 scores are 0; repeated rows count as often as they stand; a null id is never wanted; an empty table gives an empty result;
@@ -19,87 +21,171 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import pick
+from .staging import pick, stage
 from .textkernel import U64, Words, mix, word_chunks
 
 UNIGRAMS = 1 << 17
-BIGRAMS = 1 << 20
 MU = 4.0
 ALPHA = 0.1
+CHUNK = 4 << 20
+RANGES = 256
 BROADCAST_IDS = 1_000_000
 LOSSES = "n_tokens long, target_loss double, background_loss double"
 
 
 def tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unigram buckets, bigram buckets (of a word and the one before), and which words have none before them."""
-    one = (words.hash & U64(UNIGRAMS - 1)).astype(np.int64)
-    pair = np.zeros(len(one), np.int64)
-    if len(one) > 1:
-        pair[1:] = (mix(words.hash[:-1] * U64(0x9E3779B97F4A7C15) + words.hash[1:], 71) & U64(BIGRAMS - 1)).astype(np.int64)
-    first = np.zeros(len(one) + 1, bool)
+    """Unigrams, bigrams (of a word and the one before), and which words have none before them."""
+    pair = np.zeros(len(words.hash), U64)
+    pair[1:] = mix(words.hash[:-1] * U64(0x9E3779B97F4A7C15) + words.hash[1:], 71)
+    first = np.zeros(len(pair) + 1, bool)
     first[words.bound] = True
-    return one, pair, first[:-1]
+    return words.hash, pair, first[:-1]
+
+
+def _chunks(batches):
+    """Rows (doc_id, text, wanted) packed into one row a chunk, of CHUNK bytes of whole texts."""
+    held, size = [], 0
 
+    def flush():
+        rows = pa.Table.from_batches(held).combine_chunks()
+        out = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), c.chunk(0)) for c in rows.columns]
+        return pa.RecordBatch.from_arrays(out, ["ids", "texts", "wanted"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        total = size + np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cut = np.flatnonzero(np.diff(total // CHUNK, prepend=size // CHUNK)) + 1
+        begin = 0
+        for end in cut.tolist():
+            held.append(batch.slice(begin, end - begin))
+            yield flush()
+            held, begin = [], end
+        if begin < batch.num_rows:
+            held.append(batch.slice(begin))
+        size = int(total[-1])
+    if held:
+        yield flush()
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers, byte by byte of equal weight, compressed: high bytes that are mostly zero take no room."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind=np.int64) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, n * 8, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(kind).reshape(n)
+
+
+class Chunk:
+    """A chunk's texts as tokens, and its distinct n-grams in order with the places of the tokens' own."""
+
+    def __init__(self, texts: pa.Array):
+        ((_, _, words),) = word_chunks(texts, lower=True, chunk=1 << 62)
+        self.size = np.diff(words.bound)
+        self.bound = words.bound
+        one, pair, self.first = tokens(words)
+        self.keys, at = np.unique(np.concatenate([one, pair[~self.first]]), return_inverse=True)
+        self.one, self.pair = at[: len(one)], np.zeros(len(one), np.int64)
+        self.pair[~self.first] = at[len(one) :]
+
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        at = np.concatenate([self.one[chosen], self.pair[chosen & ~self.first]])
+        return np.bincount(at, minlength=len(self.keys))
+
+    def losses(self, counts: np.ndarray, total: float) -> np.ndarray:
+        """Per token in nats, ``counts`` by n-gram."""
+        single = counts[self.one]
+        p = (single + ALPHA) / (total + ALPHA * UNIGRAMS)
+        before = np.zeros(len(single))
+        before[1:] = single[:-1]
+        return -np.log(np.where(self.first, p, (counts[self.pair] + MU * p) / (before + MU)))
+
+
+def _questions(bits: int):
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk = Chunk(batch.column(1)[i].values)
+                wanted = np.repeat(batch.column(2)[i].values.to_numpy(zero_copy_only=False).astype(bool), chunk.size)
+                target, background = chunk.counts(wanted), chunk.counts(np.ones(len(wanted), bool))
+                part = (chunk.keys >> U64(64 - bits)).astype(np.int64)
+                begin = np.flatnonzero(np.diff(part, prepend=-1))
+                end = np.append(begin[1:], len(part))
+                rows = []
+                for k, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+                    own = (int(wanted.sum()), len(wanted)) if not k else (0, 0)
+                    rows.append((int(part[a]), batch.column(0)[i].as_py(), b - a, packed(np.diff(chunk.keys[a:b], prepend=U64(0))), packed(target[a:b]), packed(background[a:b]), *own))
+                yield pa.RecordBatch.from_pylist([dict(zip(QUESTION.names, r, strict=True)) for r in rows], QUESTION)
+
+    return run
+
+
+QUESTION = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("target", pa.binary()), ("background", pa.binary()), ("n_target", pa.int64()), ("n_background", pa.int64())])
+ANSWER = pa.schema([QUESTION.field(c) for c in ("part", "chunk", "n", "target", "background", "n_target", "n_background")])
+
+
+def _answers(batches):
+    """Questions sorted by range: the sums over all chunks of each n-gram, to each chunk in its order."""
+    held: list[dict] = []
+
+    def flush():
+        bound = np.cumsum([0, *(r["n"] for r in held)])
+        keys = np.concatenate([np.cumsum(unpacked(r["keys"], r["n"], U64), dtype=U64) for r in held])
+        _, at = np.unique(keys, return_inverse=True)
+        for c in ("target", "background"):
+            sums = np.bincount(at, np.concatenate([unpacked(r[c], r["n"]) for r in held])).astype(np.int64)[at]
+            for k, r in enumerate(held):
+                r[c] = packed(sums[bound[k] : bound[k + 1]])
+        return pa.RecordBatch.from_pylist([{c: r[c] for c in ANSWER.names} for r in held], ANSWER)
 
-def _count(batches):
-    sums = np.zeros((2, UNIGRAMS + BIGRAMS), np.int64)
     for batch in batches:
-        wanted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for row, end, words in word_chunks(batch.column(0), lower=True):
-            one, pair, first = tokens(words)
-            own = np.repeat(wanted[row:end], np.diff(words.bound))
-            for k, chosen in ((0, own), (1, np.ones(len(one), bool))):
-                np.add.at(sums[k], one[chosen], 1)
-                np.add.at(sums[k], UNIGRAMS + pair[chosen & ~first], 1)
-    at = np.flatnonzero(sums[1])
-    for i in range(0, len(at), 100_000):
-        part = at[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[0, part]), pa.array(sums[1, part])], ["bucket", "target", "background"])
-
-
-class Model:
-    """Token losses of the two models, in nats."""
-
-    def __init__(self, bucket: np.ndarray, target: np.ndarray, background: np.ndarray):
-        self.counts = np.zeros((2, UNIGRAMS + BIGRAMS), np.float32)
-        self.counts[0, bucket], self.counts[1, bucket] = target, background
-        total = self.counts[:, :UNIGRAMS].sum(axis=1, dtype=np.float64)
-        if total[1]:
-            self.counts[1] *= total[0] / total[1]
-        self.total = float(total[0])
-
-    def losses(self, k: int, one: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
-        single = self.counts[k, :UNIGRAMS]
-        p = (single[one].astype(np.float64) + ALPHA) / (self.total + ALPHA * UNIGRAMS)
-        before = np.zeros(len(one))
-        before[1:] = single[one[:-1]]
-        both = (self.counts[k, UNIGRAMS + pair].astype(np.float64) + MU * p) / (before + MU)
-        return -np.log(np.where(first, p, both))
+        for r in batch.to_pylist():
+            if held and held[0]["part"] != r["part"]:
+                yield flush()
+                held = []
+            held.append(r)
+    if held:
+        yield flush()
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
 
 
 def score(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: the id, n_tokens, target_loss, background_loss and score. ``wanted`` holds the ids of the target's texts."""
     source = pick(docs, doc_id=id_col, text=text_col)
     ids = pick(wanted, doc_id=wanted.columns[0]).where("doc_id is not null").distinct().withColumn("wanted", F.lit(True))
-    marked = source.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    counts = marked.mapInArrow(_count, "bucket int, target long, background long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    table = counts.toArrow()
-    model = docs.sparkSession.sparkContext.broadcast(Model(*(table.column(k).to_numpy() for k in range(3))))
+    marked = source.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left").select("doc_id", "text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    key = source.schema["doc_id"].dataType
+    kinds = T.StructType([T.StructField("ids", T.ArrayType(key)), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("wanted", T.ArrayType(T.BooleanType()))])
+    chunks = stage(marked.mapInArrow(_chunks, kinds).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    bits = max(RANGES, chunks.count() // 4).bit_length() - 1
+    asked = chunks.select("chunk", "texts", "wanted").mapInArrow(_questions(bits), _ddl(QUESTION))
+    answers = stage(asked.repartition("part").sortWithinPartitions("part").mapInArrow(_answers, _ddl(ANSWER)), "answers")
+    total = [x or 0 for x in answers.agg(F.sum("n_target"), F.sum("n_background")).first()]
+    scale = (1.0, total[0] / total[1] if total[1] else 1.0)
 
     def run(batches):
-        own = model.value
         for batch in batches:
-            for row, end, words in word_chunks(batch.column(1), lower=True):
-                size = np.diff(words.bound)
+            for i in range(batch.num_rows):
+                chunk = Chunk(batch.column(1)[i].values)
+                replies = sorted(batch.column(2)[i].as_py() or (), key=lambda r: r["part"])
                 mean = []
-                for k in (0, 1):
-                    sums = np.append(0.0, np.cumsum(own.losses(k, *tokens(words))))
-                    mean.append(pa.array((sums[words.bound[1:]] - sums[words.bound[:-1]]) / np.maximum(size, 1), mask=size == 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(size.astype(np.int64)), *mean], ["key", "n_tokens", "target_loss", "background_loss"])
-
-    schema = T.StructType([T.StructField("key", source.schema["doc_id"].dataType), *T._parse_datatype_string(LOSSES).fields])
-    return source.mapInArrow(run, schema).withColumnRenamed("key", id_col).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+                for c, factor in zip(("target", "background"), scale, strict=True):
+                    counts = np.concatenate([np.zeros(0), *(unpacked(r[c], r["n"]) for r in replies)]) * factor
+                    sums = np.append(0.0, np.cumsum(chunk.losses(counts, total[0]))) if len(counts) else np.zeros(1)
+                    mean.append(pa.array((sums[chunk.bound[1:]] - sums[chunk.bound[:-1]]) / np.maximum(chunk.size, 1), mask=chunk.size == 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i].values, pa.array(chunk.size.astype(np.int64)), *mean], ["key", "n_tokens", "target_loss", "background_loss"])
+
+    schema = T.StructType([T.StructField("key", key), *T._parse_datatype_string(LOSSES).fields])
+    replies = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "n", "target", "background")).alias("replies"))
+    scored = chunks.select("chunk", "ids", "texts").join(replies, "chunk", "left").select("ids", "texts", "replies").mapInArrow(run, schema)
+    return scored.withColumnRenamed("key", id_col).withColumn("score", F.col("target_loss") - F.col("background_loss"))

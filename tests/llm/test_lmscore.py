@@ -81,3 +81,31 @@ def test_nothing_wanted_and_empty(spark):
     none = docs.select("doc_id").limit(0)
     assert lmscore.score(docs, none).first().score == 0
     assert lmscore.score(docs.limit(0), none).count() == 0
+
+
+def test_counts_are_those_of_the_words_themselves(spark, monkeypatch):
+    """Against strings: 60,000 distinct words and pairs, several chunks and ranges, none may share a count."""
+    monkeypatch.setattr(lmscore, "CHUNK", 20_000, raising=False)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join([f"x{x}" for x in rng.integers(0, 60_000, 600)] + ["the"] * 200)) for i in range(200)]
+    wanted = set(range(0, 200, 3))
+    one, two, total = [{}, {}], [{}, {}], [0, 0]
+    for i, text in rows:
+        words = text.split()
+        for k in (0, 1):
+            if k or i in wanted:
+                total[k] += len(words)
+                for a, b in zip([None, *words], words):
+                    one[k][b] = one[k].get(b, 0) + 1
+                    two[k][a, b] = two[k].get((a, b), 0) + 1
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    got = {r.doc_id: r for r in lmscore.score(docs, spark.createDataFrame([(i,) for i in wanted], "doc_id int")).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        words = text.split()
+        for k, name in enumerate(("target_loss", "background_loss")):
+            scale, loss = (1.0, total[0] / total[1])[k], 0.0
+            for a, b in zip([None, *words], words):
+                p = (one[k].get(b, 0) * scale + lmscore.ALPHA) / (total[0] + lmscore.ALPHA * lmscore.UNIGRAMS)
+                loss -= math.log(p if a is None else (two[k].get((a, b), 0) * scale + lmscore.MU * p) / (one[k].get(a, 0) * scale + lmscore.MU))
+            assert got[i][name] == pytest.approx(loss / len(words), rel=1e-9)
