@@ -103,18 +103,24 @@ def greedy_match(pairs: DataFrame, group: list[str], threshold: float = 0.5) ->
 
 
 def near_duplicates_in_order(df: DataFrame, group: list[str], seq: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """Rows flagged as near copies of an earlier row of their group by matching blocks. A flagged row flags no other, so the outcome follows the order."""
-    from sievework.functions.lexical import similarity as ratio
+    """Rows flagged as near copies of an earlier row of their group, the first that matches, by matching blocks of the whole texts in lower
+    case with what is neither a-z, 0-9 nor a space made spaces. A flagged row goes on to flag others; a text that is blank then neither flags nor is flagged."""
+    import difflib
+    import re
 
     columns = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema] + ["duplicate_of long"]
 
+    def near(a: str, b: str) -> bool:  # the quick ratios are upper bounds
+        m = difflib.SequenceMatcher(None, a, b)
+        return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(seq, kind="stable").reset_index(drop=True)
-        texts, of = pdf[text].fillna("").tolist(), [None] * len(pdf)
+        texts, of = [re.sub(r"[^a-z0-9 ]+", " ", t.lower()) for t in pdf[text].fillna("")], [None] * len(pdf)
         for i in range(len(pdf)):
-            if of[i] is None:
+            if texts[i].strip():
                 for j in range(i + 1, len(pdf)):
-                    if of[j] is None and texts[i] and ratio(texts[i], texts[j]) >= threshold:
+                    if of[j] is None and texts[j].strip() and near(texts[i], texts[j]):
                         of[j] = int(pdf[seq][i])
         return pdf.assign(duplicate_of=pd.array(of, dtype="Int64"))
 

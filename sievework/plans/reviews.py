@@ -81,7 +81,7 @@ def greedy_match(spark, sf_dir):
 @query()
 def near_dup_narratives(spark, sf_dir):
     """Near copies of an earlier turn, in the order of turns, within a conversation."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 400).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return R.near_duplicates_in_order(rows, ["conv_id"], "turn", "text").select("conv_id", "turn", "duplicate_of")
 
 

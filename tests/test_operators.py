@@ -151,6 +151,25 @@ def test_near_copies_follow_the_order(spark):
     assert {r.seq: r.duplicate_of for r in got.collect()} == {0: None, 1: None, 2: 0}
 
 
+def test_near_copies_of_whole_texts_against_a_plain_fold(spark, tmp_path):
+    import difflib
+    import re
+
+    from sievework.plans.reviews import near_dup_narratives
+
+    head, tail = "abcdefghij" * 45, "ghijklmnop" * 120 + "q" + "rstuvw" * 200
+    rows = [(1, 0, head + tail), (1, 1, head + "0123456789" * 120), (1, 2, "x" * 400 + "z" + tail), (1, 3, "y" * 400 + "1" + tail)]
+    rows += [(2, 0, "abcdefghij"), (2, 1, "abcdefghxy"), (2, 2, "zzcdefghxy"), (2, 3, "ABC-DEF? GHXY"), (2, 4, "abc/def! ghxy"), (3, 0, None), (3, 1, "?!"), (3, 2, "?!")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").selectExpr("*", "'user' as role").write.parquet(f"{tmp_path}/conversations.parquet")
+    normed = {(c, t): re.sub(r"[^a-z0-9 ]+", " ", (x or "").lower()) for c, t, x in rows}
+    want = {}
+    for (c, t), x in normed.items():
+        earlier = [s for (d, s), y in normed.items() if d == c and s < t and x.strip() and y.strip() and difflib.SequenceMatcher(None, y, x).ratio() >= 0.8]
+        want[c, t] = min(earlier, default=None)
+    assert want[1, 1] is None and want[1, 3] is not None and want[2, 2] == 1
+    assert {(r.conv_id, r.turn): r.duplicate_of for r in near_dup_narratives(spark, str(tmp_path)).collect()} == want
+
+
 def test_anchor_rules_differ(spark):
     df = spark.createDataFrame([("a", "clean", 1), ("a", "finding", 2), ("a", "finding", 3), ("b", "clean", 4)], "k string, d string, seq int")
     assert sorted(r.seq for r in V.anchors(df, ["k"], "d", "seq").collect()) == [2, 4]
