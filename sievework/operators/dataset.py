@@ -98,33 +98,45 @@ def stratified(df: DataFrame, group: str, label: str, order: list[str], quotas:
 def budget_pick(df: DataFrame, digest: Column, tie: list[str], size: str, pair: str, label: str, max_rows: int, max_bytes: int, max_share: float = 0.62, reach: int = 8) -> DataFrame:
     """Greedy within row and byte budgets, in the order of a hash: whole pairs first, then single rows as long as no label
     has more than ``max_share`` of what is picked. What does not fit is skipped and costs nothing, so a running sum will not
-    do. The fold considers the first ``reach * max_rows`` pairs and as many singles, which bounds it; a unit further back is not picked.
+    do. Units come in blocks of ``reach * max_rows``, in order, each of those alone that can still be taken; as the first of a block always
+    is, there are no more blocks than rows to pick, and the pick ends when nothing fits or nothing is left.
     """
     units = df.withColumn("digest", digest).groupBy(pair).agg(F.min("digest").alias("digest"), F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n"), F.max(label).alias("top"), F.min(pair).alias("unit"))
-    units = units.where(F.col("bytes") <= max_bytes)
-    chosen = units.where("n > 1").orderBy("digest", "unit").limit(reach * max_rows).unionByName(units.where("n = 1").orderBy("digest", "unit").limit(reach * max_rows)).withColumn("one", F.lit(1))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = used = 0
-        counts: dict = {}
-        keep = []
-        pairs = pdf[pdf.n > 1].sort_values(["digest", "unit"])
-        singles = pdf[pdf.n == 1].sort_values(["digest", "unit"])
-        for part in (pairs, singles):
-            for u in part.itertuples():
-                if rows + u.n > max_rows or used + u.bytes > max_bytes:
-                    continue
-                if u.n == 1 and rows and (counts.get(u.top, 0) + 1) / (rows + 1) > max_share:
+    units = units.where((F.col("bytes") <= max_bytes) & F.col("unit").isNotNull()).select("digest", "bytes", "n", "top", "unit").persist()
+    kinds = dict(units.dtypes)
+    rows = used = 0
+    counts: dict = {}
+    keep: list = []
+
+    def barred() -> set:
+        return {y for y, c in counts.items() if (c + 1) / (rows + 1) > max_share} if rows else set()
+
+    for single in (False, True):
+        left, at = units.where("n = 1" if single else "n > 1"), None
+        while rows < max_rows:
+            block = left.where((F.col("n") <= max_rows - rows) & (F.col("bytes") <= max_bytes - used))
+            if at is not None:
+                block = block.where(F.struct("digest", "unit") > F.struct(*[F.lit(at[c]).cast(kinds[c]).alias(c) for c in ("digest", "unit")]))
+            out = barred() if single else set()
+            for y in out:
+                block = block.where(~F.col("top").eqNullSafe(F.lit(y)))
+            found = block.orderBy("digest", "unit").limit(reach * max_rows).collect()
+            for u in found:
+                at = u
+                if rows + u.n > max_rows or used + u.bytes > max_bytes or single and u.top in barred():
                     continue
                 rows, used = rows + u.n, used + u.bytes
-                for y in (1, 0) if u.n > 1 else (u.top,):
+                for y in (u.top,) if single else (1, 0):
                     counts[y] = counts.get(y, 0) + 1
-                keep.append(u.unit)
-        return pd.DataFrame({"unit": keep}, dtype="object" if pdf.unit.dtype == object else pdf.unit.dtype)
-
-    kind = dict(df.dtypes)[pair]
-    picked = chosen.groupBy("one").applyInPandas(fold, f"unit {kind}")
-    return df.join(F.broadcast(picked), df[pair] == picked["unit"], "left_semi")
+                keep.append((u.unit,))
+                if single and out - barred():  # a label that was left out of the block may come again from here on
+                    break
+            else:
+                if len(found) < reach * max_rows:
+                    break
+    units.unpersist()
+    picked = F.broadcast(df.sparkSession.createDataFrame(keep, f"unit {kinds['unit']}"))
+    return df.join(picked, df[pair] == picked["unit"], "left_semi")
 
 
 def adjacent_pairs(df: DataFrame, position: str, key: str, label: str) -> DataFrame:

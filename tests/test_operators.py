@@ -83,6 +83,28 @@ def test_budget_skips_and_goes_on(spark):
     assert sorted(r.id for r in got.collect()) == [1, 2, 4, 5]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_budget_against_a_plain_fold(spark, seed):
+    """More units than a block holds, large ones and one label first."""
+    import random
+
+    rng = random.Random(seed)
+    rows = [(i, i // 2 if i < 60 else i, i % 2 if i < 60 else int(i < 140 or rng.random() < 0.5), rng.choice([30, 60, 90] if i % 60 < 40 else [1, 2, 9])) for i in range(200)]
+    most, room, counts, used, want = 14, 150, {0: 0, 1: 0}, 0, set()
+    units = {}
+    for i, unit, y, n in rows:
+        units.setdefault(unit, []).append((i, y, n))
+    for unit in sorted(units.values(), key=lambda u: (len(u) == 1, u[0][0])):
+        size, after = sum(n for _, _, n in unit), dict(counts)
+        for _, y, _ in unit:
+            after[y] += 1
+        if sum(after.values()) <= most and used + size <= room and (len(unit) > 1 or not want or after[unit[0][1]] / sum(after.values()) <= 0.62):
+            counts, used, want = after, used + size, want | {i for i, _, _ in unit}
+    df = spark.createDataFrame(rows, "id int, pair int, y int, size int")
+    got = D.budget_pick(df, F.lpad(F.col("id").cast("string"), 3, "0"), ["id"], "size", "pair", "y", most, room, reach=1)
+    assert {r.id for r in got.collect()} == want
+
+
 def test_guards(spark):
     df = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "id int, y int")
     with pytest.raises(PySparkException):
