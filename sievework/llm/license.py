@@ -1,10 +1,10 @@
 """Licence scan by canonical digest lookup.
 
-A text is brought to a canonical form: lines of copyright statements go, letters become lower-case, equivalent spellings
+A text is brought to a canonical form: lines of copyright statements go, and a short licence's title at the head; letters become lower-case, equivalent spellings
 one spelling, and every run of characters that are neither letters nor digits one space. The SHA-256 of the form
 is joined with the digests of the known licences, which went through the same expression; so a licence is found when the
 entire text is that licence, however it is wrapped, punctuated or attributed. Single lines are looked up in
-the same way among the known notices. The table of digests is as long as LICENCES and NOTICES.
+the same way among the known notices. The table of digests is as long as LICENCES and NOTICES; a licence that is in neither is not found.
 
 Edge cases: a null text, or one that is empty in canonical form, has a null digest and no licence; texts of any length;
 repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -112,11 +112,16 @@ NOTICES = {
 }
 #: Statements only: a wrapped line may well begin with the words `copyright notice` or with a list's `(c)`.
 COPYRIGHT_LINE = r"(?im)^[ \t*#/;%!-]*(?:copyright[ \t]*(?:\(c\)|©|:|[0-9]{4}|<|\[|by\b)|\(c\)[ \t]*(?:copyright\b|[0-9]{4})|©|all rights reserved).*$"
+#: Titles of the short licences, alone on the first line that is not a copyright statement, with more text below.
+TITLE = (
+    r"(?i)\A[\s*#/;%!=-]*(?:the[ \t]+)?(?:(?:mit|expat|isc|0bsd|zlib|zlib/libpng|bsd)|(?:bsd[ \t-]*)?(?:zero|0|2|two|3|three)[ \t-]*clause(?:[ \t-]*bsd)?)(?:[ \t]+licen[sc]e)?"
+    r"(?:[ \t]*\((?:the[ \t]+)?(?:mit|expat|isc|0bsd|zlib|bsd[a-z0-9 \t-]*)(?:[ \t]+licen[sc]e)?\))?[ \t.:*#/=-]*\r?\n(?=[\s\S]*[\p{L}\p{N}])"
+)
 
 
 def canonical(text: Column) -> Column:
     """The canonical form; null where nothing is left."""
-    out = F.lower(F.regexp_replace(text, COPYRIGHT_LINE, ""))
+    out = F.lower(F.regexp_replace(F.regexp_replace(text, COPYRIGHT_LINE, ""), TITLE, ""))
     out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
     spelt = out
     for old, new in SPELLINGS.items():
@@ -141,8 +146,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     notices = spark.createDataFrame(list(NOTICES.items()), "text string, license_id string").select(digest(F.col("text")).alias("digest"), "license_id")
     table = F.create_map(*[F.lit(x) for r in notices.collect() for x in (r.digest, r.license_id)])
-    longest = max(map(len, NOTICES)) + 60
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x).between(1, longest) & x.rlike("(?i)licen[sc]e|public domain"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?i)licen[sc]e|public[^\p{L}\p{N}]+domain"))
     found = F.filter(F.transform(lines, lambda x: F.try_element_at(table, digest(x))), lambda x: x.isNotNull())
     rows = source.select("doc_id", digest(F.col("text")).alias("digest"), F.coalesce(found, F.array().cast("array<string>")).alias("found"))
     known = F.broadcast(known_digests(spark))

@@ -67,3 +67,13 @@ def test_driver_table(spark):
 @pytest.mark.parametrize("schema", ["doc_id int, text string"])
 def test_empty_table(spark, schema):
     assert license.scan(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_titles_and_padded_notices(spark):
+    heads = {"MIT": "MIT License\n\nCopyright (c) 2020 A\n\n", "BSD-3-Clause": "Copyright 2020 A\n\nBSD 3-Clause License\n\n", "ISC": "# ISC License (ISC)\n\n", "Zlib": "The zlib License\n"}
+    texts = [(k, h + license.LICENCES[k]) for k, h in heads.items()]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id int, text string")
+    assert {r.doc_id: r.license_id for r in license.scan(docs).collect()} == {i: k for i, (k, _) in enumerate(texts)}
+    lines = ["/" + "*" * 300 + " Released under the MIT License " + "*" * 300 + "/", "This file is in the public-domain", "MIT License"]
+    got = license.scan(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id int, text string")).collect()
+    assert {r.doc_id: (r.notices, r.digest is None) for r in got} == {0: ("MIT", False), 1: ("public-domain", False), 2: ("", False)}
