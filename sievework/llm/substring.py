@@ -12,12 +12,16 @@ what is known to repeat, and a text meets only the shards that hold its own repe
    before the shuffle, then joined back, so a passage in a third of all texts is no single task's work.
 3. The first places form the reference, cut into shards of at most SHARD words. Each shard becomes a suffix
    automaton in one task; the stretches that refer to it stream past, and only where the matching statistic
-   reaches WINDOW does a span count. A hash collision can so remove nothing. Shards with many readers are salted.
+   reaches WINDOW does a span count. Shards with many readers are salted, in up to SALTS copies, made after their words are read.
+
+The texts are dealt once, by a row number, into a bucketed table in the shared folder; the three joins that bring spans to texts move
+the spans alone. The plan is the same at every size. Repeats inside a text are found by hash and compared word by word.
+So a hash collision can remove nothing.
 
 Edge cases: words are kept as they are; a null or blank text has no words; repeats inside a text are found in
-the text alone; rows with equal doc_id do not count as earlier than each other; a row with a null doc_id is neither
-earlier nor later than others, only its own inner repeats go; texts of any length; empty tables; other columns
-are ignored.
+the text alone; rows with equal doc_id, whether of equal texts or not, do not count as earlier than each other; a row with a null
+doc_id is neither earlier nor later than others, only its own inner repeats go; texts of any length; empty tables; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import pick, stage
+from .staging import stage, stage_by_key
 from .textkernel import U64, Words, mix, word_chunks
 
 WINDOW = 20
 ANCHOR = 6
 SHARD = 20_000
 READERS = 500
-BROADCAST_ROWS = 500_000
-BROADCAST_PARTS = 2_000_000
+SALTS = 1024
 
 
 def minimisers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,17 +82,18 @@ def stretches(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _stretch_rows(batches):
+    """Of (row, doc_id, text)."""
     for batch in batches:
-        for row, end, words in word_chunks(batch.column(1), lower=False):
+        for row, end, words in word_chunks(batch.column(2), lower=False):
             begin, size, anchor, content = stretches(words)
             text = np.searchsorted(words.bound, begin, "right") - 1
-            ids = batch.column(0).slice(row, end - row).to_numpy(zero_copy_only=False)[text]
+            rows, ids = (batch.column(k).slice(row, end - row).to_numpy(zero_copy_only=False)[text].astype(np.int64) for k in (0, 1))
             order = np.lexsort((begin, content, text))
             earliest = np.ones(len(order), bool)
             earliest[order[1:]] = (content[order][1:] != content[order][:-1]) | (text[order][1:] != text[order][:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array((begin - words.bound[text]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(earliest)],
-                ["anchor", "content", "doc_id", "start", "n", "earliest"],
+                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(rows), pa.array(ids), pa.array((begin - words.bound[text]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(earliest)],
+                ["anchor", "content", "row", "doc_id", "start", "n", "earliest"],
             )
 
 
@@ -103,10 +107,10 @@ def unpacked(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_rows(batches):
-    """The windows of the named stretches, each hash once a text."""
+    """Of (row, doc_id, text, parts) the windows of the named stretches, each hash once a text."""
     for batch in batches:
-        asked = batch.column(2)
-        for row, end, words in word_chunks(batch.column(1), lower=False):
+        asked = batch.column(3)
+        for row, end, words in word_chunks(batch.column(2), lower=False):
             hashes, at = words.ngrams(WINDOW)
             lists = asked.slice(row, end - row)
             begin, size = unpacked(lists.flatten().to_numpy(zero_copy_only=False))
@@ -118,14 +122,14 @@ def _window_rows(batches):
             once = np.ones(len(order), bool)
             once[1:] = (own[order][1:] != own[order][:-1]) | (text[order][1:] != text[order][:-1])
             keep = order[once]
-            ids = batch.column(0).slice(row, end - row).to_numpy(zero_copy_only=False)[text[keep]]
+            rows, ids = (batch.column(k).slice(row, end - row).to_numpy(zero_copy_only=False)[text[keep]].astype(np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[keep].view(np.int64)), pa.array(ids.astype(np.int64)), pa.array((begin[keep] - words.bound[text[keep]]).astype(np.int32))], ["hash", "doc_id", "start"]
+                [pa.array(own[keep].view(np.int64)), pa.array(rows), pa.array(ids), pa.array((begin[keep] - words.bound[text[keep]]).astype(np.int32))], ["hash", "row", "doc_id", "start"]
             )
 
 
 def _merge_runs(batches):
-    """Rows sorted by doc_id, first_doc and start: neighbours that continue each other become one run, cut at shard borders."""
+    """Rows sorted by row, first_row and start: neighbours that continue each other become one run, cut at shard borders."""
     held = None
     out: list[tuple] = []
 
@@ -135,15 +139,15 @@ def _merge_runs(batches):
         return batch
 
     for batch in batches:
-        for doc, start, n, first_doc, first_start in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        for own, start, n, first, first_start in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             while n > 0:  # a stretch may reach over a shard's border
                 room = min(n, SHARD - first_start % SHARD)
-                if held and held[0] == doc and held[3] == first_doc and start - held[1] == first_start - held[4] and start <= held[1] + held[2] and first_start // SHARD == held[4] // SHARD:
+                if held and held[0] == own and held[3] == first and start - held[1] == first_start - held[4] and start <= held[1] + held[2] and first_start // SHARD == held[4] // SHARD:
                     held[2] = max(held[2], start + room - held[1])
                 else:
                     if held:
                         out.append(tuple(held))
-                    held = [doc, start, room, first_doc, first_start]
+                    held = [own, start, room, first, first_start]
                 start, first_start, n = start + room, first_start + room, n - room
             if len(out) >= 20_000:
                 yield flush()
@@ -152,24 +156,25 @@ def _merge_runs(batches):
     yield flush()
 
 
-RUN_NAMES = ["doc_id", "start", "n", "first_doc", "first_start"]
+RUN_NAMES = ["row", "start", "n", "first_row", "first_start"]
 
 
 def _pieces(batches):
-    """The words of the parts asked of each text."""
+    """Of (row, text, parts) the words of the parts asked of each text."""
     for batch in batches:
-        asked = batch.column(2).to_pylist()
-        rows: list[tuple] = []
+        asked = batch.column(2)
         for row, end, words in word_chunks(batch.column(1), lower=False):
+            rows: list[tuple] = []
             for i in range(row, end):
                 low, high = words.bound[i - row], words.bound[i - row + 1]
-                for part in asked[i]:
+                for part in asked[i].as_py():
                     a, b = low + part["start"], min(high, low + part["stop"])
-                    rows.append((part["shard_doc"], part["shard"], part["salt"], part["reader"], batch.column(0)[i].as_py(), part["start"], words.word_bytes(a, b)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()))], PIECE_NAMES)
+                    rows.append((part["shard_row"], part["shard"], part["salt"], part["copies"], batch.column(0)[i].as_py(), part["start"], words.word_bytes(a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], PIECE_NAMES)
 
 
-PIECE_NAMES = ["shard_doc", "shard", "salt", "reader", "doc_id", "start", "words"]
+#: copies: 0 for a reader, else in how many salts the reference is needed
+PIECE_NAMES = ["shard_row", "shard", "salt", "copies", "row", "start", "words"]
 
 
 class SuffixAutomaton:
@@ -240,61 +245,59 @@ def _matched(batches):
     for batch in batches:
         rows: list[tuple[int, int, int]] = []
         cols = [batch.column(k).to_pylist() for k in range(7)]
-        for shard_doc, part, salt, reader, doc, start, data in zip(*cols, strict=True):
-            if shard != (shard_doc, part, salt):
-                shard, automaton = (shard_doc, part, salt), SuffixAutomaton()
-            if reader:
-                rows += [(doc, start + a, start + b) for a, b in covered(automaton.statistics(data.split()))]
-            else:
+        for shard_row, part, salt, copies, row, start, data in zip(*cols, strict=True):
+            if shard != (shard_row, part, salt):
+                shard, automaton = (shard_row, part, salt), SuffixAutomaton()
+            if copies:
                 automaton.add(data.split())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["doc_id", "start", "stop"])
+            else:
+                rows += [(row, start + a, start + b) for a, b in covered(automaton.statistics(data.split()))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["row", "start", "stop"])
 
 
-def _with_parts(docs: DataFrame, parts: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with ``parts`` (doc_id, parts array): sent to all executors only when counted and few, else shuffled."""
-    rows, entries = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("parts")), F.lit(0))).first()
-    small = rows <= BROADCAST_ROWS and entries <= BROADCAST_PARTS
-    return docs.join(F.broadcast(parts) if small else parts, "doc_id", how)
+def _listed(parts: DataFrame, name: str, part: Column) -> DataFrame:
+    """(row, parts): what is asked of each text, in one row."""
+    return stage(parts.groupBy("row").agg(F.collect_list(part).alias("parts")), name)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, parts array of start, stop): spans of words that also stand in a text of smaller doc_id."""
-    docs = docs.where("doc_id is not null")
-    found = docs.mapInArrow(_stretch_rows, "anchor long, content long, doc_id long, start int, n int, earliest boolean")
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """Of ``texts`` (row, doc_id, text), bucketed by row, (row, parts): spans of words that also stand in a text of smaller
+    doc_id, packed."""
+    texts = texts.select("row", "doc_id", "text").where("doc_id is not null")
+    found = texts.mapInArrow(_stretch_rows, "anchor long, content long, row long, doc_id long, start int, n int, earliest boolean")
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
     again = stage(again, "again")  # read back, it joins as a plain side, and a hot anchor's rows can be split
-    hot = stage(found.join(again, "anchor").select("content", "doc_id", "start", "n", "earliest"), "hot")
-    place = F.min_by("start", F.when(F.col("earliest"), F.col("doc_id")))  # no ties within a text; plain numbers, so it is summed by hash
-    first = hot.groupBy("content").agg(F.min("doc_id").alias("first_doc"), place.alias("first_start"), F.first("n").alias("size"), F.count(F.lit(1)).alias("c"))
+    hot = stage(found.join(again, "anchor").select("content", "row", "doc_id", "start", "n", "earliest"), "hot")
+    # min_by of plain numbers is summed by hash; both take the same row, of rows with one doc_id any, and in it the earliest
+    least = F.when(F.col("earliest"), F.col("doc_id"))
+    first = hot.groupBy("content").agg(F.min("doc_id").alias("first_doc"), F.min_by("row", least).alias("first_row"), F.min_by("start", least).alias("first_start"), F.first("n").alias("size"), F.count(F.lit(1)).alias("c"))
     first = stage(first, "first")
-    late = hot.join(first.where("c > 1").select("content", "first_doc", "first_start"), "content").where("doc_id > first_doc").select(*RUN_NAMES)
+    late = hot.join(first.where("c > 1").drop("c", "size"), "content").where("doc_id > first_doc").select(*RUN_NAMES)
 
-    asked = first.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(packed(F.col("first_start"), F.col("size"))).alias("parts"))
-    windows = _with_parts(docs, stage(asked, "asked"), "inner").select("doc_id", "text", "parts").mapInArrow(_window_rows, "hash long, doc_id long, start int")
+    asked = _listed(first.select(F.col("first_row").alias("row"), "first_start", "size"), "asked", packed(F.col("first_start"), F.col("size")))
+    windows = texts.join(asked, "row").select("row", "doc_id", "text", "parts").mapInArrow(_window_rows, "hash long, row long, doc_id long, start int")
     windows = stage(windows, "windows")
-    opened = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.min_by("start", "doc_id").alias("first_start"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    opened = stage(opened, "opened")
-    late_too = windows.join(opened, "hash").where("doc_id > first_doc").select("doc_id", "start", F.lit(1).alias("n"), "first_doc", "first_start")
+    opened = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.min_by("row", "doc_id").alias("first_row"), F.min_by("start", "doc_id").alias("first_start"), F.count(F.lit(1)).alias("c"))
+    opened = stage(opened.where("c > 1").drop("c"), "opened")
+    late_too = windows.join(opened, "hash").where("doc_id > first_doc").select("row", "start", F.lit(1).alias("n"), "first_row", "first_start")
 
     rows = late.union(late_too).select(*[F.col(c).cast("long").alias(c) for c in RUN_NAMES])
-    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "first_doc", F.expr("start - first_start"), "start")
+    rows = rows.repartition("row").sortWithinPartitions("row", "first_row", F.expr("start - first_start"), "start")
     runs = stage(rows.mapInArrow(_merge_runs, ", ".join(f"{c} long" for c in RUN_NAMES)).withColumn("shard", F.expr(f"first_start div {SHARD}")), "runs")
 
-    shards = runs.groupBy("first_doc", "shard").agg(F.min("first_start").alias("start"), F.max(F.expr(f"first_start + n + {WINDOW - 1}")).alias("stop"), F.expr(f"count(1) div {READERS} + 1").alias("salts"))
+    shards = runs.groupBy("first_row", "shard").agg(F.min("first_start").alias("start"), F.max(F.expr(f"first_start + n + {WINDOW - 1}")).alias("stop"), F.expr(f"least({SALTS}, count(1) div {READERS} + 1)").alias("salts"))
     shards = stage(shards, "shards")
-    readers = runs.join(shards.where("salts > 1").select("first_doc", "shard", "salts"), ["first_doc", "shard"], "left").select(
-        "doc_id",
-        F.struct("start", F.expr(f"start + n + {WINDOW - 1}").alias("stop"), F.col("first_doc").alias("shard_doc"), "shard", F.expr("pmod(xxhash64(doc_id, start), coalesce(salts, 1))").alias("salt"), F.lit(True).alias("reader")).alias("part"),
+    readers = runs.join(shards.where("salts > 1").select("first_row", "shard", "salts"), ["first_row", "shard"], "left").select(
+        "row", "start", F.expr(f"start + n + {WINDOW - 1}").alias("stop"), F.col("first_row").alias("shard_row"), "shard", F.expr("pmod(xxhash64(row, start), coalesce(salts, 1))").alias("salt"), F.lit(0).cast("long").alias("copies")
     )
-    references = shards.select("*", F.explode(F.expr("sequence(0l, salts - 1)")).alias("salt")).select(
-        F.col("first_doc").alias("doc_id"), F.struct("start", "stop", F.col("first_doc").alias("shard_doc"), "shard", "salt", F.lit(False).alias("reader")).alias("part")
-    )
-    needed = stage(readers.union(references).groupBy("doc_id").agg(F.collect_list("part").alias("parts")), "needed")
-    kinds = "shard_doc long, shard long, salt long, reader boolean, doc_id long, start long, words binary"
-    pieces = _with_parts(docs, needed, "inner").select("doc_id", "text", "parts").mapInArrow(_pieces, kinds)
-    pieces = pieces.repartition("shard_doc", "shard", "salt").sortWithinPartitions("shard_doc", "shard", "salt", "reader")
-    spans = pieces.mapInArrow(_matched, "doc_id long, start long, stop long")
-    return stage(spans.groupBy("doc_id").agg(F.collect_set(packed(F.col("start"), F.col("stop") - F.col("start"))).alias("parts")), "spans")
+    references = shards.select(F.col("first_row").alias("row"), "start", "stop", F.col("first_row").alias("shard_row"), "shard", F.lit(0).cast("long").alias("salt"), F.col("salts").cast("long").alias("copies"))
+    needed = _listed(readers.union(references), "needed", F.struct("start", "stop", "shard_row", "shard", "salt", "copies"))
+    kinds = "shard_row long, shard long, salt long, copies long, row long, start long, words binary"
+    pieces = texts.join(needed, "row").select("row", "text", "parts").mapInArrow(_pieces, kinds)
+    pieces = pieces.withColumn("salt", F.explode(F.when(F.col("copies") > 1, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array("salt"))))
+    pieces = pieces.select(PIECE_NAMES).repartition("shard_row", "shard", "salt").sortWithinPartitions("shard_row", "shard", "salt", F.col("copies").desc())
+    spans = pieces.mapInArrow(_matched, "row long, start long, stop long").distinct()
+    return _listed(spans, "spans", packed(F.col("start"), F.col("stop") - F.col("start")))
 
 
 def inner_repeats(words: Words, low: int, high: int) -> np.ndarray:
@@ -309,7 +312,19 @@ def inner_repeats(words: Words, low: int, high: int) -> np.ndarray:
     total = mix(total, 64)
     order = np.argsort(total, kind="stable")
     same = np.flatnonzero(total[order][1:] == total[order][:-1]) + 1
-    return np.sort(order[same])
+    if not len(same):
+        return same
+    numbers: dict[bytes, int] = {}
+    word = np.array([numbers.setdefault(w, len(numbers)) for w in words.word_bytes(low, high).split()], np.int64)
+    later, before = order[same], order[same - 1]
+    equal = np.ones(len(same), bool)
+    for k in range(WINDOW):
+        equal &= word[later + k] == word[before + k]
+    if not equal.all():  # windows of other words with one hash stand between
+        seen: set[bytes] = set()
+        own = (word[i : i + WINDOW].tobytes() for i in range(count))
+        return np.array([i for i, w in enumerate(own) if w in seen or seen.add(w)], np.int64)
+    return np.sort(later)
 
 
 def _cut(batches):
@@ -357,8 +372,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: doc_id, n_words, n_removed, kept_words (binary, joined by one space), the text without the removed words, and
     the columns named in ``carry`` as they are."""
     carry = carry or []
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
-    spans = repeated_spans(source.select("doc_id", "text"))
-    schema = T.StructType([*T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept_words binary, text string").fields, source.schema["carried"]])
-    out = _with_parts(source, spans, "left").select("doc_id", "text", "parts", "carried").mapInArrow(_cut, schema)
-    return out.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept_words", "text", *[F.col(f"carried.{c}") for c in carry])
+    carried = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("carried")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), carried)
+    texts = stage_by_key(texts, "row", "dealt")
+    schema = T.StructType([*T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept_words binary, text string").fields, T.StructField("carried", texts.schema["carried"].dataType)])
+    out = texts.join(repeated_spans(texts), "row", "left").select("doc_id", "text", "parts", "carried").mapInArrow(_cut, schema)
+    return out.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept_words", "text", *[F.col(f"carried.`{c}`") for c in carry])

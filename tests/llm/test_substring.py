@@ -61,10 +61,9 @@ def test_query_against_brute_force(spark, tmp_path, seed):
     check(spark, tmp_path, corpus(seed))
 
 
-def test_small_shards_salts_and_no_broadcast(spark, tmp_path, monkeypatch):
+def test_small_shards_and_salts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(substring, "SHARD", 30)
     monkeypatch.setattr(substring, "READERS", 3)
-    monkeypatch.setattr(substring, "BROADCAST_ROWS", 0)
     check(spark, tmp_path, corpus(3))
 
 
@@ -106,3 +105,26 @@ def test_automaton_statistics():
 
 def test_empty_table(spark):
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def test_equal_ids_of_unequal_texts(spark):
+    part = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(5, part("p")), (5, part("x", 300) + " " + part("p")), (9, part("q", 7) + " " + part("p") + " " + part("x", 30)), (9, part("p"))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 40, 0), (5, 340, 0), (9, 40, 40), (9, 77, 70)]
+
+
+def test_inner_repeats_compare_words(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from sievework.llm.textkernel import word_chunks
+
+    rng = random.Random(7)
+    monkeypatch.setattr(substring, "mix", lambda x, seed=0: x & np.uint64(3))  # almost all windows share a hash
+    for _ in range(20):
+        own = [rng.choice("abc") for _ in range(rng.choice([25, 60]))] * rng.choice([1, 2])
+        _, _, words = next(word_chunks(pa.array([" ".join(own)]), lower=False))
+        seen = set()
+        want = [i for i in range(len(own) - 19) if tuple(own[i : i + 20]) in seen or seen.add(tuple(own[i : i + 20]))]
+        assert substring.inner_repeats(words, 0, len(own)).tolist() == want
