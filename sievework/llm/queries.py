@@ -14,8 +14,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that are not held out."""
-    docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out())
-    model = langid.fit(docs.where("doc_id is not null and not held_out"))
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out()))
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
@@ -86,6 +86,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_license": license.ORACLE,
     "op6_urlfilter": urlfilter.ORACLE,
     "op8_quality": quality.ORACLE,
 }

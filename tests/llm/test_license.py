@@ -1,3 +1,8 @@
+import random
+import re
+from pathlib import Path
+
+import duckdb
 import pytest
 
 from sievework.llm import license
@@ -17,7 +22,7 @@ def test_entire_texts_however_they_are_set(spark, tmp_path):
                 text,
                 "Copyright (c) 2020 Some One <a@b.c>\n\n" + text,
                 "\n".join("# " + w for w in text.upper().split()) + "\n",
-                text.replace(", ", " ,  ").replace("license", "licence").replace("acknowledgment", "Acknowledgement").replace('"', "“"),
+                re.sub(r"\blicense\b", "licence", text.replace(", ", " ,  ")).replace("acknowledgment", "Acknowledgement").replace('"', "“"),
                 "/*\n * (C) 1999 X\n * All rights reserved.\n */\n" + text,
             ]
         ):
@@ -51,7 +56,68 @@ def test_notices_and_edges(spark, tmp_path):
 
 
 def test_licences_are_told_apart(spark):
-    assert license.known_digests(spark).count() == len(license.LICENCES)
+    known = license.known_digests(spark)
+    assert known.count() == known.select("digest").distinct().count() == len(license.LICENCES) + len(license.DIGESTS)
+
+
+#: Where systems of one family keep public licence texts.
+SHELF = Path("/usr/share/common-licenses")
+SHELVED = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not SHELF.exists(), reason="no licence texts here")
+def test_long_licences(spark, tmp_path):
+    rows, want = [], {}
+    for i, (file, name) in enumerate(SHELVED.items()):
+        text = (SHELF / file).read_text()
+        ends = text.find("END OF TERMS AND CONDITIONS")
+        for k, own in enumerate([text, "\n".join("# " + x for x in text.split("\n")), text[:ends] if ends > 0 else text, text[: len(text) // 2]]):
+            rows.append((10 * i + k, own))
+            want[10 * i + k] = name if k < 3 else None
+    assert {r.doc_id: r.license_id for r in found(spark, tmp_path, rows)} == want
+
+
+def by_hand(text):
+    """The canonical form, word by word, without the module's patterns."""
+    lines = []
+    for line in (text or "").split("\n"):
+        own = line.lower().lstrip(" \t*#/;%!-")
+        rest = own.removeprefix("copyright").lstrip(" \t") if own.startswith("copyright") else None
+        said = rest is not None and (rest.startswith(("(c)", "©", ":", "<", "[")) or re.match(r"\d{4}|by\b", rest))
+        lines.append("" if said or own.startswith(("©", "all rights reserved")) or re.match(r"\(c\)[ \t]*(copyright\b|\d{4})", own) else line)
+    words = "".join(c if c.isalnum() else " " for c in "\n".join(lines).lower()).split()
+    for old, new in license.SPELLINGS.items():
+        old, out = old.split(), []
+        while words:
+            if words[: len(old)] == old:
+                out, words = out + new.split(), words[len(old) :]
+            else:
+                out.append(words.pop(0))
+        words = out
+    return " ".join(words)
+
+
+def test_canonical_form_by_hand_and_in_sql(spark):
+    rng = random.Random(3)
+    words = ["licence", "License", "https://x", "FAVOUR", "favour", "copyright", "Copyright", "(c)", "©", "2020", "holder", "owner", "sub", "non-infringement", "é", "a_b", "\n", "\n# ", "\n", "\r\n", "all rights reserved"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(25)))) for i in range(400)] + [(900, None), (901, "MIT License\n\nsome text"), (902, "MIT License\n"), (903, license.LICENCES["MIT"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in docs.select("doc_id", license.canonical(docs.text).alias("form")).collect()}
+    for i, text in rows[:401]:
+        assert got[i].form == (by_hand(text) or None), (text, got[i].form)
+    assert got[901].form == "some text" and got[902].form == "mit license"
+    con = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    con.register("documents", documents)
+    want = sorted(map(str, con.execute(license.ORACLE).fetchall()))
+    columns = [c[0] for c in con.description]
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in license.scan(docs).collect()))) == want
+
+
+def test_further_digests(spark):
+    docs = spark.createDataFrame([(1, "Our own, quite short LICENCE."), (2, license.LICENCES["MIT"])], "doc_id int, text string")
+    own = docs.where("doc_id = 1").select(license.digest(docs.text).alias("digest")).selectExpr("digest", "'Own' as license_id")
+    assert {r.doc_id: r.license_id for r in license.scan(docs, more=own).collect()} == {1: "Own", 2: "MIT"}
 
 
 def test_driver_table(spark):
