@@ -1,14 +1,23 @@
 """Main text of HTML pages by tree scoring.
 
-The page becomes a tree of block elements; its text becomes blocks in page order, each owned by its innermost block
-element. Blocks outside menus, notices and the like give points for their length and commas to the ancestors of
-their owner, fewer the further up; an ancestor's sum is discounted by the share of its text that stands in links. The best
-container is kept, or the article or main element around it, with those of its siblings that score well enough by the
-same measure, that are plain paragraphs of running text, or that are headings before it. Of what is kept, all blocks but
-those of excluded elements are returned.
+The page becomes a tree of block elements; its text becomes blocks in page order, each owned by its innermost block element.
+
+Scoring. A block of running text gives points for its length and commas to the ancestors of its owner, fewer the further up. A
+container's value is its points, discounted by the share of its text that stands in links, times HOME_WEIGHT if it is marked as an article or as the main
+part. The container of greatest value is chosen on every page, of equals the first. With it are kept those of its siblings that
+score well enough by the same measure, plain paragraphs of running text, and headings before it; beside a marked article no other containers.
+
+What is not the article. Elements that are menus, footers, forms, scripts and the like by tag, role or style never count. Names in class and id
+count as a whole: a name all of whose words are marks or fillers (`comment-list`, `user-feedback`) excludes its element, one with another
+word in it (`legal-analysis`) only halves the points and keeps the element from being taken along as a sibling. A named element that holds most of
+the page's running text is the article's frame, and not excluded, unless the name says that readers wrote it. Readers' remarks are also
+known by structure: at least two elements of one tag and class in a row that each show who wrote, or when, or a link to reply.
+Inside the chosen container, lists of links before the first and after the last running text go, as do headings of which
+nothing else is left.
 
 Parsing follows the HTML standard where pages need it: raw text in script and style, comments, attributes in quotes,
-implied ends of p, li, cells and rows, void elements, end tags without a start, markup cut off at the end of the page.
+implied ends of p, li, cells and rows, void elements, end tags without a start, markup cut off at the end of the page. Its time is linear
+in the page, however deep it is nested.
 
 Edge cases: a null, empty or markup-only page gives an empty text; a page without any scoring block gives the blocks of
 its body; line breaks are white space; deep nesting and long pages need no recursion; repeated rows give
@@ -47,26 +56,36 @@ KEEPS_P_OPEN = frozenset(("table", "td", "th", "caption", "button", "object", "t
 EXCLUDED = frozenset("head nav footer aside form script style noscript template button select option textarea iframe svg canvas object dialog menu search video audio fieldset".split())
 EXCLUDED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words in class and id that mark what is not the article.
-HINTS = frozenset(
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar footer foot colophon sidebar aside rail widget widgets ad ads adv advert adverts advertisement advertising adsense sponsor sponsored "
-    "sponsors promo promotion banner popup modal overlay lightbox cookie cookies consent gdpr notice notices alert disclaimer newsletter subscribe subscription signup signin login register share sharing social "
-    "comment comments commentlist disqus discussion reply replies respond reactions related recommended recommendations trending popular pagination pager toolbar tools search copyright legal skip hidden tags taboola outbrain".split()
+MARKS = frozenset(
+    "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead topbar footer colophon sidebar aside widget ad ads adv advert adverts advertisement advertising adsense sponsor sponsored "
+    "sponsors promo promotion popup modal overlay lightbox cookie cookies consent gdpr notice disclaimer newsletter subscribe subscription signup signin login register sharing share social "
+    "related recommended recommendations trending popular pagination pager toolbar copyright taboola outbrain".split()
 )
-HINT_STARTS = ("comment", "advert", "sponsor", "cookie", "newsletter", "breadcrumb", "sidebar")
-#: What readers add: never the home of the article, whatever elements it is made of.
-REMARKS = ("comment", "disqus", "discussion", "repl", "respond", "reaction")
+#: Words that say that readers wrote it.
+REMARKS = frozenset("comment comments commentlist disqus discussion reply replies respond responses reactions feedback guestbook".split())
+#: Words that go with a mark without changing what it says.
+FILLERS = frozenset("site page list item items area box block bar wrapper wrap container section sections holder inner outer top bottom left right main global user users reader readers visitor links link buttons icons banner primary secondary thread post article header".split())
+#: Words in class and id of what shows who wrote a remark, and when.
+BYLINE = frozenset("author avatar byline commenter username user nick date time timestamp posted reply says".split())
 HOMES = frozenset(("article", "main"))
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+REPLY = re.compile(r"\W*(?:reply|répondre|antworten|responder|permalink|report|like)\W*", re.I)
+HOME_WEIGHT = 2.2
+WEAK_WEIGHT = 0.5
+FRAME_SHARE = 0.6
 SIBLING_SHARE = 0.2
 MAX_LINK_DENSITY = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "at", "out", "hinted", "remarks", "home", "points", "text", "linked", "children")
+    __slots__ = ("tag", "parent", "at", "out", "mark", "home", "in_home", "name", "byline", "points", "text", "linked", "children")
 
     def __init__(self, tag: str, parent: Node | None, at: int):
         self.tag, self.parent, self.at = tag, parent, at
-        self.out = self.hinted = self.remarks = self.home = False
+        self.out = self.home = self.byline = False
+        self.in_home = parent is not None and (parent.home or parent.in_home)
+        self.mark = 0  # 1 by one of several words, 2 by a whole name, 3 by a name that says that readers wrote it
+        self.name = ""
         self.points, self.text, self.linked = 0.0, 0, 0
         self.children: list[Node] = []
 
@@ -78,15 +97,49 @@ class Block:
         self.owner, self.text, self.linked = owner, text, linked
 
 
+class Scope:
+    """How many elements of some tags are open since the last barrier, so that no search is made in vain."""
+
+    __slots__ = ("tags", "barriers", "open")
+
+    def __init__(self, tags, barriers):
+        self.tags, self.barriers, self.open = frozenset(tags), frozenset(barriers), [0]
+
+    def push(self, tag: str) -> None:
+        if tag in self.barriers:
+            self.open.append(0)
+        if tag in self.tags:
+            self.open[-1] += 1
+
+    def pop(self, tag: str) -> None:
+        if tag in self.tags:
+            self.open[-1] -= 1
+        if tag in self.barriers:
+            self.open.pop()
+
+
 def parse(page: str) -> tuple[Node, list[Node], list[Block]]:
     """The root, all block elements in page order, and the text blocks in page order."""
     root = Node("", None, 0)
     nodes, blocks = [root], []
     stack: list[tuple[str, Node]] = [("", root)]  # every open element with the block element it is in
+    paragraphs = Scope(("p",), KEEPS_P_OPEN)
+    implied = {tag: Scope(ends, BARRIER[tag]) for tag, ends in IMPLIED.items()}
+    scopes: dict[str, list[Scope]] = {}
+    for scope in (paragraphs, *implied.values()):
+        for tag in scope.tags | scope.barriers:
+            scopes.setdefault(tag, []).append(scope)
+    count: dict[str, int] = {}  # open elements by tag
     links = 0
     buffer: list[str] = []
     linked = 0
 
+    def push(tag: str, node: Node) -> None:
+        stack.append((tag, node))
+        count[tag] = count.get(tag, 0) + 1
+        for scope in scopes.get(tag, ()):
+            scope.push(tag)
+
     def flush() -> None:
         nonlocal linked
         if buffer:
@@ -105,6 +158,9 @@ def parse(page: str) -> tuple[Node, list[Node], list[Block]]:
             elif tag == "a":
                 links -= 1
             stack.pop()
+            count[tag] -= 1
+            for scope in scopes.get(tag, ()):
+                scope.pop(tag)
 
     at = 0
     size = len(page)
@@ -127,7 +183,7 @@ def parse(page: str) -> tuple[Node, list[Node], list[Block]]:
             if tag == "br":
                 buffer.append(" ")
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if count.get(tag) else ():
                 if stack[depth][0] == tag:
                     pop_to(depth)
                     break
@@ -145,22 +201,17 @@ def parse(page: str) -> tuple[Node, list[Node], list[Block]]:
                 buffer.append(" " if tag == "br" else "")
             continue
         if tag in BLOCK:
-            if tag not in ("button", "option", "optgroup", "object", "svg", "canvas", "video", "audio"):
-                for depth in range(len(stack) - 1, 0, -1):  # a block's start ends an open paragraph
-                    if stack[depth][0] == "p":
-                        pop_to(depth)
-                        break
-                    if stack[depth][0] in KEEPS_P_OPEN:
-                        break
-            if tag in IMPLIED:
-                least = None
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] in BARRIER[tag]:
-                        break
-                    if stack[depth][0] in IMPLIED[tag]:
-                        least = depth
-                if least is not None:
-                    pop_to(least)
+            if paragraphs.open[-1] and tag not in ("button", "option", "optgroup", "object", "svg", "canvas", "video", "audio"):
+                depth = len(stack) - 1  # a block's start ends an open paragraph
+                while stack[depth][0] != "p":
+                    depth -= 1
+                pop_to(depth)
+            if tag in IMPLIED and implied[tag].open[-1]:
+                depth, left = len(stack), implied[tag].open[-1]
+                while left:
+                    depth -= 1
+                    left -= stack[depth][0] in implied[tag].tags
+                pop_to(depth)
             if tag in HEADING and stack[-1][0] in HEADING:
                 pop_to(len(stack) - 1)
             flush()
@@ -170,33 +221,42 @@ def parse(page: str) -> tuple[Node, list[Node], list[Block]]:
             parent.children.append(node)
             nodes.append(node)
             if not (m.group("attrs") or "").rstrip().endswith("/") or tag not in ("svg", "canvas", "object"):
-                stack.append((tag, node))
+                push(tag, node)
         else:
             if tag == "a":
                 links += 1
-            stack.append((tag, stack[-1][1]))
+            elif tag in ("time", "cite"):
+                stack[-1][1].byline = True
+            push(tag, stack[-1][1])
     flush()
     return root, nodes, blocks
 
 
+def named(value: str) -> int:
+    """What a class or id says: 0 nothing, 1 a mark among other words, 2 a mark, 3 that readers wrote it."""
+    out = 0
+    for name in value.split():
+        words = {w.lower() for w in WORDS.findall(name)}
+        if words & (MARKS | REMARKS):
+            whole = words <= MARKS | REMARKS | FILLERS
+            out = max(out, 1 if not whole else 3 if words & REMARKS else 2)
+    return out
+
+
 def mark(node: Node, attributes: str) -> None:
-    """Sets what tag and attributes say: excluded for sure, excluded by a hint, home of an article."""
-    node.out = node.tag in EXCLUDED
-    if node.tag == "header":
-        up = node.parent
-        while up is not None and up.tag not in HOMES:
-            up = up.parent
-        node.out = up is None
+    """Sets what tag and attributes say."""
+    node.out = node.tag in EXCLUDED or (node.tag == "header" and not node.in_home)
     node.home = node.tag in HOMES
     if not attributes or attributes.isspace():
         return
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if name in ("class", "id"):
-            words = {w.lower() for w in WORDS.findall(value)}
-            if node.tag not in ("html", "body", "main", "p", *HEADING) and (words & HINTS or any(w.startswith(HINT_STARTS) for w in words)):
-                node.hinted = True
-                node.remarks |= any(w.startswith(REMARKS) for w in words)
+            if node.tag not in ("html", "body", "main", "p", *HEADING):
+                node.mark = max(node.mark, named(value))
+            if name == "class":
+                node.name = value
+            node.byline |= bool(BYLINE & {w.lower() for w in WORDS.findall(value)})
         elif name == "role":
             node.out |= value.lower() in EXCLUDED_ROLES
             node.home |= value.lower() in ("main", "article")
@@ -210,50 +270,92 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root, nodes, blocks = parse(page)
-    homes = [0] * len(nodes)
-    for node in reversed(nodes):
-        if node.parent is not None:
-            homes[node.parent.at] += homes[node.at] + (node.home and not node.hinted and not node.out)
-    for node in nodes:  # parents come first; a hint does not exclude what holds the one article itself
-        node.out |= node.hinted and (homes[node.at] != 1 or node.remarks)
-        if node.parent is not None:
-            node.out |= node.parent.out
+    exclude(nodes, blocks)
     blocks = [b for b in blocks if not b.owner.out]
-    score(nodes, blocks)
-    best = max((n for n in nodes if n.points > 0), key=lambda n: (value(n), n.at), default=None)
-    if best is None:
-        kept = {root.at}
-    else:
-        home, up = best, best
-        while up is not None:
-            if up.home and not up.hinted:
-                home = up
-                break
-            up = up.parent
-        kept = {home.at} if home.home else keep_siblings(best)
+    best = choose(nodes, blocks)
+    kept = {root.at} if best is None else keep_siblings(best)
     inside = [False] * len(nodes)
     for node in nodes:
         inside[node.at] = node.at in kept or (node.parent is not None and inside[node.parent.at])
-    return "\n\n".join(b.text for b in blocks if inside[b.owner.at])
+    own = [b for b in blocks if inside[b.owner.at]]
+    return "\n\n".join(b.text for b in (own if best is None else clean(own)))
+
+
+def points_of(block: Block) -> float:
+    """Headings and blocks of links give none."""
+    if block.owner.tag in HEADING or block.linked > MAX_LINK_DENSITY * len(block.text):
+        return 0.0
+    return 1 + block.text.count(",") + min(3.0, len(block.text) / 100)
 
 
-def score(nodes: list[Node], blocks: list[Block]) -> None:
+def by_structure(nodes: list[Node], blocks: list[Block]) -> list[bool]:
+    """For each node whether it is, or is in, one of several elements of one tag and class in a row that have no heading, more than
+    one block, and something in one of these that shows who wrote, or when, or a link to reply."""
+    byline, size, plain = [n.byline for n in nodes], [0] * len(nodes), [n.tag not in HEADING and not n.home for n in nodes]
+    for b in blocks:
+        size[b.owner.at] += 1
+        byline[b.owner.at] |= bool(b.linked and REPLY.fullmatch(b.text))
+    for node in reversed(nodes):
+        if node.parent is not None:
+            size[node.parent.at] += size[node.at]
+            byline[node.parent.at] |= byline[node.at]
+            plain[node.parent.at] &= plain[node.at]
+    out = [False] * len(nodes)
+    like = lambda n: plain[n.at] and byline[n.at] and size[n.at] > 1 and n.tag in ("div", "li", "section", "blockquote", "dd")
+    for node in nodes:
+        out[node.at] |= node.parent is not None and out[node.parent.at]
+        for item, following in zip(node.children, node.children[1:], strict=False):
+            if item.tag == following.tag and item.name == following.name and like(item) and like(following):
+                out[item.at] = out[following.at] = True
+    return out
+
+
+def exclude(nodes: list[Node], blocks: list[Block]) -> None:
+    """Sets ``out`` of all that is not the article by tag, name or structure, and of all below it."""
+    remarks = by_structure(nodes, blocks)
+    if any(points_of(b) and not remarks[b.owner.at] for b in blocks):  # else the page is nothing but remarks
+        for node in nodes:
+            node.mark = 3 if remarks[node.at] else node.mark
+    sure = [False] * len(nodes)
+    for node in nodes:
+        sure[node.at] = node.out or node.mark == 3 or (node.parent is not None and sure[node.parent.at])
+    share, homes = [0.0] * len(nodes), [0.0] * len(nodes)
+    for b in blocks:
+        if not sure[b.owner.at]:
+            share[b.owner.at] += points_of(b)
+    for node in reversed(nodes):
+        if node.home:
+            homes[node.at] = share[node.at]
+        if node.parent is not None:
+            share[node.parent.at] += share[node.at]
+            homes[node.parent.at] += homes[node.at]
+    for node in nodes:
+        frame = node.mark == 2 and share[node.at] >= FRAME_SHARE * share[0] and homes[node.at] >= homes[0]
+        node.out |= node.mark == 3 or (node.mark == 2 and not frame)
+        if node.parent is not None:
+            node.out |= node.parent.out
+
+
+def choose(nodes: list[Node], blocks: list[Block]) -> Node | None:
+    """Gives the blocks' points to their ancestors; the container of greatest value, of equals the first."""
+    weak = [False] * len(nodes)
+    for node in nodes:
+        weak[node.at] = node.mark == 1 or (node.parent is not None and weak[node.parent.at])
     for b in blocks:
         b.owner.text += len(b.text)
         b.owner.linked += b.linked
-        if b.owner.tag in HEADING or b.linked > MAX_LINK_DENSITY * len(b.text):
-            continue
-        points = 1 + b.text.count(",") + min(3.0, len(b.text) / 100)
+        points = points_of(b) * (WEAK_WEIGHT if weak[b.owner.at] else 1.0)
         # running text right in a container gives to it as a paragraph does to its parent
         up = b.owner.parent if b.owner.tag in ("p", "pre", "li", "td", "th", "dd", "dt", "blockquote") and b.owner.parent is not None else b.owner
         level = 1
-        while up is not None and level <= 5:
+        while points and up is not None and level <= 5:
             up.points += points / level
             up, level = up.parent, level + 1
     for node in reversed(nodes):
         if node.parent is not None:
             node.parent.text += node.text
             node.parent.linked += node.linked
+    return max((n for n in nodes if n.points > 0), key=lambda n: (value(n), -n.at), default=None)
 
 
 def density(node: Node) -> float:
@@ -261,10 +363,11 @@ def density(node: Node) -> float:
 
 
 def value(node: Node) -> float:
-    return node.points * (1 - density(node))
+    return node.points * (1 - density(node)) * (HOME_WEIGHT if node.home else 1.0)
 
 
 def keep_siblings(best: Node) -> set[int]:
+    """The places of ``best`` and of the siblings that belong to it."""
     kept = {best.at}
     if best.parent is None or best.tag in ("body", "html"):
         return kept
@@ -272,17 +375,45 @@ def keep_siblings(best: Node) -> set[int]:
     for node in best.parent.children:
         if node.out or node is best:
             continue
-        if node.tag in HEADING:
+        if node.tag in HEADING or node.tag == "header":
             good = node.at < best.at
         elif node.tag in ("p", "pre", "blockquote"):
             good = node.text > 0 and density(node) <= MAX_LINK_DENSITY / 2
         else:
-            good = value(node) >= least
+            good = not node.mark and not best.home and not node.home and value(node) >= least
         if good:
             kept.add(node.at)
     return kept
 
 
+def clean(blocks: list[Block]) -> list[Block]:
+    """Without lists of links at either end, and without headings of which nothing is left."""
+    running = [i for i, b in enumerate(blocks) if points_of(b)]
+    if not running:
+        return blocks
+    first, last = running[0], running[-1]
+    gone = [(i < first or i > last) and b.owner.tag not in HEADING and b.linked > MAX_LINK_DENSITY * len(b.text) for i, b in enumerate(blocks)]
+    open_: list[tuple[int, int, bool]] = []  # headings: level, place, whether anything under them stays
+    empty: set[int] = set()
+
+    def close(level: int, at: int) -> None:
+        while open_ and open_[-1][0] >= level:
+            _, place, some = open_.pop()
+            if not some and at > place + 1 and gone[at - 1]:
+                empty.add(place)
+            elif open_:
+                open_[-1] = (*open_[-1][:2], open_[-1][2] or some)
+
+    for i, b in enumerate(blocks):
+        if b.owner.tag in HEADING:
+            close(int(b.owner.tag[1]), i)
+            open_.append((int(b.owner.tag[1]), i, False))
+        elif not gone[i] and open_:
+            open_[-1] = (*open_[-1][:2], True)
+    close(0, len(blocks))
+    return [b for i, b in enumerate(blocks) if not gone[i] and i not in empty]
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Per row: the id and the page's main text."""
     source = pick(pages, key=id_col, html=html_col)

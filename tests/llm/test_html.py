@@ -1,8 +1,11 @@
 import html as entities
+import random
 import re
+import time
 
 import pytest
 
+from sievework.llm import html
 from sievework.llm.html import extract, main_text
 from sievework.llm.queries import op2_html
 
@@ -32,6 +35,19 @@ CASES = {
     "short": (page("<nav><a>x</a></nav><article><p>Hi.</p></article>"), ["Hi."]),
     "hidden": (page(f"<article><p>{LONG}</p><div style='display: none'>x</div><p hidden>y</p><p aria-hidden=true>z</p></article>"), [LONG]),
     "text right in a div": (page(f"<div><a>menu</a></div><div>{LONG} {OTHER}</div>"), [f"{LONG} {OTHER}"]),
+    "menu and remarks without a tag": (f"<main><div class=top-links><a href=/>Home</a> <a href=/a>About</a></div><p>{LONG}</p><p>{OTHER}</p><ol class=responses><li><p>{OTHER}</p></li><li><p>{LONG}</p></li></ol></main>", [LONG, OTHER]),
+    "feedback beside the article": (page(f"<article><p>{LONG}</p><p>{OTHER}</p></article><div class='user-feedback'><p>{OTHER}{OTHER}</p></div>"), [LONG, OTHER]),
+    "one word of a name": (page(f"<article><p>{LONG}</p><div class='legal-analysis'><p>{OTHER}</p></div><table class='data tools'><tr><td>a<td>b</table></article>"), [LONG, OTHER, "a", "b"]),
+    "no names": (page(f"<div><div><a href=/>Home</a><a href=/b>Blog</a></div><div><h1>T</h1><p>{LONG}</p><p>{OTHER}</p></div><div><p><a href=x>other one</a></p></div></div>"), ["T", LONG, OTHER]),
+    "remarks by structure": (page(f"<div><p>{LONG}</p><p>{OTHER}</p></div><div>" + f"<div class=z><p><cite>Bob</cite></p><p>{OTHER}{OTHER}</p></div>" * 3 + "</div>"), [LONG, OTHER]),
+    "links to reply": (page(f"<div><p>{LONG}</p></div><ul>" + f"<li><p>{OTHER}</p><p><a href=#>Reply</a></p></li>" * 3 + "</ul>"), [LONG]),
+    "dates in a list": (page(f"<div><p>{LONG}</p><ul>" + "<li><time>1990</time> it began, and went on</li>" * 3 + "</ul></div>"), [LONG] + ["1990 it began, and went on"] * 3),
+    "dated sections": (page("<article>" + f"<section><h2>S</h2><p><time>1990</time></p><p>{LONG}</p></section>" * 2 + "</article>"), ["S", "1990", LONG] * 2),
+    "heading of links": (page(f"<article><h1>T</h1><p>{LONG}</p><h3>Related</h3><ul><li><a href=a>one thing</a></li><li><a href=b>two</a></li></ul></article>"), ["T", LONG]),
+    "links between running text": (page(f"<article><p>{LONG}</p><ul><li><a href=a>one thing</a></li></ul><p>{OTHER}</p></article>"), [LONG, "one thing", OTHER]),
+    "frame": (page(f"<div class='widget'><div><p>{LONG}</p><p>{OTHER}</p></div></div><div class=sidebar><p>side text here</p></div>"), [LONG, OTHER]),
+    "equal containers": (page(f"<section><div><p>{LONG}</p></div><div class=right-box><p>{LONG}</p></div></section>"), [LONG, LONG]),
+    "header with the title": (page(f"<article><header><h1>T</h1></header><div class=body><p>{LONG}</p><p>{OTHER}</p></div></article>"), ["T", LONG, OTHER]),
     "link list": (page("<div><p><a href=1>" + LONG + "</a></p></div>" + f"<div><p>{OTHER}</p></div>"), [OTHER]),
 }
 
@@ -51,6 +67,69 @@ def test_odd_pages():
     assert main_text("<a " + "\"'=" * 30_000) == ""
 
 
+def test_depth_is_no_cost():
+    began = time.perf_counter()
+    assert main_text("<div>" * 40_000 + LONG) == LONG
+    once = time.perf_counter() - began
+    began = time.perf_counter()
+    main_text("<p><ul><li>" * 15_000 + "</i></li>" * 15_000 + LONG)
+    main_text("<div>" * 20_000 + "<li></li></x>" * 20_000)
+    assert once < 4 and time.perf_counter() - began < 12  # a generous bound: quadratic time takes minutes
+
+
+def plain_choice(page):
+    """The chosen container by its definition: every container's points from all blocks, one by one."""
+    _, nodes, blocks = html.parse(page)
+    html.exclude(nodes, blocks)
+    blocks = [b for b in blocks if not b.owner.out]
+
+    def up(node):
+        out = []
+        while node is not None:
+            out.append(node)
+            node = node.parent
+        return out
+
+    best = None
+    for node in nodes:
+        points = text = linked = 0
+        for b in blocks:
+            chain = up(b.owner)
+            if node not in chain:
+                continue
+            text, linked = text + len(b.text), linked + b.linked
+            steps = chain.index(node) + (0 if b.owner.tag in ("p", "li") else 1)
+            if b.owner.tag in ("h1", "h2") or 2 * b.linked > len(b.text) or not 1 <= steps <= 5:
+                continue
+            points += (0.5 if any(x.mark == 1 for x in chain) else 1) * (1 + b.text.count(",") + min(3, len(b.text) / 100)) / steps
+        score = points * (1 - (linked / text if text else 0)) * (2.2 if node.home else 1)
+        if score > 1e-9 and (best is None or score > best[0] + 1e-9):
+            best = (score, node.at)
+    return best and best[1]
+
+
+def test_choice_against_its_definition():
+    rng = random.Random(5)
+    words = ["one,", "two", "three", "four,", "five"]
+
+    def tree(depth):
+        out = ""
+        for _ in range(rng.randrange(1, 4)):
+            kind = rng.choice(["p", "p", "div", "section", "h2", "article", "a"]) if depth else rng.choice(["p", "h2", "a"])
+            text = " ".join(rng.choice(words) for _ in range(rng.choice([2, 30, 80])))
+            name = rng.choice(["", "", " class='legal-analysis'", " class=sidebar"])
+            out += f"<div><a href=x>{text}</a></div>" if kind == "a" else f"<{kind}>{text}</{kind}>" if kind in ("p", "h2") else f"<{kind}{name}>{tree(depth - 1)}</{kind}>"
+        return out
+
+    for _ in range(150):
+        source = f"<body>{tree(4)}</body>"
+        _, nodes, blocks = html.parse(source)
+        html.exclude(nodes, blocks)
+        got = html.choose(nodes, [b for b in blocks if not b.owner.out])
+        want = plain_choice(source)
+        assert (got and got.at) == want or abs(html.value(got) - html.value(nodes[want])) < 1e-9, source
+
+
 def test_query(spark, tmp_path):
     rows = [(1, "u", CASES["article"][0], "t"), (2, None, None, "t"), (2, None, None, "t"), (None, "v", "<p>x", "t")]
     spark.createDataFrame(rows, "page_id long, url string, html string, text string").write.parquet(f"{tmp_path}/pages.parquet")
