@@ -1,19 +1,22 @@
 """Cross-entropy difference: matched target and background n-gram models over one vocabulary.
 
 Tokens are lower-cased words. Both models count unigrams and bigrams exactly, each by its own 64-bit hash, over all texts: the
-background over every text, the target over the texts marked as wanted. The background's counts are scaled to the
-target's number of tokens, so that the models differ in what they have seen and not in how much. A word's probability is its
-bigram's relative frequency, smoothed towards its unigram's with weight MU, and that towards the uniform one over a nominal
-vocabulary of UNIGRAMS words with weight ALPHA. A text's score is the mean over its tokens of the target's loss less the
-background's: low where a text looks like the wanted ones.
+background over every text, the target over the texts marked as wanted. The models are matched: the background's counts are scaled to the
+target's number of tokens, which is what samples of the target's size hold on average, so that the models differ in what they have seen
+and not in how much. They share one vocabulary, all distinct words of all texts, V of them. A word's probability is its bigram's relative
+frequency, smoothed towards its unigram's with weight MU, and that towards 1 / V with weight ALPHA * V.
+
+No text scores itself: its own counts are taken out of the background, and out of the target if it is wanted, before it is scored. A text
+whose n-grams stand nowhere else is so judged by its words alone, while one of which another copy stands in the corpus is not. A text's score is the
+mean over its tokens of the target's loss less the background's: low where a text looks like the wanted ones.
 
 Counts grow with the input, so no task and not the driver holds them all. Texts are packed into chunks, one row each. A chunk
 sends its distinct n-grams, sorted and cut into ranges of the hash, with its own counts; the task of a range adds up all chunks'
 and answers each with the sums, in the order of its question. The chunk, joined with its answers, makes the same sorted
 list again and scores its texts. A frequent n-gram is one entry a chunk, however often it stands in it.
 
-Edge cases: a text without words (null, empty) has 0 tokens and null losses and score; without wanted texts all
-scores are 0; repeated rows count as often as they stand; a null id is never wanted; an empty table gives an empty result;
+Edge cases: a text without words (null, empty) has 0 tokens and null losses and score; without wanted texts the
+background too is scaled to nothing, and all scores are 0; repeated rows count as often as they stand; a null id is never wanted; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -29,7 +32,6 @@ from pyspark.sql import types as T
 from .staging import pick, stage
 from .textkernel import U64, Words, mix, word_chunks
 
-UNIGRAMS = 1 << 17
 MU = 4.0
 ALPHA = 0.1
 CHUNK = 4 << 20
@@ -39,12 +41,12 @@ LOSSES = "n_tokens long, target_loss double, background_loss double"
 
 
 def tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unigrams, bigrams (of a word and the one before), and which words have none before them."""
+    """Unigrams (even), bigrams of a word and the one before (odd), and which words have none before them."""
     pair = np.zeros(len(words.hash), U64)
-    pair[1:] = mix(words.hash[:-1] * U64(0x9E3779B97F4A7C15) + words.hash[1:], 71)
+    pair[1:] = mix(words.hash[:-1] * U64(0x9E3779B97F4A7C15) + words.hash[1:], 71) | U64(1)
     first = np.zeros(len(pair) + 1, bool)
     first[words.bound] = True
-    return words.hash, pair, first[:-1]
+    return words.hash & ~U64(1), pair, first[:-1]
 
 
 def _chunks(batches):
@@ -99,13 +101,25 @@ class Chunk:
         at = np.concatenate([self.one[chosen], self.pair[chosen & ~self.first]])
         return np.bincount(at, minlength=len(self.keys))
 
-    def losses(self, counts: np.ndarray, total: float) -> np.ndarray:
-        """Per token in nats, ``counts`` by n-gram."""
-        single = counts[self.one]
-        p = (single + ALPHA) / (total + ALPHA * UNIGRAMS)
+    def own(self, places: np.ndarray) -> np.ndarray:
+        """Per token how often the n-gram at ``places`` stands in the token's own text."""
+        text = np.repeat(np.arange(len(self.size)), self.size)
+        _, at, n = np.unique(text * np.int64(len(self.keys) + 1) + places, return_inverse=True, return_counts=True)
+        return n[at]
+
+    def losses(self, counts: np.ndarray, scale: float, total: int, vocabulary: int, without: np.ndarray) -> np.ndarray:
+        """Per token in nats, from ``counts`` by n-gram of ``total`` tokens; of the texts marked in ``without`` the own counts
+        are taken out first. All is scaled then."""
+        out = np.repeat(without, self.size)
+        places = np.where(self.first, len(self.keys), self.pair)
+        single = (counts[self.one] - out * self.own(self.one)) * scale
+        double = (np.append(counts, 0)[places] - out * ~self.first * self.own(places)) * scale
+        # the word before stands in the same text, and is counted there as often
+        rest = (total - np.repeat(without * self.size, self.size)) * scale
+        p = (single + ALPHA) / (rest + ALPHA * vocabulary)
         before = np.zeros(len(single))
         before[1:] = single[:-1]
-        return -np.log(np.where(self.first, p, (counts[self.pair] + MU * p) / (before + MU)))
+        return -np.log(np.where(self.first, p, (double + MU * p) / (before + MU)))
 
 
 def _questions(bits: int):
@@ -128,7 +142,7 @@ def _questions(bits: int):
 
 
 QUESTION = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("target", pa.binary()), ("background", pa.binary()), ("n_target", pa.int64()), ("n_background", pa.int64())])
-ANSWER = pa.schema([QUESTION.field(c) for c in ("part", "chunk", "n", "target", "background", "n_target", "n_background")])
+ANSWER = pa.schema([*(QUESTION.field(c) for c in ("part", "chunk", "n", "target", "background", "n_target", "n_background")), ("n_words", pa.int64())])
 
 
 def _answers(batches):
@@ -138,7 +152,10 @@ def _answers(batches):
     def flush():
         bound = np.cumsum([0, *(r["n"] for r in held)])
         keys = np.concatenate([np.cumsum(unpacked(r["keys"], r["n"], U64), dtype=U64) for r in held])
-        _, at = np.unique(keys, return_inverse=True)
+        distinct, at = np.unique(keys, return_inverse=True)
+        for r in held:
+            r["n_words"] = 0
+        held[0]["n_words"] = int((distinct & U64(1) == 0).sum())
         for c in ("target", "background"):
             sums = np.bincount(at, np.concatenate([unpacked(r[c], r["n"]) for r in held])).astype(np.int64)[at]
             for k, r in enumerate(held):
@@ -170,7 +187,7 @@ def score(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col:
     bits = max(RANGES, chunks.count() // 4).bit_length() - 1
     asked = chunks.select("chunk", "texts", "wanted").mapInArrow(_questions(bits), _ddl(QUESTION))
     answers = stage(asked.repartition("part").sortWithinPartitions("part").mapInArrow(_answers, _ddl(ANSWER)), "answers")
-    total = [x or 0 for x in answers.agg(F.sum("n_target"), F.sum("n_background")).first()]
+    *total, vocabulary = [x or 0 for x in answers.agg(F.sum("n_target"), F.sum("n_background"), F.sum("n_words")).first()]
     scale = (1.0, total[0] / total[1] if total[1] else 1.0)
 
     def run(batches):
@@ -178,14 +195,16 @@ def score(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col:
             for i in range(batch.num_rows):
                 chunk = Chunk(batch.column(1)[i].values)
                 replies = sorted(batch.column(2)[i].as_py() or (), key=lambda r: r["part"])
+                wanted = batch.column(3)[i].values.to_numpy(zero_copy_only=False).astype(bool)
                 mean = []
-                for c, factor in zip(("target", "background"), scale, strict=True):
-                    counts = np.concatenate([np.zeros(0), *(unpacked(r[c], r["n"]) for r in replies)]) * factor
-                    sums = np.append(0.0, np.cumsum(chunk.losses(counts, total[0]))) if len(counts) else np.zeros(1)
+                for k, c in enumerate(("target", "background")):
+                    counts = np.concatenate([np.zeros(0, np.int64), *(unpacked(r[c], r["n"]) for r in replies)])
+                    losses = chunk.losses(counts, scale[k], total[k], vocabulary, wanted | bool(k)) if len(counts) else np.zeros(0)
+                    sums = np.append(0.0, np.cumsum(losses))
                     mean.append(pa.array((sums[chunk.bound[1:]] - sums[chunk.bound[:-1]]) / np.maximum(chunk.size, 1), mask=chunk.size == 0))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i].values, pa.array(chunk.size.astype(np.int64)), *mean], ["key", "n_tokens", "target_loss", "background_loss"])
 
     schema = T.StructType([T.StructField("key", key), *T._parse_datatype_string(LOSSES).fields])
     replies = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "n", "target", "background")).alias("replies"))
-    scored = chunks.select("chunk", "ids", "texts").join(replies, "chunk", "left").select("ids", "texts", "replies").mapInArrow(run, schema)
+    scored = chunks.join(replies, "chunk", "left").select("ids", "texts", "replies", "wanted").mapInArrow(run, schema)
     return scored.withColumnRenamed("key", id_col).withColumn("score", F.col("target_loss") - F.col("background_loss"))

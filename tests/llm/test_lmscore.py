@@ -1,54 +1,37 @@
 import math
 import re
+from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from sievework.llm import lmscore
 from sievework.llm.queries import op3_lmscore
-from sievework.llm.textkernel import word_chunks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute_force(rows, wanted):
-    """doc_id -> (tokens, target loss, background loss) with dictionaries over the same buckets."""
-    buckets = {}
-    for i, text in rows:
-        uni, bi, first = [], [], []
-        for _, _, words in word_chunks(pa.array([text or ""]), lower=True):
-            one, pair, begins = lmscore.tokens(words)
-            uni, bi, first = one.tolist(), pair.tolist(), begins.tolist()
-        assert len(uni) == len(WORD.findall(text or ""))
-        buckets.setdefault(i, []).append((uni, bi, first))
-    models = []
-    for k in (0, 1):
-        single, double = {}, {}
-        for i, texts in buckets.items():
-            for uni, bi, first in texts:
-                if k or i in wanted:
-                    for u, b, f in zip(uni, bi, first):
-                        single[u] = single.get(u, 0) + 1
-                        if not f:
-                            double[b] = double.get(b, 0) + 1
-        models.append((single, double))
-    total = sum(models[0][0].values())
-    scale = [1.0, total / max(1, sum(models[1][0].values()))]
+    """(doc_id, tokens, target loss, background loss) of every row, from the words themselves; each row's own counts are left out."""
+    texts = [(i, [w.lower() for w in WORD.findall(t or "")]) for i, t in rows]
+    count = lambda some: (Counter(w for t in some for w in t), Counter(p for t in some for p in zip(t, t[1:])), sum(map(len, some)))
+    models = count([t for i, t in texts if i in wanted]), count([t for _, t in texts])
+    scales = 1.0, models[0][2] / max(1, models[1][2])
+    vocabulary = len(models[1][0])
     out = []
-    for i, texts in buckets.items():
-        for uni, bi, first in texts:
-            sums = []
-            for k in (0, 1):
-                single, double = models[k]
-                loss = 0.0
-                for j, (u, b) in enumerate(zip(uni, bi)):
-                    p = (single.get(u, 0) * scale[k] + lmscore.ALPHA) / (total + lmscore.ALPHA * lmscore.UNIGRAMS)
-                    if not first[j]:
-                        p = (double.get(b, 0) * scale[k] + lmscore.MU * p) / (single.get(uni[j - 1], 0) * scale[k] + lmscore.MU)
-                    loss -= math.log(p)
-                sums.append(loss / len(uni) if uni else None)
-            out.append((i, len(uni), *sums))
+    for i, text in texts:
+        own = count([text])
+        means = []
+        for (one, two, total), scale, inside in zip(models, scales, (i in wanted, True)):
+            left = lambda all_, mine, x: (all_[x] - inside * mine[x]) * scale  # noqa: B023, E731
+            loss = 0.0
+            for before, word in zip([None, *text], text):
+                p = (left(one, own[0], word) + lmscore.ALPHA) / ((total - inside * len(text)) * scale + lmscore.ALPHA * vocabulary)
+                if before is not None:
+                    p = (left(two, own[1], (before, word)) + lmscore.MU * p) / (left(one, own[0], before) + lmscore.MU)
+                loss -= math.log(p)
+            means.append(loss / len(text) if text else None)
+        out.append((i, len(text), *means))
     return out
 
 
@@ -84,28 +67,27 @@ def test_nothing_wanted_and_empty(spark):
 
 
 def test_counts_are_those_of_the_words_themselves(spark, monkeypatch):
-    """Against strings: 60,000 distinct words and pairs, several chunks and ranges, none may share a count."""
+    """60,000 distinct words and pairs, several chunks and ranges: none may share a count."""
     monkeypatch.setattr(lmscore, "CHUNK", 20_000, raising=False)
     rng = np.random.default_rng(5)
     rows = [(i, " ".join([f"x{x}" for x in rng.integers(0, 60_000, 600)] + ["the"] * 200)) for i in range(200)]
+    rows += [(300, rows[7][1]), (301, rows[9][1])]
     wanted = set(range(0, 200, 3))
-    one, two, total = [{}, {}], [{}, {}], [0, 0]
-    for i, text in rows:
-        words = text.split()
-        for k in (0, 1):
-            if k or i in wanted:
-                total[k] += len(words)
-                for a, b in zip([None, *words], words):
-                    one[k][b] = one[k].get(b, 0) + 1
-                    two[k][a, b] = two[k].get((a, b), 0) + 1
     docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
     got = {r.doc_id: r for r in lmscore.score(docs, spark.createDataFrame([(i,) for i in wanted], "doc_id int")).collect()}
     assert len(got) == len(rows)
-    for i, text in rows:
-        words = text.split()
-        for k, name in enumerate(("target_loss", "background_loss")):
-            scale, loss = (1.0, total[0] / total[1])[k], 0.0
-            for a, b in zip([None, *words], words):
-                p = (one[k].get(b, 0) * scale + lmscore.ALPHA) / (total[0] + lmscore.ALPHA * lmscore.UNIGRAMS)
-                loss -= math.log(p if a is None else (two[k].get((a, b), 0) * scale + lmscore.MU * p) / (one[k].get(a, 0) * scale + lmscore.MU))
-            assert got[i][name] == pytest.approx(loss / len(words), rel=1e-9)
+    for i, _, *losses in brute_force(rows, wanted):
+        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(tuple(losses), rel=1e-9)
+
+
+def test_texts_that_stand_twice_score_apart(spark):
+    """Planted in a driver table: texts of invented words, each twice; their losses differ from all that stand once."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(9)
+    planted = [(10**9 + i, " ".join(f"q{x:x}z" for x in rng.integers(0, 1 << 40, 200))) for i in range(40)]
+    planted += [(2 * 10**9 + i % 10**9, t) for i, t in planted]
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id")
+    got = lmscore.score(docs.union(spark.createDataFrame(planted, "doc_id long, text string")), labels).collect()
+    ours = [r.score for r in got if r.doc_id >= 10**9]
+    rest = sorted(r.score for r in got if r.doc_id < 10**9 and r.score is not None)
+    assert sum(x > rest[int(0.95 * len(rest))] for x in ours) >= 0.9 * len(ours)
