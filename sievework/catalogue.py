@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.plans import datasets, reviews, scan, scores, spans, training  # noqa: F401  (each registers its queries)
+from sievework.plans import code, datasets, findings, reviews, scan, scores, spans, training  # noqa: F401  (each registers its queries)
 from sievework.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,6 +6,7 @@ from __future__ import annotations
 import difflib
 import json
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -72,36 +73,40 @@ CALLED = re.compile(r"([A-Za-z_~][\w:~]*|operator\s*[^\s\w(]{1,3}|operator\s*\(\
 LOOK_BACK = 40
 
 
-def function_spans(text: str) -> list[tuple[int, int]]:
+def function_spans(text: str, masked: str | None = None) -> list[tuple[int, int]]:
     """(first line, line after the last), from 0, of function bodies with their signatures.
 
     Braces are matched on masked text. A brace opens a function if what stands before it back to the last `;`, `{`, `}` or
     preprocessor line is a signature: a name with a parameter list and nothing that assigns behind it. Braces of classes, namespaces and the like are
-    looked into; those inside functions are not.
+    looked into; those inside functions and initialisers are not.
     """
-    code = re.sub(r"(?m)^[ \t]*#(?:.*\\\n)*.*$", lambda m: re.sub(r"[^\n]", " ", m.group()), mask(text))
+    code = re.sub(r"(?m)^[ \t]*#(?:.*\\\n)*.*$", lambda m: re.sub(r"[^\n]", " ", m.group()), mask(text) if masked is None else masked)
+    breaks = [m.start() for m in re.finditer("\n", code)]
     spans: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
-    begin = 0
+    begin = functions = 0
     for m in re.finditer(r"[{};]", code):
         at, c = m.start(), m.group()
         if c == "{":
+            if functions or stack and stack[-1][0] == "values":
+                stack.append(("inner" if functions else "values", begin))
+                begin = m.end() if functions else begin
+                continue
             head = code[begin:at]
-            inside = any(kind == "function" for kind, _ in stack)
-            kind = "other" if inside else "function" if _is_signature(head) else "container" if CONTAINER.search(head) else "other"
+            kind = "function" if _is_signature(head) else "container" if CONTAINER.search(head) else "values" if head.rstrip().endswith(("=", ",", "(", "{")) else "other"
             stack.append((kind, begin + len(head) - len(head.lstrip())))
-            if kind != "other" or inside:
+            functions += kind == "function"
+            if kind in ("function", "container"):
                 begin = m.end()
         elif c == "}":
-            if stack:
-                kind, start = stack.pop()
-                if kind == "function":
-                    first = text.count("\n", 0, start)
-                    spans.append((max(first, text.count("\n", 0, at) - 10**9), text.count("\n", 0, at) + 1))
-                if kind == "other" and not any(k == "function" for k, _ in stack):
-                    continue  # an initialiser: what follows still belongs to its declaration
+            kind, start = stack.pop() if stack else ("", 0)
+            if kind == "function":
+                functions -= 1
+                spans.append((bisect_left(breaks, start), bisect_left(breaks, at) + 1))
+            if kind in ("other", "values"):
+                continue  # what follows still belongs to the declaration
             begin = m.end()
-        elif not _old_style(code[begin:at]):
+        elif (functions or not _old_style(code[begin:at])) and not (stack and stack[-1][0] == "values"):
             begin = m.end()
     return sorted(spans)
 
@@ -153,47 +158,38 @@ def call_arguments(text: str) -> list[str] | None:
 
 
 def repair_json(text: str) -> str | None:
-    """A document cut off in the middle, closed after its last complete element; None where nothing can be saved."""
+    """A document cut off in the middle, cut back to the end of its last complete element (a comma or a closing bracket outside strings)
+    and closed there. A whole document is left alone; None where nothing can be saved."""
     text = text.strip()
     try:
         json.loads(text)
         return text
     except ValueError:
         pass
-    stack: list[str] = []
-    points: list[tuple[int, str]] = []
-    quoted = escaped = False
-    for i, c in enumerate(text):
-        if quoted:
-            escaped = c == "\\" and not escaped
-            if c == '"' and not (text[i - 1] == "\\" and _odd_backslashes(text, i)):
-                quoted = False
-            continue
-        if c == '"':
-            quoted = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-            points.append((i + 1, "".join(reversed(stack))))
+    open_: list[str] = []
+    last = None
+    for m in JSON_TOKEN.finditer(text):
+        c = m.group()[0]
+        if c in "{[":
+            open_.append("}" if c == "{" else "]")
         elif c in "}]":
-            if not stack or stack.pop() != c:
+            if not open_ or open_.pop() != c:
                 break
-            points.append((i + 1, "".join(reversed(stack))))
-        elif c == "," and stack:
-            points.append((i, "".join(reversed(stack))))
-    for at, closing in reversed(points[-200:]):
-        try:
-            json.loads(text[:at] + closing)
-            return text[:at] + closing
-        except ValueError:
-            continue
-    return None
+            last = m.end(), "".join(reversed(open_))
+        elif c == ",":
+            last = m.start(), "".join(reversed(open_))
+    if last is None or not last[0]:
+        return None
+    out = text[: last[0]] + last[1]
+    try:
+        json.loads(out)
+    except ValueError:
+        return None
+    return out
 
 
-def _odd_backslashes(text: str, i: int) -> bool:
-    n = 0
-    while i - n - 1 >= 0 and text[i - n - 1] == "\\":
-        n += 1
-    return n % 2 == 1
+#: Strings, closed or not, and what stands between elements.
+JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[\[\]{},]', re.S)
 
 
 def similarity(a: str, b: str) -> float:
@@ -202,17 +198,16 @@ def similarity(a: str, b: str) -> float:
 
 
 def enclosing_condition(lines: list[str], line: int) -> str:
-    """The condition of the innermost block around ``line`` (from 1), or ''."""
-    stack: list[str] = []
-    for i, code in enumerate(mask("\n".join(lines)).split("\n")[: line], 1):
-        for m in re.finditer(r"[{}]", code if i < line else ""):
-            if m.group() == "{":
-                head = " ".join(x.strip() for x in lines[max(0, i - 3) : i])
-                found = re.findall(r"\b(?:if|while|for|switch)\s*\(([^{}]*)\)\s*\{", head)
-                stack.append(found[-1].strip() if found else "")
-            elif stack:
+    """Where the innermost block around ``line`` (from 1, with its own braces) is opened: that line and the two before it, as
+    one; '' outside all blocks. Braces in comments and literals don't count."""
+    stack: list[int] = []
+    for i, code in enumerate(mask("\n".join(lines)).split("\n")[:line], 1):
+        for c in code:
+            if c == "{":
+                stack.append(i)
+            elif c == "}" and stack:
                 stack.pop()
-    return next((c for c in reversed(stack) if c), "")
+    return " ".join(lines[max(0, stack[-1] - 3) : stack[-1]]) if stack else ""
 
 
 @F.pandas_udf(T.StringType())
@@ -230,6 +225,15 @@ def repair_json_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else repair_json(t))
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+def similarity_udf(threshold: float):
+    """Whether two texts are similar to at least the threshold; upper bounds of the share are tried first."""
+
+    @F.pandas_udf(T.BooleanType())
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            m = difflib.SequenceMatcher(None, x, y)
+            out.append(m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold)
+        return pd.Series(out, dtype=bool)
+
+    return near

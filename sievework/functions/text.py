@@ -8,8 +8,20 @@ from pyspark.sql import functions as F
 #: White space as Python's str.split() sees it, spelt out so that Spark and other engines agree.
 ANY_SPACE = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 SEVERITIES = ("info", "low", "medium", "high", "critical")
-TRUE_WORDS = ("1", "true", "yes", "y", "t", "vulnerable", "bad", "positive")
-FALSE_WORDS = ("0", "false", "no", "n", "f", "safe", "good", "negative", "clean", "")
+#: What labels, severities and levels are called.
+TRUE_WORDS = ("1", "true", "yes", "vul", "vulnerable")
+FALSE_WORDS = ("0", "false", "no", "nonvul", "clean", "safe")
+SEVERITY_SYNONYMS = {"moderate": "medium", "important": "high", "severe": "high", "warning": "medium", "informational": "info", "note": "info", "blocker": "critical", "none": "info"}
+ERROR_LEVEL = ("critical", "high", "error")
+NOTE_LEVEL = ("low", "info", "style", "performance", "portability", "information", "informational", "note")
+SEVERITY_CONFIDENCE = {"info": 0.25, "low": 0.4, "medium": 0.6, "high": 0.8, "critical": 0.95}
+#: Words that don't tell one finding from another, in titles and in anchors, and words of C types.
+STOP_WORDS = ("the", "a", "an", "of", "in", "on", "to", "and", "or", "is", "for", "with", "without", "via", "by", "unchecked", "missing", "possible", "potential", "buffer", "issue", "field", "value", "data", "code")
+GENERIC_ANCHORS = (
+    "dhcp", "packet", "message", "size", "len", "length", "code", "buf", "buffer", "offset", "option", "options", "field", "value", "data", "type", "flag", "flags", "const", "void",
+    "struct", "char", "enum", "define", "sizeof", "uint8", "uint16", "uint32", "int32", "be32", "be16", "bool", "null",
+)
+TYPE_WORDS = ("uint8_t", "uint16_t", "uint32_t", "uint64_t", "be32_t", "be16_t", "int", "int32_t", "int16_t", "struct", "define", "char", "void", "size_t", "const", "union", "enum", "unsigned", "bool")
 
 
 def collapse_space(text: Column) -> Column:
@@ -42,32 +54,56 @@ def severity_rank(severity: Column, default: int = 0) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.trim(severity))), F.lit(default))
 
 
-def normalize_severity(severity: Column, default: str = "medium") -> Column:
-    """Synonyms to the five names; what is unknown becomes ``default``."""
+def normalize_severity(severity: Column, default: str | None = "medium") -> Column:
+    """Synonyms to the five names; what is unknown, or null, becomes ``default``."""
     s = F.lower(F.trim(severity))
-    return F.when(s.isin(*SEVERITIES), s).when(s.isin("moderate", "med"), "medium").when(s.isin("severe", "important", "error"), "high").when(s.isin("minor", "note"), "low").when(s.isin("informational", "none"), "info").otherwise(default)
+    names = F.create_map(*[F.lit(x) for pair in (*SEVERITY_SYNONYMS.items(), *zip(SEVERITIES, SEVERITIES, strict=True)) for x in pair])
+    return F.coalesce(F.try_element_at(names, s), F.lit(default))
 
 
-def sarif_level(severity: Column) -> Column:
+def known_severity(severity: Column) -> Column:
+    """One of the five names, in lower case, or null; no synonyms."""
     s = F.lower(F.trim(severity))
-    return F.when(s.isin("critical", "high", "error", "severe"), "error").when(s.isin("low", "info", "note", "informational", "style", "none"), "note").otherwise("warning")
+    return F.when(s.isin(*SEVERITIES), s)
+
+
+def sarif_level(severity: Column) -> Column:
+    s = F.lower(severity)
+    return F.when(s.isin(*ERROR_LEVEL), "error").when(s.isin(*NOTE_LEVEL), "note").otherwise("warning")
 
 
 def normalize_label(value: Column) -> Column:
-    """null stays null; known words and integers to 0/1; anything else 0."""
+    """null stays null; known words become 0 and 1, integers stay what they are, anything else is 0."""
     s = F.lower(F.trim(value.cast("string")))
-    number = s.try_cast("int")
-    return F.when(value.isNull(), None).when(s.isin(*TRUE_WORDS), 1).when(s.isin(*FALSE_WORDS), 0).when(number.isNotNull(), F.when(number != 0, 1).otherwise(0)).otherwise(0)
+    number = F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("int"))
+    return F.when(value.isNull(), None).when(s.isin(*TRUE_WORDS), 1).when(s.isin(*FALSE_WORDS), 0).otherwise(F.coalesce(number, F.lit(0)))
 
 
 def normalize_language(value: Column, default: str = "c") -> Column:
-    s = F.lower(F.trim(value))
-    return F.when(s.isin("c++", "cpp", "cxx", "cc"), "cpp").when(s.isin("c", "h"), "c").when(s.isNull() | (s == ""), default).otherwise(s)
+    s = F.coalesce(F.lower(F.trim(value)), F.lit(""))
+    return F.when(s == "", default).when(s.isin("c++", "cpp", "cxx"), "cpp").otherwise(s)
+
+
+def language_of_path(path: Column, default: str = "c", headers: str = "cpp") -> Column:
+    """By the ending, case aside. Headers are taken for C++, which also reads C."""
+    ext = F.lower(F.regexp_extract(path, r"[^/.][^/]*(\.[^./]*)$", 1))
+    return F.when(ext.isin(*CPP), "cpp").when(ext == ".h", headers).when(ext == ".c", "c").otherwise(default)
+
+
+#: Endings of C++ files, and those that no other language has.
+CPP = (".cpp", ".cc", ".cxx", ".c++", ".hpp", ".hh", ".hxx", ".h++", ".tcc", ".ipp", ".inl")
+ONLY_CPP = (".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx")
+
+
+def only_language(path: Column, endings: tuple[str, ...] = ONLY_CPP) -> Column:
+    """Whether a file's name has one of the endings; null, blank and the word `None` have none."""
+    ext = F.lower(F.regexp_extract(missing_word(F.trim(path)), r"[^/.][^/]*(\.[^./]*)$", 1))
+    return F.coalesce(ext.isin(*endings), F.lit(False))
 
 
-def language_of_path(path: Column) -> Column:
-    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z+]+)$", 1))
-    return F.when(ext.isin("cpp", "cc", "cxx", "c++", "hpp", "hh", "hxx", "h", "inl", "ipp", "tpp"), "cpp").when(ext == "c", "c").otherwise("c")
+def missing_word(value: Column, word: str = "None") -> Column:
+    """null for the word that stands for a missing value."""
+    return F.when(value != word, value)
 
 
 def first_cwe(text: Column) -> Column:
@@ -89,13 +125,15 @@ def line_numbers(text: Column) -> Column:
 
 
 def region(start: Column, end: Column, matches: Column) -> Column:
-    """struct(start_line, end_line): the span of the matched lines clamped into the finding's own span, 1 <= start <= end."""
+    """struct(start_line, end_line), 1 <= start <= end: the span of the matched lines, clamped into the finding's own span if that is
+    known, else the finding's span. A null start is unknown, 0 is a line out of range."""
     low = F.greatest(F.lit(1), F.coalesce(start, F.lit(1)))
-    high = F.greatest(low, F.coalesce(F.nullif(end, F.lit(0)), low))
-    inside = F.filter(F.coalesce(matches, F.array().cast("array<int>")), lambda n: n.isNotNull())
-    clamp = lambda n: F.least(high, F.greatest(low, n))
-    first = F.when(F.size(inside) > 0, clamp(F.array_min(inside))).otherwise(low)
-    last = F.when(F.size(inside) > 0, clamp(F.array_max(inside))).otherwise(high)
+    high = F.greatest(low, F.coalesce(end, low))
+    inside = F.transform(F.filter(F.coalesce(matches, F.array().cast("array<int>")), lambda n: n.isNotNull()), lambda n: F.greatest(F.lit(1), n))
+    clamp = lambda n: F.when(start.isNull(), n).otherwise(F.least(high, F.greatest(low, n)))
+    some = F.size(inside) > 0
+    first = F.when(some, clamp(F.array_min(inside))).otherwise(low)
+    last = F.when(some, clamp(F.array_max(inside))).otherwise(high)
     return F.struct(first.cast("int").alias("start_line"), F.greatest(first, last).cast("int").alias("end_line"))
 
 
@@ -107,17 +145,42 @@ def confidence(score: Column, has_rule: Column) -> Column:
 
 
 def graded_confidence(severity: Column, flags: Column, fix_withheld: Column) -> Column:
-    """From the severity's base, 0.2 less a flag and 0.1 less for a withheld fix, at least 0.05."""
-    base = F.element_at(F.array(*map(F.lit, (0.5, 0.6, 0.7, 0.8, 0.9))), severity_rank(severity, 2) + 1)
-    return F.greatest(F.lit(0.05), base - flags * F.lit(0.2) - F.when(fix_withheld, 0.1).otherwise(0.0))
+    """From the severity's base, 0.2 less a flag and 0.1 less for a withheld fix, at least 0.05, to two places."""
+    base = F.element_at(F.array(*[F.lit(SEVERITY_CONFIDENCE[x]) for x in SEVERITIES]), severity_rank(normalize_severity(severity)) + 1)
+    return F.round(F.greatest(F.lit(0.05), base - flags * F.lit(0.2) - F.when(fix_withheld, 0.1).otherwise(0.0)), 2)
 
 
-def tokens(text: Column, stop: tuple[str, ...] = ("the", "and", "for", "with", "that", "this", "from"), least: int = 3) -> Column:
+def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS, least: int = 3, pattern: str = "[a-z0-9_]+") -> Column:
     """Distinct words of letters, digits and _ that are long enough and no stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({pattern})"), F.lit(1))
     return F.array_except(F.filter(found, lambda t: F.length(t) >= least), F.array(*map(F.lit, stop)))
 
 
+def anchor_identifiers(text: Column) -> Column:
+    """Distinct identifiers that tell one place in code from another."""
+    return tokens(text, GENERIC_ANCHORS, 4, "[a-z_][a-z0-9_]{3,}")
+
+
+def identifier(anchor: Column) -> Column:
+    """The longest identifier of an anchor that is no word of a type, the first of equals, in lower case and at most 40 characters;
+    without one, the anchor's words."""
+    anchor = F.coalesce(anchor, F.lit(""))
+    found = F.regexp_extract_all(anchor, F.lit("([A-Za-z_][A-Za-z0-9_]{2,})"), F.lit(1))
+    found = F.filter(found, lambda t: ~F.lower(t).isin(*TYPE_WORDS))
+    longest = F.reduce(found, F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
+    return F.substring(F.when(longest != "", F.lower(longest)).otherwise(words_only(anchor)), 1, 40)
+
+
+def words_only(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
+
+
+def anchor_key(cwe: Column, anchor: Column, title: Column) -> Column:
+    """struct(cwe, ident): one site in code, however it is described; the title stands in for an anchor that says nothing."""
+    ident = F.coalesce(F.nullif(identifier(anchor), F.lit("")), F.substring(words_only(F.coalesce(title, F.lit(""))), 1, 24))
+    return F.struct(F.lower(F.coalesce(cwe, F.lit(""))).alias("cwe"), ident.alias("ident"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
@@ -128,7 +191,9 @@ def basename(path: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^(?:\./)+", "")
+    """With / only, and without . steps and doubled or trailing /."""
+    path = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/{2,}", "/")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"/(?:\./)+", "/"), r"^(?:\./)+", ""), "(?<=.)/$", "")
 
 
 def html_escape(text: Column) -> Column:
@@ -149,8 +214,14 @@ def first_of(*values: Column) -> Column:
 
 
 def serialized_bytes(*columns: str) -> Column:
-    """Bytes of the row as one JSON line."""
-    return (F.octet_length(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})) + 1).cast("long")
+    """Bytes of the row as one JSON line with a space behind each comma and colon between its fields, nulls written out."""
+    compact = F.octet_length(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    return (compact + 2 * len(columns) - 1 + 1).cast("long")
+
+
+def numbered_lines(text: Column) -> Column:
+    """Every line of a text behind its number."""
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line, i: F.format_string("%4d| %s", i + 1, line)), "\n")
 
 
 def footprint_gb(weights_gb: Column, kv_gb_per_k: Column, context_k: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.operators.ranks import running_sums
 
@@ -84,3 +88,39 @@ def quality_gate(spark: SparkSession, metrics: DataFrame, floors: dict[str, floa
 
 def counts_by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.nullif(F.lower(F.col(column)), F.lit("")), F.lit("?")).alias(column)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def score_texts(text: Column, load: Callable[[], Callable[[list[str]], list[float]]], batch: int = 256) -> Column:
+    """Scores by any scorer. ``load`` is called once a task and returns what scores a list of at most ``batch`` texts; null has no score."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = load()
+        for column in columns:
+            out: list[float | None] = []
+            for at in range(0, len(column), batch):
+                texts = column.slice(at, batch).to_pylist()
+                scores = iter(scorer([t for t in texts if t is not None]))
+                out += [None if t is None else float(next(scores)) for t in texts]
+            yield pa.array(out, pa.float64())
+
+    return F.arrow_udf(run, T.DoubleType())(text)
+
+
+def map_in_order(df: DataFrame, seq: str, value: str, make: Callable[[], Callable[[str], str]], fallback: Callable[[str], str]) -> DataFrame:
+    """``df`` sorted by ``seq``, with result and failed: what a function that may fail makes of each value, in parallel; one that fails gets the fallback's
+    result and the run goes on."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = make()
+        for column in columns:
+            rows = []
+            for v in column.to_pylist():
+                try:
+                    rows.append((one(v), False))
+                except Exception:  # of any kind: the value's own result is the fallback
+                    rows.append((fallback(v), True))
+            yield pa.StructArray.from_arrays([pa.array([r for r, _ in rows], pa.string()), pa.array([f for _, f in rows], pa.bool_())], ["result", "failed"])
+
+    kind = T.StructType([T.StructField("result", T.StringType()), T.StructField("failed", T.BooleanType())])
+    out = df.withColumn("_made", F.arrow_udf(run, kind).asNondeterministic()(F.col(value)))
+    return out.select(*df.columns, "_made.*").orderBy(seq)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sievework.functions.text import jaccard, tokens
+from sievework.functions.lexical import enclosing_condition, similarity_udf
+from sievework.functions.text import anchor_identifiers, basename, jaccard, normal_path, severity_rank, tokens
 
 #: Topics in order of priority: (topic, pattern, CWE given, CWEs that may stand). Names, order and CWEs.
 TOPICS = [
@@ -23,7 +25,9 @@ TOPICS = [
     ("validation-gate", r"(validat|sanit|check).*(missing|skipp|bypass|absent)", "CWE-20", ("CWE-20", "CWE-697")),
     ("checksum", r"checksum|crc32", "CWE-125", ("CWE-125",)),
 ]
-WEIGHTS = {"grounding": 0.40, "coverage": 0.25, "findings": 0.20, "calibration": 0.15}
+#: Shares of the composite score, and credit for a quote that stands elsewhere, or in part.
+WEIGHTS = {"grounding": 40, "coverage": 25, "recall": 20, "classification": 15}
+ELSEWHERE, IN_PART = 0.40, 0.30
 
 
 def topic(text: Column) -> Column:
@@ -71,16 +75,43 @@ def pool_samples(samples: DataFrame, key: list[str], richness: Column, seq: str)
     return samples.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(best.alias("_row"), F.array_sort(F.collect_set("sample")).alias("samples"), F.count_distinct("sample").alias("n_samples")).select("_row.*", "samples", "n_samples")
 
 
+def _said(p: str, *names: str) -> Column:
+    return F.concat_ws(" ", *[F.coalesce(F.col(f"{p}{n}"), F.lit("")) for n in names])
+
+
 def similarity(a: str, b: str) -> Column:
-    """0.6 for an overlap of lines in one file or a shared identifier, 0.2 for the same CWE, 0.2 times the Jaccard of words; an empty file never matches.
-    ``a`` and ``b`` are prefixes of columns file, start_line, end_line, cwe and text."""
+    """0.6 for an overlap of lines or a shared identifier in files of one name, 0.2 for the same CWE number, 0.2 times the Jaccard of words.
+    ``a`` and ``b`` are prefixes of columns file, start_line, end_line, cwe, title, bug_class and anchor. An empty file is no file."""
     c = lambda p, n: F.col(f"{p}{n}")
-    overlap = (c(a, "start_line") <= c(b, "end_line")) & (c(b, "start_line") <= c(a, "end_line"))
-    ids = lambda p: F.filter(tokens(c(p, "text"), stop=("buffer", "length", "value", "data", "size", "check", "return")), lambda t: F.length(t) >= 4)
-    shared = F.arrays_overlap(ids(a), ids(b))
-    same_file = (c(a, "file") == c(b, "file")) & (c(a, "file") != "")
-    value = F.when(overlap | shared, 0.6).otherwise(0.0) + F.when(c(a, "cwe").eqNullSafe(c(b, "cwe")) & c(a, "cwe").isNotNull(), 0.2).otherwise(0.0) + F.lit(0.2) * jaccard(tokens(c(a, "text")), tokens(c(b, "text")))
-    return F.when(F.coalesce(same_file, F.lit(False)), value).otherwise(0.0)
+    name = lambda p: basename(F.coalesce(c(p, "file"), F.lit("")))
+    same_file = (name(a) == name(b)) & (F.coalesce(c(a, "file"), F.lit("")) != "")
+    overlap = F.coalesce((c(a, "start_line") <= c(b, "end_line")) & (c(b, "start_line") <= c(a, "end_line")), F.lit(False))
+    shared = F.arrays_overlap(anchor_identifiers(_said(a, "anchor", "title")), anchor_identifiers(_said(b, "anchor", "title")))
+    number = lambda p: F.regexp_extract(F.coalesce(c(p, "cwe"), F.lit("")), "[0-9]+", 0)
+    words = lambda p: tokens(_said(p, "title", "bug_class", "anchor"))
+    same_cwe = (number(a) != "") & (number(a) == number(b))
+    return F.when(same_file & (overlap | shared), 0.6).otherwise(0.0) + F.when(same_cwe, 0.2).otherwise(0.0) + F.lit(0.2) * jaccard(words(a), words(b))
+
+
+def similar_pairs(refs: DataFrame, cands: DataFrame, group: list[str], threshold: float = 0.5, bucket: int = 64) -> DataFrame:
+    """(group, ref_seq, cand_seq, sim) of all pairs of a group at or over the threshold, which must be over 0.4: such pairs share a file's name
+    and an identifier or lines, so they meet in a join on these and no other pairs are made. Both sides have group, seq and the columns of
+    ``similarity``."""
+    if threshold <= 0.4:
+        raise ValueError("pairs that share neither an identifier nor lines reach 0.4")
+    names = ["seq", "file", "start_line", "end_line", "cwe", "title", "bug_class", "anchor"]
+
+    def keyed(df: DataFrame, p: str) -> DataFrame:
+        low, high = (F.floor(F.col(f"{p}{n}") / bucket) for n in ("start_line", "end_line"))
+        at = F.when(F.col(f"{p}start_line") <= F.col(f"{p}end_line"), F.transform(F.sequence(low, high), lambda x: F.concat(F.lit("#"), x.cast("string"))))
+        marks = F.concat(anchor_identifiers(_said(p, "anchor", "title")), F.coalesce(at, F.array().cast("array<string>")))
+        df = df.select(*group, *[F.col(n).alias(f"{p}{n}") for n in names])
+        return df.where(F.coalesce(F.col(f"{p}file"), F.lit("")) != "").withColumn("name", basename(F.col(f"{p}file"))).withColumn("mark", F.explode(marks))
+
+    met = keyed(refs, "a_").select(*group, "name", "mark", "a_seq").join(keyed(cands, "b_").select(*group, "name", "mark", "b_seq"), [*group, "name", "mark"]).select(*group, "a_seq", "b_seq").distinct()
+    side = lambda df, p: df.select(*group, *[F.col(n).alias(f"{p}{n}") for n in names])
+    pairs = met.join(side(refs, "a_"), [*group, "a_seq"]).join(side(cands, "b_"), [*group, "b_seq"])
+    return pairs.select(*group, F.col("a_seq").alias("ref_seq"), F.col("b_seq").alias("cand_seq"), similarity("a_", "b_").alias("sim")).where(F.col("sim") >= threshold)
 
 
 def greedy_match(pairs: DataFrame, group: list[str], threshold: float = 0.5) -> DataFrame:
@@ -102,52 +133,118 @@ def greedy_match(pairs: DataFrame, group: list[str], threshold: float = 0.5) ->
     return pairs.where(F.col("sim") >= threshold).select(*group, "ref_seq", "cand_seq", "sim").groupBy(*group).applyInPandas(fold, ", ".join(columns))
 
 
-def near_duplicates_in_order(df: DataFrame, group: list[str], seq: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """Rows flagged as near copies of an earlier row of their group, the first that matches, by matching blocks of the whole texts in lower
-    case with what is neither a-z, 0-9 nor a space made spaces. A flagged row goes on to flag others; a text that is blank then neither flags nor is flagged."""
-    import difflib
-    import re
-
-    columns = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema] + ["duplicate_of long"]
-
-    def near(a: str, b: str) -> bool:  # the quick ratios are upper bounds
-        m = difflib.SequenceMatcher(None, a, b)
-        return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq, kind="stable").reset_index(drop=True)
-        texts, of = [re.sub(r"[^a-z0-9 ]+", " ", t.lower()) for t in pdf[text].fillna("")], [None] * len(pdf)
-        for i in range(len(pdf)):
-            if texts[i].strip():
-                for j in range(i + 1, len(pdf)):
-                    if of[j] is None and texts[j].strip() and near(texts[i], texts[j]):
-                        of[j] = int(pdf[seq][i])
-        return pdf.assign(duplicate_of=pd.array(of, dtype="Int64"))
-
-    return df.groupBy(*group).applyInPandas(fold, ", ".join(columns))
-
-
-def composite(grounding: Column, coverage: Column, findings: Column, calibration: Column) -> Column:
-    parts = (grounding, coverage, findings, calibration)
-    return F.lit(100.0) * sum((F.coalesce(p, F.lit(0.0)) * w for p, w in zip(parts[1:], list(WEIGHTS.values())[1:], strict=True)), F.coalesce(parts[0], F.lit(0.0)) * WEIGHTS["grounding"])
-
-
-def grounding(citations: DataFrame, sources: DataFrame, key: list[str], near: int = 3) -> DataFrame:
-    """Quoted lines looked up in the sources: (keys, n, verbatim_at_line, verbatim_elsewhere, missing, score). A quote at most ``near``
-    lines from where it is said to be counts 1, elsewhere in its file 0.5. ``citations``: keys, file, line, quote; ``sources``: file, line, text."""
-    norm = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    asked = citations.withColumn("q", norm(F.col("quote"))).where("q != ''").withColumn("cid", F.struct(*key, "file", "line", "q"))
-    lines = sources.select("file", norm(F.col("text")).alias("q"), F.col("line").alias("at"))
-    found = asked.join(lines, ["file", "q"], "left").groupBy(*key, "cid").agg(F.min(F.abs(F.col("at") - F.col("line"))).alias("distance"))
-    state = F.when(F.col("distance") <= near, "at").when(F.col("distance").isNotNull(), "elsewhere").otherwise("missing")
-    count = lambda s: F.coalesce(F.sum(F.when(state == s, 1)), F.lit(0)).alias({"at": "verbatim_at_line", "elsewhere": "verbatim_elsewhere"}.get(s, s))
-    out = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), count("at"), count("elsewhere"), count("missing"))
-    return out.withColumn("score", (F.col("verbatim_at_line") + F.col("verbatim_elsewhere") * 0.5) / F.col("n"))
-
-
-def critique_acceptable(draft: Column, critique: Column) -> Column:
-    """A critique is taken only if no anchor of the draft is missing from it."""
-    return (F.size(critique) > 0) & (F.size(F.array_except(draft, critique)) == 0)
+def near_duplicates(df: DataFrame, group: list[str], seq: str, text: str, threshold: float = 0.8) -> DataFrame:
+    """``df`` with duplicate_of, the first earlier row of the group of which a row is a near copy, and flagged: it is one, or it is the
+    first of which another is one. Near is the share of matching blocks of the whole texts, in lower case and with what is neither a-z, 0-9 nor a
+    space made spaces; a text that is blank then is near nothing.
+
+    Equal texts of a group are one; distinct ones are compared in pairs whose lengths allow the threshold, by a join on group and
+    class of length that many tasks share."""
+    norm = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9 ]+", " ")
+    rows = df.withColumn("_norm", norm)
+    distinct = rows.where(F.trim("_norm") != "").groupBy(*group, "_norm").agg(F.min(seq).alias("_first"))
+    ratio = threshold / (2 - threshold)  # of the shorter to the longer, at least
+    size = F.floor(F.log(F.length("_norm").cast("double")) / F.log(F.lit(1 / ratio))).cast("int")
+    a = distinct.select(*group, F.col("_norm").alias("_a"), F.col("_first").alias("_of"), F.explode(F.array(size - 1, size, size + 1)).alias("_size"))
+    b = distinct.select(*group, "_norm", "_first", size.alias("_size"))
+    fits = (F.col("_of") < F.col("_first")) & (F.least(F.length("_a"), F.length("_norm")) >= F.greatest(F.length("_a"), F.length("_norm")) * ratio - 1e-6)
+    pairs = a.join(b, [*group, "_size"]).where(fits)
+    near = pairs.withColumn("_near", similarity_udf(threshold)("_a", "_norm")).where("_near")
+    earlier = near.groupBy(*group, "_norm").agg(F.min("_of").alias("_of"))
+    out = rows.join(distinct, [*group, "_norm"], "left").join(earlier, [*group, "_norm"], "left")
+    # copies of the same text follow its first row; the first row itself follows an earlier near copy
+    of = F.when(F.col("_first") < F.col(seq), F.least("_first", "_of")).otherwise(F.col("_of"))
+    out = out.withColumn("duplicate_of", of)
+    named = out.where("duplicate_of is not null").select(*group, F.col("duplicate_of").alias(seq)).distinct().withColumn("_named", F.lit(True))
+    return out.join(named, [*group, seq], "left").select(*df.columns, "duplicate_of", (F.col("duplicate_of").isNotNull() | F.col("_named").isNotNull()).alias("flagged"))
+
+
+def composite(grounding: Column, coverage: Column, recall: Column, classification: Column) -> Column:
+    """0 to 100, to one place; a component that is null counts as 0."""
+    parts = zip((grounding, coverage, recall, classification), WEIGHTS.values(), strict=True)
+    first, *rest = (F.coalesce(p, F.lit(0.0)) * float(w) for p, w in parts)
+    for part in rest:
+        first = first + part
+    return F.round(first, 1)
+
+
+COMPONENTS = ("grounding", "coverage", "recall", "classification")
+
+
+def mean_scores(scores: DataFrame, model: str) -> DataFrame:
+    """Per model how many reviews were scored, the mean composite to two places and the mean components to three."""
+    return scores.groupBy(model).agg(F.count(F.lit(1)).alias("n_scored"), F.round(F.avg("composite"), 2).alias("mean_composite"), *[F.round(F.avg(c), 3).alias(f"mean_{c}") for c in COMPONENTS])
+
+
+def leaderboard(scores: DataFrame, name: str) -> DataFrame:
+    """Reviews of one reference by composite, the best first and equals by name. Sorted, not ranked, so no task holds all rows."""
+    return scores.orderBy(F.desc("composite"), name)
+
+
+def against_reference(scores: DataFrame, key: str, reference: str) -> DataFrame:
+    """Every review beside the one that is the reference: the columns of ``COMPONENTS`` and composite, less the reference's."""
+    own = scores.where(F.col(key) == reference).select(*[F.col(c).alias(f"ref_{c}") for c in ("composite", *COMPONENTS)]).limit(1)
+    rows = scores.where(F.col(key) != reference).crossJoin(F.broadcast(own))  # of one row
+    return rows.select(key, *[(F.col(c) - F.col(f"ref_{c}")).alias(f"{c}_less") for c in ("composite", *COMPONENTS)])
+
+
+def _one_space(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def grounding(citations: DataFrame, sources: DataFrame, key: list[str], tolerance: int = 2) -> DataFrame:
+    """Per citation (``key``, cite, file, lines, code) its state and credit, 0 to 1, against the sources (seq, file, text).
+
+    The lines of the quoted code that are not blank, white space aside, are looked up in the file; the first and last number in ``lines``
+    is the cited range. States, the first that holds: unresolved-file; no-code, if nothing is quoted or no line cited; out-of-bounds, if the range begins
+    behind the file's end; grounded, if three quarters of the quoted lines stand in the file and three fifths of those within
+    ``tolerance`` lines of the range, with the share found as credit; wrong-line, if only the first holds, at ELSEWHERE of it; not-found, with
+    IN_PART of it. A file is known by its path, its normal path or its base name, in this order, of equals the last."""
+    aliases = lambda c: F.array(*[F.struct(F.lit(i).alias("prio"), x.alias("alias")) for i, x in enumerate((c, normal_path(c), basename(c)))])
+    named = sources.select("seq", F.explode(F.array_distinct(F.transform(aliases(F.col("file")), lambda x: x["alias"]))).alias("alias")).groupBy("alias").agg(F.max("seq").alias("seq"))
+    from sievework.functions.text import line_numbers
+
+    cited = citations.select(*key, "cite", "file", line_numbers(F.col("lines")).alias("nums"), F.filter(F.transform(F.split(F.coalesce("code", F.lit("")), "\r\n|[\n\r]"), _one_space), lambda x: x != "").alias("quoted"))
+    asked = cited.select(*key, "cite", F.explode_outer(F.when(F.coalesce("file", F.lit("")) != "", aliases(F.col("file")))).alias("a")).select(*key, "cite", "a.*")
+    found = asked.join(named, "alias", "left").groupBy(*key, "cite").agg(F.min_by("seq", F.when(F.col("seq").isNotNull(), F.col("prio"))).alias("seq"))
+    text = F.split(F.regexp_replace("text", "(\r\n|[\n\r])\\z", ""), "\r\n|[\n\r]")
+    lines = sources.select("seq", F.when(F.col("text") == "", 0).otherwise(F.size(text)).alias("n_lines"))
+    cited = cited.join(found, [*key, "cite"]).join(lines, "seq", "left")
+    low, high = F.element_at("nums", 1), F.element_at("nums", -1)
+    checked = (F.col("n_lines").isNotNull()) & (F.size("quoted") > 0) & (F.size("nums") > 0) & (F.try_element_at("nums", F.lit(1)) <= F.col("n_lines"))
+    quotes = cited.where(checked).select(*key, "cite", "seq", low.alias("low"), high.alias("high"), F.posexplode("quoted").alias("q", "line"))
+    at = sources.select("seq", F.posexplode(text).alias("p", "line")).select("seq", _one_space(F.col("line")).alias("line"), (F.col("p") + 1).alias("at")).where("line != ''")
+    off = F.greatest(F.lit(0), F.col("low") - F.col("at"), F.col("at") - F.col("high"))
+    met = quotes.join(at, ["seq", "line"], "left").groupBy(*key, "cite", "q").agg(F.min(off).alias("off"))
+    met = met.groupBy(*key, "cite").agg(F.count(F.lit(1)).alias("n"), F.count("off").alias("n_found"), F.sum(F.when(F.col("off") <= tolerance, 1).otherwise(0)).alias("n_near"))
+    share = F.col("n_found") / F.col("n")
+    near = F.col("n_near") >= F.col("n_found") * 0.6
+    state = (
+        F.when(F.col("n_lines").isNull(), "unresolved-file").when((F.size("quoted") == 0) | (F.size("nums") == 0), "no-code").when(F.col("n").isNull(), "out-of-bounds")
+        .when((share >= 0.75) & near, "grounded").when(share >= 0.75, "wrong-line").otherwise("not-found")
+    )
+    credit = F.when(F.col("state") == "grounded", share).when(F.col("state") == "wrong-line", share * ELSEWHERE).when(F.col("state") == "not-found", share * IN_PART).otherwise(0.0)
+    return cited.join(met, [*key, "cite"], "left").withColumn("state", state).select(*key, "cite", "state", credit.alias("credit"))
+
+
+STATES = ("grounded", "wrong-line", "not-found", "out-of-bounds", "unresolved-file", "no-code")
+
+
+def grounding_score(cited: DataFrame, key: list[str]) -> DataFrame:
+    """Per review the mean credit, how many citations there are and how many in each state."""
+    count = [F.sum(F.when(F.col("state") == s, 1).otherwise(0)).alias(s.replace("-", "_")) for s in STATES]
+    return cited.groupBy(*key).agg(F.avg("credit").alias("score"), F.count(F.lit(1)).alias("citations"), *count)
+
+
+def critique_acceptable(draft: Column, critique: Column, n_draft: Column, n_critique: Column) -> Column:
+    """Whether a critique may replace a draft. ``draft`` and ``critique`` are the identifiers of the anchors that each went through (empty ones
+    don't count), the numbers those of findings; a null critique is none. A draft without anchors says nothing about coverage, so then the critique needs as many
+    findings. Else it needs as many anchors, and as many findings or every anchor of the draft."""
+    named = lambda c: F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != ""))
+    own, new = named(draft), named(critique)
+    enough = F.coalesce(n_critique, F.lit(0)) >= F.coalesce(n_draft, F.lit(0))
+    covers = (F.size(new) >= F.size(own)) & (enough | (F.size(F.array_except(own, new)) == 0))
+    return critique.isNotNull() & F.when(F.size(own) == 0, enough).otherwise(covers)
 
 
 def schema_coverage(docs: DataFrame, fields: list[str], share: float = 0.5) -> DataFrame:
@@ -157,21 +254,69 @@ def schema_coverage(docs: DataFrame, fields: list[str], share: float = 0.5) -> D
     return rows.withColumn("covered", (F.col("n") > 0) & (F.col("n_with") >= F.col("n") * share))
 
 
-def gate_findings(findings: DataFrame) -> DataFrame:
-    """Mechanical checks: a report of a missing release on an error path that releases is suppressed but kept; a fix at a join label
-    is withheld; a claim that something was not provided, though it was, is corrected. ``findings``: text, fix, code, condition, provided."""
-    released = F.col("code").rlike(r"\b(?:free|release|put|unref|close)\w*\s*\(") & F.col("condition").rlike(r"(?i)err|fail|null|!|< *0")
-    leak = F.lower("text").rlike(r"(leak|not (?:freed|released)|missing (?:free|release))")
-    label = F.col("code").rlike(r"(?m)^\s*\w+:\s*$")
-    absent = F.lower("text").rlike(r"not (?:provided|shown|included)") & F.col("provided")
-    flags = F.filter(F.array(F.when(leak & released, "suppressed"), F.when(label & F.col("fix").isNotNull(), "fix_withheld"), F.when(absent, "claim_corrected")), lambda x: x.isNotNull())
-    return findings.withColumn("flags", F.coalesce(flags, F.array().cast("array<string>"))).withColumn("fix", F.when(F.array_contains("flags", "fix_withheld"), None).otherwise(F.col("fix")))
+#: What tests a variable for holding an error, and what releases one.
+ERROR_POINTER = r"\b(?:IS_ERR(?:_OR_NULL)?|PTR_ERR)\s*\(\s*&?\s*([A-Za-z_]\w*)"
+RELEASE = r"\b(?:[A-Za-z_]\w*_put|put_[A-Za-z_]\w*|k?free|kzfree|vfree|kfree_sensitive)\s*\(\s*&?\s*([A-Za-z_]\w*)"
+LABEL = r"(?:^|\n)\s*[A-Za-z_]\w*\s*:\s*(?:$|\n|//|/\*)"
+
+
+def gate_findings(findings: DataFrame, sources: DataFrame, key: list[str], seq: str) -> DataFrame:
+    """Findings (``key``, ``seq``, file, line, anchor, fix, exploitation, where_it_lives) checked against the sources (``key``, file, text).
+
+    suppressed: the variable that the fix releases, if the fix itself or the condition of the innermost block around the first cited line tests it
+    for an error; the finding stays, marked. flags: `release at label`, a release in a fix at a label, which is then withheld (in fix_withheld); `copied
+    narrative`, an exploitation that is a near copy of another one's of the same review (suppressed findings aside). where_it_lives becomes the file's name
+    if it says `not provided` of a file that was."""
+    from sievework.functions.text import line_numbers
+
+    base = lambda c: basename(F.coalesce(c, F.lit("")))
+    fix, anchor = F.coalesce("fix", F.lit("")), F.coalesce("anchor", F.lit(""))
+    found = lambda c, pattern: F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))
+    rows = findings.withColumn("_name", base(F.trim("file"))).withColumn("_at", F.array_min(line_numbers(F.col("line"))))
+    named = sources.select(*key, base(F.col("file")).alias("_name"), F.col("text").alias("_text")).groupBy(*key, "_name").agg(F.max("_text").alias("_text"))
+    rows = rows.join(named, [*key, "_name"], "left")
+    released = found(fix, RELEASE)
+    inside = F.array_intersect(found(fix, ERROR_POINTER), released)
+    look = (F.size(inside) == 0) & (F.size(released) > 0) & F.col("_text").isNotNull() & F.col("_at").isNotNull()
+    rows = rows.withColumn("_inside", inside).withColumn("_released", released).withColumn("_condition", enclosing_condition_udf(F.when(look, F.col("_text")), F.col("_at")))
+    around = F.array_intersect(found(F.coalesce("_condition", F.lit("")), ERROR_POINTER), F.col("_released"))
+    rows = rows.withColumn("suppressed", F.array_min(F.when(F.size("_inside") > 0, F.col("_inside")).otherwise(around)))
+    at_label = anchor.rlike(LABEL) | F.rtrim(anchor).endswith(":") | fix.rlike(LABEL)
+    withheld = F.col("suppressed").isNull() & at_label & (F.size("_released") > 0)
+    lives = F.coalesce("where_it_lives", F.lit(""))
+    rows = rows.withColumn("fix_withheld", F.when(withheld, fix)).withColumn("fix", F.when(withheld, F.lit(None).cast("string")).otherwise(F.col("fix")))
+    rows = rows.withColumn("where_it_lives", F.when(F.col("suppressed").isNull() & F.lower(lives).contains("not provided") & F.col("_text").isNotNull(), F.trim("file")).otherwise(F.col("where_it_lives")))
+    copies = near_duplicates(rows.where("suppressed is null").select(*key, seq, "exploitation"), key, seq, "exploitation").where("flagged").select(*key, seq, F.lit(True).alias("_copied"))
+    flags = F.filter(F.array(F.when(F.col("fix_withheld").isNotNull(), "release at label"), F.when(F.col("_copied").isNotNull(), "copied narrative")), lambda x: x.isNotNull())
+    return rows.join(copies, [*key, seq], "left").withColumn("flags", flags).select(*findings.columns, "suppressed", "fix_withheld", "flags")
+
+
+@F.pandas_udf(T.StringType())
+def enclosing_condition_udf(text: pd.Series, line: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or pd.isna(n) else enclosing_condition(t.splitlines(), int(n)) for t, n in zip(text, line, strict=True)], dtype=object)
+
+
+def validation_report(gated: DataFrame, anchors: DataFrame, key: list[str]) -> DataFrame:
+    """Per review the counters of the gate: suppressed, flagged (copied narratives and withheld fixes, each counted), duplicate_narratives, and of its
+    anchors (``key``, disposition) how many there are, how many were dismissed, and whether there are some and all became findings."""
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    copied = F.array_contains("flags", "copied narrative")
+    found = gated.groupBy(*key).agg(one(F.col("suppressed").isNotNull()).alias("suppressed"), (one(copied) + one(F.col("fix_withheld").isNotNull())).alias("flagged"), one(copied).alias("duplicate_narratives"))
+    seen = anchors.groupBy(*key).agg(F.count(F.lit(1)).alias("anchors"), one(F.col("disposition") == "dismissed").alias("dismissed"))
+    names = ["suppressed", "flagged", "duplicate_narratives", "anchors", "dismissed"]
+    out = found.join(seen, key, "full_outer").select(*key, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    return out.withColumn("all_anchors_became_findings", (F.col("anchors") > 0) & (F.col("dismissed") == 0))
 
 
 def corroboration_floor(findings: DataFrame, floor: float = 0.8) -> DataFrame:
-    """A finding that a rule matched and that scores high enough is vulnerable, whatever was said, and medium at least."""
-    from sievework.functions.text import severity_rank
-
-    forced = (F.size(F.coalesce("matched_patterns", F.array())) > 0) & (F.col("score") >= floor) & ~F.coalesce("is_vulnerable", F.lit(False))
-    low = severity_rank(F.col("severity")) < severity_rank(F.lit("medium"))
-    return findings.withColumns({"downgrade_blocked": forced, "severity": F.when(forced & low, "medium").otherwise(F.col("severity")), "is_vulnerable": F.when(forced, True).otherwise(F.col("is_vulnerable"))})
+    """A finding that a rule matched and that scores high enough is vulnerable, whatever was said, and medium at least. Where that changes it,
+    cross_check says so, and so does the end of its explanation."""
+    matched = F.array_sort(F.coalesce("matched_patterns", F.array().cast("array<string>")))
+    firm = (F.size(matched) > 0) & F.coalesce(F.col("score") >= floor, F.lit(False))
+    low = severity_rank(F.coalesce("severity", F.lit(""))) < severity_rank(F.lit("medium"))
+    changed = firm & (~F.coalesce("is_vulnerable", F.lit(False)) | low)
+    note = F.when(changed, F.concat(F.lit("[cross-check] Score "), F.format_number("score", 2), F.lit(f" >= {floor:.2f} and rules matched ["), F.array_join(matched, ", "), F.lit("]; a downgrade was overridden.")))
+    said = F.trim(F.concat_ws(" ", F.coalesce("explanation", F.lit("")), note)) if "explanation" in findings.columns else note
+    return findings.withColumns(
+        {"downgrade_blocked": changed, "cross_check": note, "explanation": said, "severity": F.when(firm & low, "medium").otherwise(F.col("severity")), "is_vulnerable": F.when(firm, True).otherwise(F.col("is_vulnerable"))}
+    )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEANINGFUL = ("issue", "cwe", "severity", "explanation", "fix")
+from sievework.functions.text import basename, line_numbers
+
 
 
 def blank(c: Column) -> Column:
@@ -63,37 +64,82 @@ def pull_number(ref: Column) -> Column:
     return F.when(n != "", n.cast("int"))
 
 
+#: The keys under which an observation may stand, in order.
+OBSERVATION_KEYS = ("observation", "note", "text", "description", "detail", "title")
+
+
 def observation_text(value: Column) -> Column:
-    """Text of an observation in JSON: the string itself, or the first of the usual keys, or all `key: value` pairs."""
+    """Text of an observation in JSON: the string itself, or the first of the usual keys that says something, or all `key: value` pairs that do.
+    null where nothing is said; what is not JSON is its own text; a null under a key says nothing."""
     v = F.try_parse_json(value)
-    named = [F.try_variant_get(v, f"$.{k}", "string") for k in ("observation", "text", "summary", "note", "description", "issue")]
-    pairs = F.from_json(value, "map<string,string>")
-    joined = F.array_join(F.transform(F.map_entries(pairs), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "; ")
-    plain = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
-    return F.coalesce(plain, *named, F.nullif(joined, F.lit("")), value)
+    said = lambda c: F.nullif(F.trim(c), F.lit(""))
+    named = [said(F.try_variant_get(v, f"$.{k}", "string")) for k in OBSERVATION_KEYS]
+    pairs = F.filter(F.map_entries(F.from_json(value, "map<string,string>")), lambda e: said(e["value"]).isNotNull())
+    joined = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+    kind = F.schema_of_variant(v)
+    return F.when(v.isNull(), said(value)).when(kind.startswith("OBJECT"), F.coalesce(*named, said(joined))).otherwise(said(F.try_variant_get(v, "$", "string")))
+
+
+#: The two walkthroughs of a review.
+WALKTHROUGHS = ("what_the_code_does", "what_could_go_wrong")
+
+
+def review_usable(walkthroughs: list[Column], n_findings: Column) -> Column:
+    """Whether a review is worth learning from: a walkthrough, as text or as an array, that is not empty, or a finding."""
+    some = F.coalesce(n_findings, F.lit(0)) > 0
+    for c in walkthroughs:
+        some = some | F.coalesce(F.length(c.cast("string")) > 0, F.lit(False)) & ~F.coalesce(c.cast("string").isin("[]"), F.lit(False))
+    return some
+
+
+def without_transient(reviews: DataFrame) -> DataFrame:
+    """A review without the columns that tooling stamps on it."""
+    return reviews.drop("_model", "_usage", "_raw", "_source", "_skipped")
+
+
+#: The fields of an analysis, in the order in which they are learned.
+ANALYSIS = ("what_code_does", "what_could_go_wrong", "vulnerability", "is_vulnerable", "issue", "cwe", "severity", "explanation", "fix")
+
+
+def completion(df: DataFrame) -> Column:
+    """The analysis as JSON with all of its fields in fixed order; those that ``df`` has no column for are null."""
+    fields = [(F.col(n) if n in df.columns else F.lit(None).cast("string")).alias(n) for n in ANALYSIS]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
 
+def coverage(forms: DataFrame, steps: DataFrame, ref_steps: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
+    """Per review how well its walkthroughs go through the sources: 0.40 for their presence, 0.30 for as many steps as the reference has, 0.30 for the
+    share of source lines that are not blank and that steps span.
 
-def coverage(steps: DataFrame, sources: DataFrame, key: list[str], rich: int = 3) -> DataFrame:
-    """0.40 for any step, 0.30 for the share of ``rich`` steps, 0.30 for the share of significant source lines that steps span.
-    ``steps``: keys, file, start_line, end_line; ``sources``: keys, file, line, text. Significant lines have a letter or digit."""
-    lines = sources.where(F.col("text").rlike("[A-Za-z0-9]")).select(*key, "file", "line").distinct()
-    spanned = steps.select(*key, "file", F.explode(F.sequence("start_line", F.greatest("start_line", "end_line"))).alias("line")).distinct().withColumn("hit", F.lit(1))
-    share = lines.join(spanned, [*key, "file", "line"], "left").groupBy(*key).agg((F.coalesce(F.sum("hit"), F.lit(0)) / F.count(F.lit(1))).alias("span"))
-    count = steps.groupBy(*key).agg(F.count(F.lit(1)).alias("n_steps"))
-    out = share.join(count, key, "left").withColumn("n_steps", F.coalesce("n_steps", F.lit(0)))
-    score = F.when(F.col("n_steps") > 0, 0.4).otherwise(0.0) + F.least(F.lit(1.0), F.col("n_steps") / F.lit(float(rich))) * 0.3 + F.col("span") * 0.3
-    return out.withColumn("score", score)
+    ``forms``: keys and, by walkthrough, a column that is `steps` (half of the presence each), `string` (a quarter) or else; ``steps`` and ``ref_steps``:
+    keys, section, file, lines; ``sources``: keys, file, line, text. Richness is the mean over both sections of the steps' number by the
+    reference's, at most 1, and 1 where the reference has none. Files are known by base name; without source lines nothing is spanned."""
+    lines = sources.where(F.trim("text") != "").select(*key, basename(F.col("file")).alias("file"), "line").distinct()
+    ends = sources.groupBy(*key, basename(F.col("file")).alias("file")).agg(F.max("line").alias("end"))
+    cited = steps.select(*key, basename(F.col("file")).alias("file"), line_numbers(F.col("lines")).alias("nums")).where(F.size("nums") > 0)
+    cited = cited.join(ends, [*key, "file"])  # a range may be cited beyond the file's end
+    cited = cited.select(*key, "file", F.array_min("nums").alias("low"), F.least(F.array_max("nums"), "end").alias("high")).where("low <= high")
+    spanned = cited.select(*key, "file", F.explode(F.sequence("low", "high")).alias("line")).distinct().withColumn("hit", F.lit(1))
+    span = lines.join(spanned, [*key, "file", "line"], "left").groupBy(*key).agg((F.coalesce(F.sum("hit"), F.lit(0)) / F.count(F.lit(1))).alias("span"))
+    of = lambda df, name: df.groupBy(*key).agg(*[F.sum(F.when(F.col("section") == w, 1).otherwise(0)).alias(f"{name}_{w}") for w in WALKTHROUGHS])
+    out = forms.join(of(steps, "n"), key, "left").join(of(ref_steps, "ref"), key, "left").join(span, key, "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    present = sum((F.when(F.col(w) == "steps", 0.5).when(F.col(w) == "string", 0.25).otherwise(0.0) for w in WALKTHROUGHS), F.lit(0.0))
+    rich = [F.when(number(f"ref_{w}") == 0, 1.0).otherwise(F.least(F.lit(1.0), number(f"n_{w}") / number(f"ref_{w}"))) for w in WALKTHROUGHS]
+    score = present * 0.4 + (rich[0] + rich[1]) / 2 * 0.3 + F.coalesce("span", F.lit(0.0)) * 0.3
+    return out.select(*key, present.alias("present"), ((rich[0] + rich[1]) / 2).alias("richness"), F.coalesce("span", F.lit(0.0)).alias("span"), score.alias("score"))
 
 
 def findings_score(matches: DataFrame, totals: DataFrame, key: list[str]) -> DataFrame:
     """Recall, precision and classification (0.6 CWE, 0.4 severity agreement over matches). ``matches``: keys, same_cwe, same_severity;
-    ``totals``: keys, n_ref, n_cand. Without reference findings recall is 1 and there is nothing to classify, which counts as 1 too."""
+    ``totals``: keys, n_ref, n_cand. Without reference findings recall is 1, classification 0 and precision unknown; without matches
+    classification is 0."""
     agree = matches.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("same_cwe").cast("double")).alias("cwe"), F.avg(F.col("same_severity").cast("double")).alias("sev"))
     out = totals.join(agree, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     none = F.col("n_ref") == 0
     return out.select(
         *key,
         F.when(none, 1.0).otherwise(F.col("n") / F.col("n_ref")).alias("recall"),
-        F.when(F.col("n_cand") == 0, F.when(none, 1.0).otherwise(0.0)).otherwise(F.col("n") / F.col("n_cand")).alias("precision"),
-        F.when(none, 1.0).otherwise(F.coalesce(F.col("cwe") * 0.6 + F.col("sev") * 0.4, F.lit(0.0))).alias("classification"),
+        F.when(none, None).when(F.col("n_cand") == 0, 0.0).otherwise(F.col("n") / F.col("n_cand")).alias("precision"),
+        F.when(none, 0.0).otherwise(F.coalesce(F.col("cwe") * 0.6 + F.col("sev") * 0.4, F.lit(0.0))).alias("classification"),
     )

@@ -23,7 +23,7 @@ def hits(spark, sf_dir):
 
 
 def primary(spark, sf_dir):
-    return R.primary_rule(hits(spark, sf_dir), ["doc_id", "line_no"])
+    return R.primary_rules(lines_of(table(spark, sf_dir, "documents"), "text", ["doc_id"]), ["doc_id", "line_no"])
 
 
 @query(HITS + " SELECT doc_id, line_no, rule, cwe, severity FROM hits")
@@ -109,24 +109,3 @@ def line_windows(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
     return docs.select("doc_id", F.explode(windows(F.col("n"), 12, 6)).alias("w")).select("doc_id", "w.start", "w.end")
-
-
-@query()
-def code_scan(spark, sf_dir):
-    """The C and C++ catalogue over the pages as if they were sources."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.replace("html", F.lit("><"), F.lit(">\n<")).alias("text"))
-    return R.scan_files(pages)
-
-
-@query()
-def mask_text(spark, sf_dir):
-    from sievework.functions.lexical import mask_udf
-
-    return table(spark, sf_dir, "pages").select("page_id", F.length("html").alias("n"), mask_udf("html").alias("masked")).select("page_id", "n", F.length("masked").alias("n_masked"), F.sha2(F.col("masked").cast("binary"), 256).alias("digest"))
-
-
-@query()
-def function_spans(spark, sf_dir):
-    from sievework.functions.lexical import function_spans_udf
-
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(function_spans_udf("html")).alias("s")).select("page_id", "s.start", "s.end")

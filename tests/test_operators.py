@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as X
 from sievework.operators import dataset as D
+from sievework.operators import findings as P
 from sievework.operators import intervals as I
 from sievework.operators import metrics as M
 from sievework.operators import review as V
@@ -166,11 +167,11 @@ def test_greedy_match(spark):
     assert sorted((r.ref_seq, r.cand_seq) for r in got.collect()) == want
 
 
-def test_near_copies_follow_the_order(spark):
-    a, b, c = "abcdefghij", "abcdefghxy", "zzcdefghxy"
-    rows = [("g", 0, a), ("g", 1, c), ("g", 2, b)]
-    got = V.near_duplicates_in_order(spark.createDataFrame(rows, "g string, seq long, t string"), ["g"], "seq", "t", 0.8)
-    assert {r.seq: r.duplicate_of for r in got.collect()} == {0: None, 1: None, 2: 0}
+def test_near_copies_flag_both_sides(spark):
+    a, b, c = "abcdefghij", "abcdefghxy", "zzcdefghxy"  # a ~ b, b ~ c, not a ~ c
+    rows = [("g", 0, a), ("g", 1, b), ("g", 2, c), ("h", 0, a), ("h", 1, c), ("h", 2, b)]
+    got = V.near_duplicates(spark.createDataFrame(rows, "g string, seq long, t string"), ["g"], "seq", "t", 0.8).collect()
+    assert {(r.g, r.seq): (r.duplicate_of, r.flagged) for r in got} == {("g", 0): (None, True), ("g", 1): (0, True), ("g", 2): (1, True), ("h", 0): (None, True), ("h", 1): (None, False), ("h", 2): (0, True)}
 
 
 def test_near_copies_of_whole_texts_against_a_plain_fold(spark, tmp_path):
@@ -189,7 +190,35 @@ def test_near_copies_of_whole_texts_against_a_plain_fold(spark, tmp_path):
         earlier = [s for (d, s), y in normed.items() if d == c and s < t and x.strip() and y.strip() and difflib.SequenceMatcher(None, y, x).ratio() >= 0.8]
         want[c, t] = min(earlier, default=None)
     assert want[1, 1] is None and want[1, 3] is not None and want[2, 2] == 1
-    assert {(r.conv_id, r.turn): r.duplicate_of for r in near_dup_narratives(spark, str(tmp_path)).collect()} == want
+    flagged = {k for k, v in want.items() if v is not None} | {(c, v) for (c, _), v in want.items() if v is not None}
+    got = near_dup_narratives(spark, str(tmp_path)).collect()
+    assert {(r.conv_id, r.turn): r.duplicate_of for r in got} == want and {(r.conv_id, r.turn) for r in got if r.flagged} == flagged
+
+
+def test_near_copies_on_a_driver_table(spark):
+    import difflib
+    import re
+
+    from sievework.plans.reviews import near_dup_narratives
+
+    path = "/root/testdata/sf0.01"
+    texts = {(r.conv_id, r.turn): re.sub(r"[^a-z0-9 ]+", " ", r.text.lower()) for r in spark.read.parquet(f"{path}/conversations.parquet").collect()}
+    for r in near_dup_narratives(spark, path).where("conv_id % 4 = 0").collect():  # every fourth conversation keeps the test short
+        own = texts[r.conv_id, r.turn]
+        near = [t for (c, t), x in texts.items() if c == r.conv_id and t < r.turn and own.strip() and x.strip() and difflib.SequenceMatcher(None, x, own).ratio() >= 0.8]
+        assert r.duplicate_of == min(near, default=None)
+
+
+def test_greedy_match_on_a_driver_table(spark):
+    from sievework.plans.reviews import finding_similarity, greedy_match
+
+    path = "/root/testdata/sf0.01"
+    taken, want = {}, set()
+    for r in sorted(finding_similarity(spark, path).collect(), key=lambda r: (r.conv_id, r.ref_seq, -r.sim, r.cand_seq)):
+        if ("ref", r.conv_id, r.ref_seq) not in taken and ("cand", r.conv_id, r.cand_seq) not in taken:
+            taken["ref", r.conv_id, r.ref_seq] = taken["cand", r.conv_id, r.cand_seq] = True
+            want.add((r.conv_id, r.ref_seq, r.cand_seq))
+    assert want and {(r.conv_id, r.ref_seq, r.cand_seq) for r in greedy_match(spark, path).collect()} == want
 
 
 def test_anchor_rules_differ(spark):
@@ -198,12 +227,37 @@ def test_anchor_rules_differ(spark):
     assert sorted(r.seq for r in V.anchors(df, ["k"], "d", "seq", later_finding_wins=True).collect()) == [3, 4]
 
 
-def test_gate_and_floor(spark):
-    rows = [("memory leak of p", "free it", "free(p);", "if (err)", False), ("x", "f", "out:\n", "", False), ("the header was not provided", None, "", "", True)]
-    got = V.gate_findings(spark.createDataFrame(rows, "text string, fix string, code string, condition string, provided boolean")).collect()
-    assert [r.flags for r in got] == [["suppressed"], ["fix_withheld"], ["claim_corrected"]] and got[1].fix is None
+def test_floor(spark):
     f = spark.createDataFrame([(["x"], 0.9, "low", False), ([], 0.9, "low", False), (["x"], 0.5, "high", None)], "matched_patterns array<string>, score double, severity string, is_vulnerable boolean")
-    assert [(r.is_vulnerable, r.severity, r.downgrade_blocked) for r in V.corroboration_floor(f).collect()] == [(True, "medium", True), (False, "low", False), (None, "high", False)]
+    got = V.corroboration_floor(f.withColumn("explanation", F.lit("Said."))).collect()
+    assert [(r.is_vulnerable, r.severity, r.downgrade_blocked) for r in got] == [(True, "medium", True), (False, "low", False), (None, "high", False)]
+    assert got[0].explanation == "Said. [cross-check] Score 0.90 >= 0.80 and rules matched [x]; a downgrade was overridden." and got[1].explanation == "Said." and got[1].cross_check is None
+
+
+def test_order_is_kept_and_failures_fall_back(spark):
+    rows = spark.createDataFrame([(i, str(i)) for i in range(50)], "seq int, v string").repartition(5)
+    got = M.map_in_order(rows, "seq", "v", lambda: lambda v: str(100 // (int(v) % 7)), lambda v: f"no {v}").collect()
+    assert [(r.seq, r.result, r.failed) for r in got] == [(i, f"no {i}" if i % 7 == 0 else str(100 // (i % 7)), i % 7 == 0) for i in range(50)]
+    scores = rows.select("seq", M.score_texts(F.when(F.col("seq") != 3, F.col("v")), lambda: lambda texts: [float(len(t)) for t in texts], batch=4).alias("s")).collect()
+    assert {r.seq: r.s for r in scores} == {i: None if i == 3 else float(len(str(i))) for i in range(50)}
+
+
+def test_top_scores_and_places(spark):
+    f = spark.createDataFrame([("b", 2, 0.5, 0), (None, None, None, 1), ("a", None, 0.9, 2), ("b", 1, 0.5, 3)], "file string, start_line int, score double, seq int")
+    assert [r.seq for r in P.top_scores(f, 2, "seq").collect()] == [2, 0] and [r.seq for r in P.top_scores(f, 0, "seq").collect()] == [2, 0, 3, 1]
+    assert [r.seq for r in P.by_place(f).collect()] == [1, 2, 3, 0]
+    assert f.select(P.first_lines(F.lit("a\nb\nc"), 2)).first()[0] == "a\nb" and f.select(P.first_present(f, ["none", "file", "seq"])).collect()[1][0] == "1"
+    manifest = spark.createDataFrame([("r1", "x.c"), ("r1", "y.c")], "review string, path string")
+    assert sorted((r.review, str(r.path)) for r in P.with_sources(spark.createDataFrame([("r1",), ("r2",)], "review string"), manifest).collect()) == [("r1", "x.c"), ("r1", "y.c"), ("r2", "None")]
+
+
+def test_small_functions(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    assert [value(X.language_of_path(F.lit(p))) for p in ("a.CC", "b.h", "c.c", "d.inl", "e", ".cpp", "x.d/y")] == ["cpp", "cpp", "c", "cpp", "c", "c", "c"]
+    assert value(X.strip_fences(F.lit("```json\n{}\n```"))) == "{}" and value(X.strip_fences(F.lit(" x "))) == "x"
+    assert value(X.footprint_gb(F.lit(4.0), F.lit(0.5), F.lit(8.0))) == 8.0
+    assert value(X.normal_path(F.lit(".//a/./b\\c/"))) == "a/b/c" and value(X.basename(F.lit("a/b.c"))) == "b.c"
 
 
 def test_unicode_space(spark):
