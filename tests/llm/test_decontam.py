@@ -52,6 +52,27 @@ def test_query_against_brute_force(spark, tmp_path, monkeypatch, group):
     assert got == brute_force(docs, items)
 
 
+def test_short_items_miss_nothing(spark):
+    """Items of one to seven shingles, each in many texts among other words: every hit is a candidate."""
+    rng = random.Random(8)
+    items = [(i, " ".join(f"s{rng.randrange(10**6)}" for _ in range(4 + i % 8))) for i in range(300)]
+    docs = [(d, " ".join([f"t{rng.randrange(10**6)}" for _ in range(30)] + items[d % 300][1].split() + [f"u{rng.randrange(10**6)}" for _ in range(30)])) for d in range(3000)]
+    got = decontam.find_contained(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
+    wanted = {(d, d % 300) for d in range(3000) if len(items[d % 300][1].split()) > 4}
+    assert {(r.doc_id, r.item_id) for r in got} == wanted
+
+
+@pytest.mark.parametrize("group", [4_000_000, 900])
+def test_rows_without_items(spark, monkeypatch, group):
+    monkeypatch.setattr(decontam, "GROUP_WORDS", group)
+    docs, items = corpus(7)
+    docs += [(None, items[6][1] + " and more"), (None, "clean words only in here"), (77, items[6][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "doc_id as item_id")
+    got = decontam.without_contained(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    clean = [(d, t) for d, t in docs if not brute_force([(0, t)], items)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, clean)) and got[0].__fields__ == ["doc_id", "text", "item_id"]
+
+
 def test_driver_table(spark):
     path = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
