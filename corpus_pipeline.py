@@ -3,8 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. All but the last return the columns of ``documents``. Every stage reads all that the one before kept.
 
-Edge cases: rows with equal doc_id share the verdicts on that doc_id, and only one of them stays after the
-near-duplicate stage; a null doc_id is never dropped as a copy; texts that lose all their words stay, as empty ones.
+Edge cases: rows with equal doc_id share the verdict of the near-duplicate stage on that doc_id, and only one of them, the least by
+text and then the other columns, stays after it; a null doc_id is never dropped as a copy; the other stages judge each row by itself,
+whatever its doc_id; texts that lose all their words stay, as empty ones; columns beside those of ``documents`` go.
 """
 
 from __future__ import annotations
@@ -13,31 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import bpe, decontam, langid, neardup, substring
-from sievework.llm.staging import stage
+from sievework.llm.staging import mark, release, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The whole row in one column, so that an operator can carry it along."""
-    return docs.select(F.struct(*COLUMNS).alias("row"), F.col("text"))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is predicted beyond doubt; lang becomes the prediction."""
     model = langid.fit(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out()))
-    out = langid.predict(_keyed(docs), model, id_col="row").where("accepted")
-    return out.select("row.doc_id", "row.text", F.col("lang_pred").alias("lang"), "row.source", "row.n_chars")
+    out = docs.select(*COLUMNS, langid.language_of(F.col("text"), model).alias("found")).where("found.accepted")
+    return out.select("doc_id", "text", F.col("found.lang_pred").alias("lang"), "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the least doc_id."""
     gone = stage(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
     kept = neardup.by_ids(docs.select(COLUMNS), gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    one = neardup.by_ids(kept, repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("least")).select("doc_id", "least.*")
+    return neardup.by_ids(kept, repeated, "doc_id", "left_anti").unionByName(one)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +43,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    found = decontam.find_contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = stage(found.select("doc_id").distinct(), "contaminated")
-    return neardup.by_ids(docs.select(COLUMNS), gone, "doc_id", "left_anti")
+    return decontam.without_contained(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +66,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = mark()
     for i, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
+            used = mark()
             docs = stage(docs, f"pipeline-{i}")
+            release(before, used)  # what the stage wrote on its way, and its input
+            before = mark() - 1
     return docs
