@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from .staging import pick
 
 LONG_WORD = 1024
+GOTO = COMPATIBLE = 1_000_000
 CACHE_WORDS = 600_000
 BLOCK_WORDS = 200_000
 BATCH_CHARS = 1_500_000
@@ -123,7 +124,7 @@ class TrieEncoder:
                     bound, left = left, self.parts[left][1]
                 else:  # on a tie the left one merges first, as it stands before
                     bound, right = right + 1, self.parts[right][0]
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) > COMPATIBLE:
                 self.compatible.clear()
             self.compatible[key] = known
         return known
@@ -161,6 +162,8 @@ class TrieEncoder:
         key = at << 8 | b
         while at and b not in self.child[at]:
             at = self.fail[at]
+        if len(self.goto) > GOTO:
+            self.goto.clear()
         self.goto[key] = at = self.child[at].get(b, 0)
         return at
 

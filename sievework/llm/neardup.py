@@ -185,12 +185,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = stage(placed, "placed")
     held = placed.select("own", F.explode("buckets").alias("bucket")).groupBy("bucket", "own").agg(F.lit(1).alias("one"))
     mixed = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    groups = held.join(mixed, "bucket").select("own").distinct()
-    members = stage(placed.join(groups, "own", "left_semi"), "members").select("*", F.explode("buckets").alias("bucket"))
+    groups = stage(held.join(mixed, "bucket").select("own").distinct(), "groups")  # read back, it joins as a plain side, and a hot group can be split
+    members = stage(placed.join(groups, "own", "left_semi"), "members").select("rep", "n", "own", "sketch", F.explode("buckets").alias("bucket"))
     x, y = members.alias("x"), members.alias("y")
     apart = F.expr("x.bucket = y.bucket and x.rep < y.rep and x.own != y.own") & _sizes("x.n", "y.n") & F.expr(f"{_agreement('x.sketch', 'y.sketch')} >= {AGREE}")
-    once = F.array_intersect("x.buckets", "y.buckets")[0] == F.col("x.bucket")
-    pairs = x.join(y, apart & once).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    pairs = x.join(y, apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     new = _verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), docs)
     if not new.where("linked").isEmpty():
         label = connected_components(tested.union(new).where("linked").select("a", "b"))

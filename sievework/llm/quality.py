@@ -3,10 +3,11 @@
 Within a text: word and symbol counts, repeated lines, words in repeated three-word windows. Across texts: lines are
 normalised (A-Z and other letters lower-cased, digits to 0, white space to one space) and hashed; for each host, the distinct
 documents that hold a line are counted, with partial counts before the shuffle. A line is over the limits if it stands in
-at least MIN_DOCS documents of the host and in LINE_SHARE of them; such lines go, and a text that has less than LEFT_SHARE of its
-words left is rejected as depleted.
+at least MIN_DOCS documents of the host, and in LINE_SHARE of them or in MANY_DOCS, so that what it takes stops growing with the host; such lines go, and a
+text that has less than LEFT_SHARE of its words left is rejected as depleted.
 
-Edge cases: a null text has no words and fails; a null host is the host ''; rows with equal doc_id count once for a line;
+Edge cases: a null text has no words and fails; a null host is the host ''; rows with equal doc_id count once for a line, those
+without one as one document;
 repeated rows give repeated results; a hash collision (64 bits, within one host) could add to a line's count; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -25,6 +26,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 20
 LINE_SHARE = 0.01
+MANY_DOCS = 1000
 LEFT_SHARE = 0.5
 BROADCAST_LINES = 500_000
 
@@ -76,7 +78,7 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_c
     lines = split.where(F.length(F.translate("line", SPACES, "")) > 0).select("doc_id", "host", "text_key", "place", line_key(F.col("line")).alias("key"), F.size(words_of(F.col("line"))).cast("long").alias("words"))
     documents = source.groupBy("host").agg(F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("documents"))
     counted = lines.groupBy("host", "key").agg(F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("holders"))
-    frequent = counted.where(F.col("holders") >= MIN_DOCS).join(documents, "host").where(F.col("holders") >= F.col("documents") * LINE_SHARE).select("host", "key")
+    frequent = counted.where(F.col("holders") >= MIN_DOCS).join(documents, "host").where(F.col("holders") >= F.least(F.col("documents") * LINE_SHARE, F.lit(float(MANY_DOCS)))).select("host", "key")
     frequent = stage(frequent, "frequent")
     few = frequent.count() <= BROADCAST_LINES
     hits = lines.join(F.broadcast(frequent) if few else frequent, ["host", "key"])
@@ -115,8 +117,8 @@ l AS (SELECT rid, doc_id, host, line FROM (SELECT rid, doc_id, host, unnest(stri
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rid),
 k AS (SELECT rid, doc_id, host, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS key,
       len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM l),
-h AS (SELECT host, count(DISTINCT doc_id) AS documents FROM d GROUP BY host),
-frequent AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT doc_id) AS holders FROM k GROUP BY host, key) JOIN h USING (host) WHERE holders >= 20 AND holders >= documents * 0.01),
+h AS (SELECT host, count(DISTINCT coalesce(doc_id::VARCHAR, '')) AS documents FROM d GROUP BY host),
+frequent AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT coalesce(doc_id::VARCHAR, '')) AS holders FROM k GROUP BY host, key) JOIN h USING (host) WHERE holders >= 20 AND holders >= least(documents * 0.01, 1000)),
 gone AS (SELECT rid, count(*) AS n_lines, sum(words) AS n_words FROM k JOIN frequent USING (host, key) GROUP BY rid),
 base AS (SELECT d.rid, doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
       length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,

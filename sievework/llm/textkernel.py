@@ -38,13 +38,16 @@ _powers = np.ones(1, U64)
 
 
 def _power(n: int) -> np.ndarray:
-    """At least the first n powers of the base."""
+    """At least the first n powers of the base; those that only a very long word asks for are not kept."""
     global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 4096), _BASE, U64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers
+    if len(_powers) >= n:
+        return _powers
+    steps = np.full(max(n, 4096), _BASE, U64)
+    steps[0] = 1
+    out = np.multiply.accumulate(steps)
+    if n <= 1 << 16:
+        _powers = out
+    return out
 
 
 class Words:

@@ -2,8 +2,8 @@
 
 List entries are dated: an `add` makes a pattern active from its date on, a `remove` ends that. Per list, kind and
 pattern they become validity intervals [valid_from, valid_to). A capture is matched by the keys under which an entry can
-name it: its host (kind `host`), the host and every parent domain (`domain`), and the host with every prefix of whole path
-segments (`prefix`). An equality join on kind and pattern with the capture's time inside the interval evaluates each capture
+name it: its host (kind `host`), the host and every parent domain (`domain`), and the host with the prefixes of whole path
+segments (`prefix`) of those lengths that some entry has, so a long path costs no more than a short one. An equality join on kind and pattern with the capture's time inside the interval evaluates each capture
 against what was active when it was fetched. The intervals are sent to all executors only when counted and few; beyond
 that both sides are shuffled by key, where adaptive execution splits the keys of hot hosts.
 
@@ -64,6 +64,9 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """Per row: the id, url, fetched, blocked, n_active (entries that match and were active) and lists (their names, sorted)."""
     source = pick(captures, page_id=id_col, url=url_col, fetched=time_col)
+    intervals = validity_intervals(entries)
+    depth = F.size(F.filter(F.split("pattern", "/"), lambda s: s != "")) - 1
+    depths = sorted(r[0] for r in intervals.where("kind = 'prefix'").select(depth).distinct().collect())  # a few small numbers
     host = F.lower(F.nullif(F.regexp_extract("url", HOST, 1), F.lit("")))
     parsed = source.select("page_id", "url", "fetched", host.alias("host"), F.filter(F.split(F.regexp_extract("url", PATH, 1), "/"), lambda s: s != "").alias("parts"))
     labels = F.split("host", r"\.")
@@ -71,15 +74,14 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     keys = F.concat(
         F.array(key("host", F.col("host"))),
         F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: key("domain", F.array_join(F.slice(labels, i, F.size(labels)), "."))),
-        F.transform(F.sequence(F.lit(0), F.size("parts")), lambda i: key("prefix", F.concat_ws("/", F.col("host"), F.array_join(F.slice("parts", 1, i), "/")))),
+        F.transform(F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda i: i <= F.size("parts")), lambda i: key("prefix", F.concat_ws("/", F.col("host"), F.array_join(F.slice("parts", 1, i), "/")))),
     )
-    intervals = validity_intervals(entries)
     if intervals.count() <= BROADCAST_ENTRIES:
         intervals = F.broadcast(intervals)
-    named = parsed.where("host is not null and fetched is not null").select("page_id", "url", "fetched", F.explode(keys).alias("k")).select("page_id", "url", "fetched", "k.kind", F.regexp_replace("k.pattern", "/$", "").alias("pattern"))
+    named = parsed.where("host is not null and fetched is not null").select("page_id", F.xxhash64("url").alias("u"), "fetched", F.explode(keys).alias("k")).select("page_id", "u", "fetched", "k.kind", F.regexp_replace("k.pattern", "/$", "").alias("pattern"))
     active = named.join(intervals, ["kind", "pattern"]).where("fetched >= valid_from and (valid_to is null or fetched < valid_to)")
-    found = active.groupBy(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("fetched").alias("f")).agg(F.collect_set(F.struct("list", "kind", "pattern")).alias("entries"))
-    out = source.join(found, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("url") == F.col("u")) & (F.col("fetched") == F.col("f")), "left")
+    found = active.groupBy(F.col("page_id").alias("p"), "u", F.col("fetched").alias("f")).agg(F.collect_set(F.struct("list", "kind", "pattern")).alias("entries"))
+    out = source.join(found, F.col("page_id").eqNullSafe(F.col("p")) & (F.xxhash64("url") == F.col("u")) & (F.col("fetched") == F.col("f")), "left")
     return out.select(
         F.col("page_id").alias(id_col),
         F.col("url").alias(url_col),

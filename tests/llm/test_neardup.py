@@ -140,3 +140,27 @@ def test_small_table(spark):
 
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def barely_linked(pairs, size=120):
+    """Pairs of texts whose similarity is 0.75 or barely more, by replaced words at the end."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(pairs):
+        own = [f"p{rng.randrange(10**9)}" for _ in range(size)]
+        shingles = size - 4
+        fewest = -(-shingles * 6 // 7)  # s common of 2n - s is at least 3 / 4 where s is at least 6 / 7 of n
+        other = own[: fewest + 4] + [f"q{rng.randrange(10**9)}" for _ in range(shingles - fewest)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    return rows
+
+
+@pytest.mark.parametrize("ids", [1_000_000, 0])
+def test_recall_at_the_threshold(spark, monkeypatch, ids):
+    """Measured: of 400 pairs that are barely linked all are found, whether ids are sent to all executors or shuffled."""
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", ids)
+    rows = barely_linked(400)
+    a, b = (shingle_set(t) for _, t in rows[:2])
+    assert 0.75 <= len(a & b) / len(a | b) < 0.76
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(400)) == 400

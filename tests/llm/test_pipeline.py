@@ -63,6 +63,19 @@ def test_edges(spark, tmp_path):
     out = staged(spark, docs, str(tmp_path), tmp_path)
     ids = [r.doc_id for r in out[-1].collect()]
     assert ids.count(5) == 1 and 70 not in ids and 71 not in ids and 3 not in ids and 72 in ids
+    (tmp_path / "more").mkdir()
+    spark.createDataFrame([(1, " ".join(f"benchmark{i}" for i in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/more/benchmark.parquet")
+    item = " " + " ".join(f"benchmark{i}" for i in range(20)) + " "
+    again = rows + [(None, text(60) + item, "en", None, None), (2, text(60) + item, "en", "s", 1), (2, text(70), "en", "t", 1), (2, text(70), "en", "t", 1), (90, text(120_000), "en", "s", 1)]
+    more = staged(spark, spark.createDataFrame(again, docs.schema).selectExpr("*", "1 as row", "2 as parts", "'x' as found", "3 as least"), str(tmp_path / "more"), tmp_path / "more")
+    for df in more[1:5]:
+        assert df.columns == COLUMNS
+    kept = more[2].collect()
+    assert [r.doc_id for r in kept].count(2) == 1 and len([r for r in kept if r.doc_id is None]) == 2
+    least = min((r for r in more[1].collect() if r.doc_id == 2), key=lambda r: r.text)
+    assert next(r for r in kept if r.doc_id == 2).text == least.text  # of unequal rows with one id the least text
+    left = more[4].collect()
+    assert not any("benchmark3" in r.text for r in left) and len([r for r in left if r.doc_id is None]) == 1 and 90 in [r.doc_id for r in left]
     empty = staged(spark, docs.limit(0), str(tmp_path), tmp_path / "empty")
     assert empty[-1].count() == 0
 

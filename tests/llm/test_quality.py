@@ -16,6 +16,7 @@ def brute_force(rows):
     holders, docs = defaultdict(set), defaultdict(set)
     key = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", x.lower())).strip(" ")
     for i, text, host in rows:
+        i = "" if i is None else i
         docs[host or ""].add(i)
         for line in (text or "").split("\n"):
             if WORD.search(line):
@@ -27,7 +28,7 @@ def brute_force(rows):
         grams = Counter(zip(w, w[1:], w[2:]))
         again = {p + k for p in range(len(w) - 2) if grams[tuple(w[p : p + 3])] > 1 for k in range(3)}
         lines = [x for x in text.split("\n") if WORD.search(x)]
-        gone = [x for x in lines if len(h := holders[host, key(x)]) >= 20 and len(h) >= 0.01 * len(docs[host])]
+        gone = [x for x in lines if len(h := holders[host, key(x)]) >= 20 and len(h) >= min(quality.LINE_SHARE * len(docs[host]), quality.MANY_DOCS)]
         lost = sum(len(WORD.findall(x)) for x in gone)
         failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
         depleted = len(w) - lost < 0.5 * len(w)
@@ -48,7 +49,7 @@ def corpus():
             lines += [lines[0]] * 3
         rng.shuffle(lines)
         rows.append((i, rng.choice(["\n", "\n\n", "\r\n"]).join(lines), rng.choice(["a", "a", "b", None])))
-    rows += [(900, None, "a"), (901, "", None), (902, " \t\n ", "a"), (903, "q", "a"), (903, "q", "a"), (904, "a b c " * 20_000, "a"), (None, stock[0], "b")]
+    rows += [(900, None, "a"), (901, "", None), (902, " \t\n ", "a"), (903, "q", "a"), (903, "q", "a"), (904, "a b c " * 20_000, "a"), (None, stock[0], "b"), (None, "z y\n" + stock[0], "b")]
     return rows
 
 
@@ -59,11 +60,26 @@ def test_query_against_brute_force(spark, tmp_path):
     assert got == brute_force(rows)
 
 
+def test_what_a_large_host_asks_for_stops_growing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality, "LINE_SHARE", 0.9)
+    monkeypatch.setattr(quality, "MANY_DOCS", 25)
+    test_query_against_brute_force(spark, tmp_path)
+
+
 def test_shuffled_join_gives_the_same(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(quality, "BROADCAST_LINES", -1)
     test_query_against_brute_force(spark, tmp_path)
 
 
+def test_sql_with_null_ids(spark, tmp_path):
+    rows = corpus() + [(None, "common line\nx", "b")] + [(2000 + i, "common line\ny", "b") for i in range(19)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(ORACLES["op8_quality"])
+    want = sorted((tuple(dict(zip(want.columns, r, strict=True))[c] for c in COLUMNS) for r in want.fetchall()), key=str)
+    assert want == sorted((tuple(r[c] for c in COLUMNS) for r in op8_quality(spark, str(tmp_path)).collect()), key=str)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_sql(spark, sf):
     path = f"/root/testdata/{sf}"
