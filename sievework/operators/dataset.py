@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,6 +29,32 @@ def without_leaks(df: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return df.join(index.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
+def without_leaked_pairs(pairs: DataFrame, index: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs, a row each, whose key is not in the index, and one row of counts: dropped_rows, two a pair. Null keys stay."""
+    kept = without_leaks(pairs, index, key)
+    known = index.select(key).where(F.col(key).isNotNull()).distinct()
+    return kept, pairs.join(known, key, "left_semi").agg((F.count(F.lit(1)) * 2).alias("dropped_rows"))
+
+
+def source_or_ratio_split(df: DataFrame, split: str, digest: Column, tie: tuple[str, ...]) -> DataFrame:
+    """The splits that the rows declare if every row does, else 80/10/10 by hash; preserved says which."""
+    own = declared_splits(df, split).withColumnRenamed(split, "_declared")
+    out = ratio_split(own, digest, tie)
+    return out.select("*", F.col("all_declared").alias("preserved")).withColumn("split", F.when(F.col("all_declared"), F.col("_declared")).otherwise(F.col("split"))).drop("_declared", "all_declared")
+
+
+def bootstrap_rows(spark: SparkSession) -> DataFrame:
+    """A tiny dataset to try a training run with (code, label, split): no text stands in two splits."""
+    rows = [(f"int f{i}(char *s) {{ char b[{8 + i}]; {'strcpy(b, s)' if y else f'snprintf(b, sizeof b, {chr(34)}%s{chr(34)}, s)'}; return {i}; }}", y, split) for i, (y, split) in enumerate((y, split) for split, n in (("train", 8), ("val", 2), ("test", 2)) for y in (1, 0) for _ in range(n // 2))]
+    return spark.createDataFrame(rows, "code string, label int, split string")
+
+
+def artifact_kind(steps: int | None, rows: int | None, tiny: int = 20) -> str:
+    """`bootstrap` for a model of at most ``tiny`` training steps, or of as few rows where steps are unknown; `real` beyond; else `unknown`."""
+    seen = steps if steps is not None else rows
+    return "unknown" if seen is None else "bootstrap" if seen <= tiny else "real"
+
+
 def declared_splits(df: DataFrame, split: str = "split") -> DataFrame:
     """``df`` with all_declared: whether every row has a split of its own (only then they are kept)."""
     whole = df.agg(F.coalesce(F.bool_and(F.col(split).isNotNull()), F.lit(False)).alias("all_declared"))

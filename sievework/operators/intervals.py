@@ -21,14 +21,33 @@ def line_windows(count: Column, window: int, step: int) -> Column:
     return F.transform(used, lambda i: F.struct(i.alias("start"), F.least(count, i + window).alias("end")))
 
 
-def merge_spans(df: DataFrame, key: list[str], start: str, end: str, score: str) -> DataFrame:
-    """Spans that overlap or touch (start <= end before + 1) become one per key: its start, end, best score and how many it was."""
-    order = Window.partitionBy(*key).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+def merge_spans(df: DataFrame, key: list[str], start: str, end: str, score: str, bucket: int = 4096) -> DataFrame:
+    """Spans that overlap or touch (start <= end before + 1) become one per key: its start, end, best score and how many it was.
+
+    Spans are sorted within buckets of lines only, and the farthest end and the number of islands are handed on from bucket to bucket by sums of
+    one row a bucket, so a file of very many spans is no single task's work."""
+    rows = df.withColumn("_bucket", F.floor(F.col(start) / bucket))
+    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*key, "_bucket").agg(F.max(end).alias("_end"))
+    ends = ends.select(*key, "_bucket", F.max("_end").over(before).alias("_carried"))
+    order = Window.partitionBy(*key, "_bucket").orderBy(start, end)
+    reach = F.greatest(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))
     fresh = F.when(reach.isNull() | (F.col(start) > reach + 1), 1).otherwise(0)
-    island = F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = df.withColumn("_fresh", fresh).withColumn("_island", island)
-    return rows.groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.max(score).alias(score), F.count(F.lit(1)).alias("n_spans")).drop("_island")
+    rows = rows.join(ends, [*key, "_bucket"]).withColumn("_fresh", fresh)
+    rows = rows.withColumn("_local", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy(*key, "_bucket", "_local").agg(F.min(start).alias(start), F.max(end).alias(end), F.max(score).alias(score), F.count(F.lit(1)).alias("n_spans"), F.max("_fresh").alias("_fresh"))
+    counts = parts.groupBy(*key, "_bucket").agg(F.sum("_fresh").alias("_n"))
+    counts = counts.select(*key, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    parts = parts.join(counts, [*key, "_bucket"]).withColumn("_island", F.col("_offset") + F.col("_local"))
+    return parts.groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.max(score).alias(score), F.sum("n_spans").alias("n_spans")).drop("_island")
+
+
+def with_snippets(spans: DataFrame, lines: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
+    """Spans with the text of their lines (``lines``: keys, line_no, line), each line once."""
+    asked = spans.select(*key, F.col(start).alias("_start"), F.explode(F.sequence(start, end)).alias("line_no"))
+    found = asked.join(lines.select(*key, "line_no", "line"), [*key, "line_no"]).groupBy(*key, F.col("_start").alias(start))
+    text = found.agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))
+    return spans.join(text, [*key, start], "left").withColumn("snippet", F.array_join(F.col("_lines.line"), "\n")).drop("_lines")
 
 
 def gap_spans(lines: DataFrame, covered: DataFrame, key: list[str]) -> DataFrame:
@@ -49,13 +68,16 @@ def signature_start(lines: DataFrame, key: list[str], boundary: Column, wanted:
 
 def corroborate(findings: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Each finding with the sorted distinct other tools that have a finding in the same file, where one's span holds the
-    other's start line. ``findings``: id, tool, file, start_line, end_line.
+    other's start line, or one of its matched lines is that line. ``findings``: id, tool, file, start_line, end_line and, if it has them, match_lines.
 
     Spans are dealt into buckets of lines, so that the join is on (file, bucket) and a file with very many findings falls
     apart into many keys; a start line has one bucket, so no pair is found twice from one side.
     """
     rows = findings.select("id", "tool", "file", "start_line", F.greatest(F.coalesce(F.nullif("end_line", F.lit(0)), "start_line"), "start_line").alias("end_line"))
     spans = rows.select("*", F.explode(F.sequence(F.floor(F.col("start_line") / bucket), F.floor(F.col("end_line") / bucket))).alias("b"))
+    if "match_lines" in findings.columns:
+        single = findings.select("id", "tool", "file", F.explode("match_lines").alias("start_line")).withColumn("end_line", F.col("start_line"))
+        spans = spans.unionByName(single.withColumn("b", F.floor(F.col("start_line") / bucket)))
     points = rows.select(F.col("id").alias("other_id"), F.col("tool").alias("other_tool"), "file", F.col("start_line").alias("at"), F.floor(F.col("start_line") / bucket).alias("b"))
     hit = spans.join(points, ["file", "b"]).where("tool != other_tool and at between start_line and end_line")
     links = hit.select("id", F.col("other_tool").alias("tool")).union(hit.select("other_id", "tool")).distinct()

@@ -79,6 +79,22 @@ def _said(p: str, *names: str) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(f"{p}{n}"), F.lit("")) for n in names])
 
 
+def pool_header(samples: DataFrame, header: list[str], checklist: str, seq: str) -> DataFrame:
+    """One row for several samples (sample, ...): the header fields of the first, the distinct entries of all checklists in the order in which they were
+    first seen, and the greatest number of findings (n_findings) of one sample."""
+    first = samples.agg(F.min_by(F.struct(*header), seq).alias("h"), F.max(F.coalesce("n_findings", F.lit(0))).alias("max_single"))
+    entries = samples.select(seq, F.posexplode(checklist).alias("place", "entry")).groupBy("entry").agg(F.min(F.struct(seq, "place")).alias("at"))
+    listed = entries.agg(F.array_sort(F.collect_list(F.struct("at", "entry"))).alias("e"))
+    return first.crossJoin(listed).select("h.*", F.col("e.entry").alias(checklist), "max_single")  # one row by one row
+
+
+def severity_counts(findings: DataFrame) -> DataFrame:
+    """(place, severity, n): the five names from the most severe, then others by name; a missing one is `?`."""
+    name = F.lower(F.coalesce(F.nullif("severity", F.lit("")), F.lit("?")))
+    rank = severity_rank(F.col("severity"), -1)
+    return findings.select(name.alias("severity")).groupBy("severity").agg(F.count(F.lit(1)).alias("n")).select((F.lit(4) - rank).alias("place"), "severity", "n")
+
+
 def similarity(a: str, b: str) -> Column:
     """0.6 for an overlap of lines or a shared identifier in files of one name, 0.2 for the same CWE number, 0.2 times the Jaccard of words.
     ``a`` and ``b`` are prefixes of columns file, start_line, end_line, cwe, title, bug_class and anchor. An empty file is no file."""
@@ -248,10 +264,15 @@ def critique_acceptable(draft: Column, critique: Column, n_draft: Column, n_crit
 
 
 def schema_coverage(docs: DataFrame, fields: list[str], share: float = 0.5) -> DataFrame:
-    """(field, n_with, n, covered), and whether all fields are covered."""
+    """(field, n_with, n, covered, version): how many documents say something in each field, and version 2 if every field is covered, else 1. No documents cover
+    nothing."""
     counts = docs.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col(f).isNotNull() & (F.trim(F.col(f).cast("string")) != ""), 1).otherwise(0)).alias(f) for f in fields])
-    rows = counts.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit(0)).alias("n_with")) for f in fields])).alias("s")).select("s.*", "n")
-    return rows.withColumn("covered", (F.col("n") > 0) & (F.col("n_with") >= F.col("n") * share))
+    covered = lambda f: (F.col("n") > 0) & (F.coalesce(F.col(f), F.lit(0)) >= F.col("n") * share)
+    all_of = covered(fields[0])
+    for f in fields[1:]:
+        all_of = all_of & covered(f)
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit(0)).alias("n_with"), F.col("n"), covered(f).alias("covered")) for f in fields])
+    return counts.select(F.explode(rows).alias("s"), F.when(all_of, 2).otherwise(1).alias("version")).select("s.*", "version")
 
 
 #: What tests a variable for holding an error, and what releases one.

@@ -474,3 +474,61 @@ def primary_rules(lines: DataFrame, keys: list[str], rules: list[Rule] = TEXT_RU
 def at_least(severity: Column, floor: str) -> Column:
     """Severity floor: unknown names count as info."""
     return severity_rank(severity, 0) >= severity_rank(F.lit(floor))
+
+
+#: What a weakness is called, what it can lead to, and what to do, by CWE.
+WEAKNESSES = {
+    "CWE-78": ("OS command injection", "text from outside can become a command", "run the program directly with an argument list"),
+    "CWE-120": ("Unbounded copy", "a long input is written past the end of its buffer", "use a call that takes the buffer's size, and check it"),
+    "CWE-131": ("Wrong buffer size", "there is no room for the terminating zero", "allocate one byte more than the length"),
+    "CWE-134": ("Format string from a variable", "conversions in it read or write memory", 'pass the text as an argument of "%s"'),
+    "CWE-170": ("Missing terminator", "reading goes on past the buffer", "set the last byte to zero"),
+    "CWE-190": ("Integer overflow in a size", "less is allocated than is written", "check the product before it is used"),
+    "CWE-191": ("Integer underflow in a size", "a small value becomes a huge size", "check the operands before subtracting"),
+    "CWE-208": ("Comparison that tells by its time", "a secret can be guessed piece by piece", "compare secrets in constant time"),
+    "CWE-242": ("Call that cannot be used safely", "any long line overruns the buffer", "read with a call that takes the buffer's size"),
+    "CWE-273": ("Change of privileges", "a failed change goes unnoticed", "check the result and the order of the changes"),
+    "CWE-327": ("Broken or weak cryptography", "what it protects can be recovered or forged", "use a current algorithm and mode"),
+    "CWE-330": ("Predictable random numbers", "values can be foreseen", "use the system's random source"),
+    "CWE-367": ("Check before use", "the file can change between the two", "open it and check the open file"),
+    "CWE-377": ("Insecure temporary file", "the name can be foreseen and taken", "use a call that creates the file itself"),
+    "CWE-415": ("Double free", "the heap's bookkeeping is corrupted", "set the pointer to null when it is freed"),
+    "CWE-416": ("Use of freed memory", "other data is read or overwritten", "keep the owner alive as long as it is used"),
+    "CWE-426": ("Untrusted search path", "another program or library is loaded", "name it by its whole path"),
+    "CWE-476": ("Unchecked allocation", "a null pointer is used", "check the result before using it"),
+    "CWE-672": ("Use after its lifetime", "the object is no longer what it was", "get it anew before it is used"),
+    "CWE-676": ("Call that keeps hidden state", "two uses disturb each other", "use the reentrant variant"),
+    "CWE-704": ("Cast that checks nothing", "memory is read as what it is not", "avoid the cast or check the type"),
+    "CWE-732": ("Permissions that are too wide", "others can change the file", "grant the owner only"),
+    "CWE-762": ("Wrong kind of delete", "the heap is corrupted", "match new[] with delete[]"),
+    "CWE-770": ("Allocation on the stack", "a large size overruns the stack", "use the heap, and a limit"),
+    "CWE-789": ("Size from text", "any size can be asked for", "parse with limits before allocating"),
+    "CWE-798": ("Secret in the source", "whoever has the program has the secret", "load it from outside"),
+}
+
+
+def explained(findings: DataFrame) -> DataFrame:
+    """``findings`` (of ``scan_findings``) with issue, what_code_does, what_could_go_wrong, vulnerability, explanation, fix (of the first two weaknesses),
+    confidence and is_vulnerable, from the rules that matched; without any rule the finding is of low confidence and to be read by hand."""
+    from sievework.functions.text import confidence
+
+    meta = F.create_map(*[x for r in CODE_RULES for x in (F.lit(r.id), F.lit(r.cwe))])
+    part = lambda i: F.create_map(*[x for cwe, texts in WEAKNESSES.items() for x in (F.lit(cwe), F.lit(texts[i]))])
+    matched = F.array_sort(F.coalesce("matched_patterns", F.array().cast("array<string>")))
+    some = F.size(matched) > 0
+    cwes = F.array_distinct(F.concat(F.array("cwe"), F.filter(F.transform(matched, lambda r: F.try_element_at(meta, r)), lambda c: c.isNotNull())))
+    texts = lambda i: F.filter(F.transform(cwes, lambda c: F.try_element_at(part(i), c)), lambda x: x.isNotNull())
+    say = lambda c, otherwise: F.when(some, c).otherwise(F.lit(otherwise))
+    first = lambda i: F.get(texts(i), 0)
+    return findings.withColumns(
+        {
+            "is_vulnerable": some,
+            "issue": say(first(0), "No known pattern"),
+            "what_code_does": say(F.concat(F.lit("Matches "), F.array_join(matched, ", "), F.lit(".")), "Nothing that the rules know."),
+            "what_could_go_wrong": say(first(1), "What rules don't see; read bounds, sizes and lifetimes by hand."),
+            "vulnerability": say(first(0), ""),
+            "explanation": say(F.array_join(texts(1), "; "), "No rule matched."),
+            "fix": say(F.array_join(F.slice(texts(2), 1, 2), "; "), ""),
+            "confidence": confidence(F.col("score"), some),
+        }
+    )

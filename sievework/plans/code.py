@@ -146,3 +146,16 @@ def mask_text(spark, sf_dir):
     word = F.regexp_replace(F.split("text", " ")[0], '["\n]', ".")
     source = F.concat(F.lit("int a; // "), F.split("text", "\n")[0], F.lit('\nchar *w = "'), word, F.lit('";\n/* '), F.col("text"), F.lit(" */ int b;"))
     return rows.select("doc_id", F.sha2(mask_udf(source).cast("binary"), 256).alias("digest"))
+
+
+_WEAK = ", ".join(f"('{cwe}', '{a}', '{b}')" for cwe, (a, b, _) in ((c, tuple(x.replace("'", "''") for x in t)) for c, t in R.WEAKNESSES.items()))
+
+
+@query(
+    _HITS
+    + f""", weak(cwe, issue, risk) AS (VALUES {_WEAK}), found AS (SELECT path, a, string_agg(DISTINCT rule, ', ' ORDER BY rule) AS rules, arg_max(cwe, {_RANK}) AS cwe FROM hits GROUP BY path, a)
+SELECT path AS file, a::INTEGER AS start_line, issue, 'Matches ' || rules || '.' AS what_code_does, risk AS what_could_go_wrong, 'high' AS confidence FROM found JOIN weak USING (cwe)"""
+)
+def explained_findings(spark, sf_dir):
+    """What is said of each finding."""
+    return R.explained(R.scan_findings(sources(spark, sf_dir))).select("file", "start_line", "issue", "what_code_does", "what_could_go_wrong", "confidence")

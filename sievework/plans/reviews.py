@@ -156,7 +156,7 @@ def leaderboard(spark, sf_dir):
     return best.select("doc_id", F.row_number().over(Window.orderBy(F.desc("composite"), "doc_id")).cast("long").alias("place"))
 
 
-@query("SELECT 'text' AS field, count(*) FILTER (text IS NOT NULL AND trim(text) <> '') AS n_with, count(*) AS n, true AS covered FROM documents UNION ALL SELECT 'quality', count(quality), count(*), count(quality) >= count(*) * 0.5 FROM documents LEFT JOIN labels USING (doc_id)")
+@query("WITH f AS (SELECT 'text' AS field, count(*) FILTER (text IS NOT NULL AND trim(text) <> '') AS n_with, count(*) AS n FROM documents UNION ALL SELECT 'quality', count(quality), count(*) FROM documents LEFT JOIN labels USING (doc_id)), c AS (SELECT *, n_with >= n * 0.5 AS covered FROM f) SELECT *, CASE WHEN (SELECT bool_and(covered) FROM c) THEN 2 ELSE 1 END AS version FROM c")
 def schema_coverage(spark, sf_dir):
     rows = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return R.schema_coverage(rows, ["text", "quality"])

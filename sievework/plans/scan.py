@@ -66,7 +66,9 @@ def sarif_rules(spark, sf_dir):
     + """ SELECT CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS place, severity, count(*) AS n FROM hits GROUP BY severity"""
 )
 def severity_rollup(spark, sf_dir):
-    return hits(spark, sf_dir).groupBy("severity").agg(F.count(F.lit(1)).alias("n")).select((F.lit(4) - X.severity_rank(F.col("severity"))).alias("place"), "severity", "n")
+    from sievework.operators.review import severity_counts
+
+    return severity_counts(hits(spark, sf_dir))
 
 
 @query(

@@ -22,14 +22,28 @@ def decode_dropping(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(hadoop) and files.getFileStatus(hadoop).isFile()
+
+
 def list_sources(spark: SparkSession, path: str, endings: tuple[str, ...] = SOURCE_ENDINGS, exclude: str | None = None) -> DataFrame:
-    """(path, text) of a tree's source files by ending, in any case; a glob to ``exclude`` is tested on the relative path, before a file is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    wanted = F.lower("path").rlike(r"\.(?:" + "|".join(e.replace("+", r"\+") for e in endings) + ")$")
+    """(path, text) of a tree's source files by ending, in any case, sorted by path; a single file is taken whatever its ending. What is not
+    wanted is not read: endings are tested when the tree is listed, and the glob to ``exclude``, on the relative path, against a listing without
+    contents, whose names the driver holds as it holds any listing."""
+    if _is_file(spark, path):
+        return spark.read.format("binaryFile").load(path).select("path", decode_dropping("content").alias("text"))
+    any_case = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(map(any_case, endings)) + "}")
+    files = reader.load(path)
     if exclude:
         relative = F.regexp_replace("path", "^.*?" + re.escape(path.split(":", 1)[-1].rstrip("/")) + "/", "")
-        wanted = wanted & ~relative.rlike(glob_pattern(exclude))
-    return files.where(wanted).select("path", decode_dropping("content").alias("text"))
+        names = [r.path for r in files.select("path").where(~relative.rlike(glob_pattern(exclude))).toLocalIterator()]
+        if not names:
+            return files.limit(0).select("path", F.lit("").alias("text"))
+        files = spark.read.format("binaryFile").load(names)
+    return files.select("path", decode_dropping("content").alias("text")).orderBy("path")
 
 
 def glob_pattern(glob: str) -> str:
@@ -44,13 +58,52 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
 
 
 def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON-lines shards with the file's name and the split that it declares."""
+    """JSON-lines shards with the file's name, the split that it declares, and seq, by which rows stand in the order of files and of lines in them."""
     from sievework.operators.dataset import split_of_file
 
-    rows = spark.read.schema(schema).json(path, mode="DROPMALFORMED").select("*", F.col("_metadata.file_name").alias("file"))
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = spark.read.schema(schema).json(path, mode="DROPMALFORMED").select("*", F.col("_metadata.file_name").alias("file"), place.alias("seq"))
     return rows.withColumn("split", split_of_file(F.col("file")))
 
 
+def read_kb(spark: SparkSession, path: str) -> DataFrame:
+    """(id, triggers, note) of a knowledge base, a JSON document with `entries`; no rows where it is missing or malformed."""
+    from pyspark.errors import AnalysisException
+
+    kind = "array<struct<id:string, triggers:array<string>, note:string>>"
+    try:
+        doc = spark.read.schema(f"entries {kind}").json(path, multiLine=True)
+    except AnalysisException:  # no such file
+        doc = spark.createDataFrame([], f"entries {kind}")
+    return doc.select(F.inline(F.coalesce("entries", F.array().cast(kind))))
+
+
+def match_kb(texts: DataFrame, kb: DataFrame, text: str = "text", most: int = 10_000) -> DataFrame:
+    """``texts`` with ids: the sorted ids of the entries any of whose triggers stands in the text, case aside. A curated base is small: its triggers become
+    constants of one expression; over ``most`` triggers it is refused."""
+    rows = kb.select("id", F.explode("triggers").alias("t")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} triggers")
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    found = [F.when(low.contains(F.lit(r.t.lower())), F.lit(r.id)) for r in rows if r.t is not None]
+    ids = F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<string>")
+    return texts.withColumn("ids", F.array_sort(F.array_distinct(ids)))
+
+
+def read_settings(spark: SparkSession, path: str, defaults: dict[str, float | int | str]) -> dict[str, float | int | str]:
+    """The settings of a JSON document, by the names of ``defaults``; what is missing, null or of another kind, and all where there is no readable
+    document, stays at its default."""
+    from pyspark.errors import PySparkException
+
+    names = {str: "string", int: "bigint", float: "double", bool: "boolean"}
+    schema = ", ".join(f"`{k}` {names[type(v)]}" for k, v in defaults.items())
+    try:
+        row = spark.read.schema(schema).json(path, multiLine=True).first()
+    except PySparkException:
+        row = None
+    return {k: v if row is None or row[k] is None else row[k] for k, v in defaults.items()}
+
+
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
     """Findings of documents that hold them under `explanations` or else `findings`; an empty list counts as none."""
     doc = spark.read.schema(f"explanations array<struct<{_fields()}>>, findings array<struct<{_fields()}>>").json(path, multiLine=True)
@@ -77,7 +130,7 @@ def read_csv_findings(spark: SparkSession, path: str, tool: str) -> DataFrame:
     return rows.select(F.lit(tool).alias("tool"), F.col("File").alias("file"), line.alias("start_line"), line.alias("end_line"), F.col("Name").alias("rule"), F.when(level >= 4, "high").when(level >= 2, "medium").otherwise("low").alias("severity"), F.col("Warning").alias("issue"))
 
 
-LOG_LINE = r"^(.+?):([0-9]+):([0-9]+): (warning|error): (.*?)(?: \[([\w.,\-]+)\])?$"
+LOG_LINE = r"^(.+?):([0-9]+):([0-9]+): (warning|error): (.*?)(?: \[([^\]]+)\])?$"
 
 
 def parse_log_lines(lines: DataFrame, tool: str) -> DataFrame:
@@ -104,7 +157,16 @@ def resolve_sources(asked: DataFrame, sources: DataFrame) -> DataFrame:
 def manifest(spark: SparkSession, path: str, exclude: str = "checkpoint-") -> DataFrame:
     """(path, sha256, bytes) of the files of a tree without checkpoints."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(~F.col("path").contains(exclude)).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    return files.where(~F.col("path").contains(exclude)).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")).orderBy("path")
+
+
+def file_provenance(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256, rows) of JSON-lines files: a last line without a line break counts."""
+    files = spark.read.format("binaryFile").load(path)
+    text = F.decode("content", "ISO-8859-1")
+    ends = F.octet_length("content") > 0
+    rows = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return files.select("path", F.sha2("content", 256).alias("sha256"), (rows + F.when(ends & ~text.endswith("\n"), 1).otherwise(0)).cast("long").alias("rows"))
 
 
 def verify_manifest(listed: DataFrame, found: DataFrame) -> DataFrame:
@@ -120,10 +182,11 @@ def unsafe_entries(entries: DataFrame, path: str = "path", link: Column | None =
     return entries.where(bad | link if link is not None else bad)
 
 
-def merge_documents(docs: DataFrame) -> DataFrame:
-    """One document of several (ord, meta, findings): all findings in order, and the first readable document's metadata."""
-    rows = docs.select("ord", "meta", F.posexplode_outer("findings").alias("place", "finding"))
-    return rows.agg(
-        F.min_by("meta", F.when(F.col("meta").isNotNull(), F.col("ord"))).alias("meta"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("finding").isNotNull(), F.struct("ord", "place", "finding")))), lambda x: x["finding"]).alias("findings"),
-    )
+def merge_documents(docs: DataFrame, most: int = 200_000) -> DataFrame:
+    """One document of several (ord, meta, findings): all findings in order, and the first readable document's metadata. A document is one row, so over
+    ``most`` findings it is refused; as a table, findings of any number are a union."""
+    rows = docs.select("ord", F.posexplode("findings").alias("place", "finding")).orderBy("ord", "place").limit(most + 1)
+    listed = rows.agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "place", "finding"))), lambda x: x["finding"]).alias("findings"))
+    listed = listed.select(F.when(F.col("n") > most, F.raise_error(F.lit(f"more than {most} findings in one document")).cast(docs.schema["findings"].dataType)).otherwise(F.col("findings")).alias("findings"))
+    meta = docs.agg(F.min_by("meta", F.when(F.col("meta").isNotNull(), F.col("ord"))).alias("meta"))
+    return meta.crossJoin(listed)  # one row by one row

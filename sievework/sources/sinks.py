@@ -12,11 +12,21 @@ from sievework.functions.text import first_of, region, sarif_level, severity_ran
 from sievework.sources.files import FINDING
 
 
-def findings_document(findings: DataFrame, key: str = "findings", order: tuple[str, ...] = ("file", "start_line"), **meta: str | float) -> DataFrame:
-    """One row, one column: the JSON document of all findings in order. For reports; findings themselves stay a table."""
-    rows = findings.agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*findings.columns).alias("row")))).alias("rows"))
+#: A document is one row of one task, so the number of its findings is bounded; findings themselves stay a table.
+MOST = 200_000
+
+
+def _at_most(rows: DataFrame, most: int, what: str) -> DataFrame:
+    """``rows`` of one aggregate with a count n, or a failure if that is too great."""
+    return rows.withColumn("n", F.when(F.col("n") > most, F.raise_error(F.lit(f"more than {most} {what} in one document")).cast("long")).otherwise(F.col("n"))).where("n >= 0")
+
+
+def findings_document(findings: DataFrame, key: str = "findings", order: tuple[str, ...] = ("file", "start_line"), most: int = MOST, **meta: str | float) -> DataFrame:
+    """One row, one column: the JSON document of all findings in order; refused over ``most``."""
+    rows = findings.orderBy(*order).limit(most + 1)
+    rows = rows.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(*order, F.struct(*findings.columns).alias("row")))).alias("rows"))
     parts = [F.lit(v).alias(k) for k, v in meta.items()]
-    return rows.select(F.to_json(F.struct(*parts, F.transform("rows", lambda r: r["row"]).alias(key)), {"ignoreNullFields": "false"}).alias("value"))
+    return _at_most(rows, most, key).select(F.to_json(F.struct(*parts, F.transform("rows", lambda r: r["row"]).alias(key)), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_document(document: DataFrame, path: str) -> None:
@@ -32,8 +42,21 @@ def reported(findings: DataFrame) -> DataFrame:
     return findings.where(~F.col("is_vulnerable").eqNullSafe(F.lit(False)))
 
 
-def headline() -> Column:
-    return F.coalesce(first_of(F.col("issue"), F.col("rule")), F.lit("Possible weakness"))
+def headline(findings: DataFrame) -> Column:
+    """The first that is said of issue, vulnerability, explanation and rule."""
+    return F.coalesce(first_of(*[F.col(n) for n in ("issue", "vulnerability", "explanation", "rule") if n in findings.columns]), F.lit("Possible weakness"))
+
+
+def narrative(findings: DataFrame) -> Column:
+    """The headline, then what is said of the three parts, the explanation if it is none of these, the cross-check and the fix, a paragraph each."""
+    said = lambda n: F.nullif(F.trim(F.col(n)), F.lit("")) if n in findings.columns else F.lit(None).cast("string")
+    head = headline(findings)
+    parts = [F.concat(F.lit(f"{label}: "), said(n)) for label, n in (("What the code is doing", "what_code_does"), ("What could go wrong", "what_could_go_wrong"), ("Vulnerability", "vulnerability"))]
+    body = F.concat_ws("\n\n", head, *parts)
+    explained = F.when(~F.contains(body, said("explanation")), said("explanation"))
+    body = F.concat_ws("\n\n", body, explained)
+    crossed = F.when(~F.contains(body, said("cross_check")), said("cross_check"))
+    return F.concat_ws("\n\n", body, crossed, F.concat(F.lit("Fix: "), said("fix")))
 
 
 def sarif_rows(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,22 +64,24 @@ def sarif_rows(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     they were first seen; the first finding with a text describes its rule."""
     rule = F.coalesce(first_of(F.col("rule"), F.col("cwe")), F.lit("finding"))
     r = region(F.col("start_line"), F.col("end_line"), F.col("match_lines"))
-    results = reported(findings).select("seq", rule.alias("ruleId"), sarif_level(F.col("severity")).alias("level"), headline().alias("message"), F.regexp_replace("file", r"\\", "/").alias("uri"), r["start_line"].alias("startLine"), r["end_line"].alias("endLine"), "cwe")
+    results = reported(findings).select("seq", rule.alias("ruleId"), sarif_level(F.col("severity")).alias("level"), headline(findings).alias("message"), F.regexp_replace("file", r"\\", "/").alias("uri"), r["start_line"].alias("startLine"), r["end_line"].alias("endLine"), "cwe")
     text = F.when(F.col("message") != "Possible weakness", F.col("message"))
     rules = results.groupBy("ruleId").agg(F.min("seq").alias("place"), F.coalesce(F.min_by(text, F.when(text.isNotNull(), F.col("seq"))), F.col("ruleId")).alias("description"), F.min_by("cwe", F.when(F.col("cwe").isNotNull(), F.col("seq"))).alias("cwe"))
     return results, rules
 
 
-def sarif_document(findings: DataFrame, tool: str = "sievework") -> DataFrame:
-    """One row: the SARIF 2.1.0 document."""
+def sarif_document(findings: DataFrame, tool: str = "sievework", most: int = MOST) -> DataFrame:
+    """One row: the SARIF 2.1.0 document; refused over ``most`` results."""
     results, rules = sarif_rows(findings)
     location = F.array(F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation"), F.struct("startLine", "endLine").alias("region")).alias("physicalLocation")))
-    results = results.agg(F.array_sort(F.collect_list(F.struct("seq", F.struct("ruleId", "level", F.struct(F.col("message").alias("text")).alias("message"), location.alias("locations")).alias("r")))).alias("results"))
+    listed = results.orderBy("seq").limit(most + 1)
+    listed = listed.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("seq", F.struct("ruleId", "level", F.struct(F.col("message").alias("text")).alias("message"), location.alias("locations")).alias("r")))).alias("results"))
+    listed = _at_most(listed, most, "results")
     rules = rules.agg(F.array_sort(F.collect_list(F.struct("place", F.struct(F.col("ruleId").alias("id"), F.struct(F.col("description").alias("text")).alias("shortDescription"), F.struct(F.array(F.col("cwe")).alias("tags")).alias("properties")).alias("r")))).alias("rules"))
     driver = F.struct(F.struct(F.lit(tool).alias("name"), F.transform("rules", lambda x: x["r"]).alias("rules")).alias("driver"))
     run = F.struct(driver.alias("tool"), F.transform("results", lambda x: x["r"]).alias("results"))
     schema = "https://json.schemastore.org/sarif-2.1.0.json"
-    return results.join(rules).select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit(schema).alias("$schema"), F.array(run).alias("runs"))).alias("value"))
+    return listed.crossJoin(rules).select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit(schema).alias("$schema"), F.array(run).alias("runs"))).alias("value"))  # one row by one row
 
 
 def ordered_for_report(findings: DataFrame) -> DataFrame:
@@ -79,6 +104,45 @@ def html_report(findings: DataFrame, title: str) -> Iterable[str]:
     yield "</table></body></html>"
 
 
+def _steps(walk: list | str | None) -> Iterable[str]:
+    if isinstance(walk, str) and walk.strip():
+        yield walk.strip()
+    for i, step in enumerate(walk if isinstance(walk, list) else (), 1):
+        place = ":".join(str(step[k]) for k in ("file", "lines") if step.get(k))
+        yield f"{i}. {step.get('explanation') or step.get('text') or ''}" + (f" ({place})" if place else "")
+        if step.get("code"):
+            yield "```\n" + str(step["code"]).rstrip() + "\n```"
+
+
+def review_markdown(review: dict) -> Iterable[str]:
+    """Lines of one review's report: its header, both walkthroughs (a text or steps), findings with their flags, anchors and what came of them, findings that
+    were suppressed and why, and the checklist. A review is one document, so this is the driver's work."""
+    yield f"# Review of {review.get('subsystem') or 'the sources'}"
+    for label, name in (("Provenance", "provenance"), ("Trust boundary", "trust_boundary"), ("Summary", "summary")):
+        if review.get(name):
+            yield f"**{label}:** {review[name]}"
+    for title, name in (("What the code does", "what_the_code_does"), ("What could go wrong", "what_could_go_wrong")):
+        if steps := list(_steps(review.get(name))):
+            yield f"## {title}"
+            yield from steps
+    for f in review.get("findings") or ():
+        yield f"## [{f.get('severity') or '?'}] {f.get('title') or f.get('issue') or 'Finding'}"
+        yield f"{f.get('file') or '?'}:{f.get('line') or '?'} {f.get('cwe') or ''}".rstrip()
+        for name in ("bug_class", "invariant", "failure_mode", "exploitation", "what_to_confirm", "fix"):
+            if f.get(name):
+                yield f"- {name.replace('_', ' ')}: {f[name]}"
+        yield from (f"- flagged: {x}" for x in f.get("flags") or ())
+    if review.get("reviewed_anchors"):
+        yield "## Anchors"
+        yield from (f"- {a.get('anchor')}: {a.get('disposition') or '?'}{' - ' + a['reason'] if a.get('reason') else ''}" for a in review["reviewed_anchors"])
+    if review.get("suppressed_findings"):
+        yield "## Suppressed"
+        yield from (f"- {f.get('title')}: {f.get('suppressed')}" for f in review["suppressed_findings"])
+    if review.get("audit_checklist"):
+        yield "## Checklist"
+        yield from (f"- [ ] {x}" for x in review["audit_checklist"])
+
+
 def empty_findings(spark: SparkSession) -> DataFrame:
     """What a lane writes that could not run: a valid document without findings."""
     return spark.createDataFrame([], FINDING)

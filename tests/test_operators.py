@@ -29,8 +29,15 @@ def test_merge_spans(spark, seed):
             else:
                 own.append([a, b, s, 1])
         want += [(f, *o) for o in own]
-    got = I.merge_spans(spark.createDataFrame(rows, "file int, a int, b int, score double"), ["file"], "a", "b", "score")
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+    for bucket in (4096, 7):
+        got = I.merge_spans(spark.createDataFrame(rows, "file int, a int, b int, score double"), ["file"], "a", "b", "score", bucket=bucket)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_snippets(spark):
+    lines = spark.createDataFrame([("f", i, f"l{i}") for i in range(1, 7)], "file string, line_no int, line string")
+    spans = spark.createDataFrame([("f", 2, 3), ("f", 5, 9), ("g", 1, 1)], "file string, a int, b int")
+    assert {(r.file, r.a): r.snippet for r in I.with_snippets(spans, lines, ["file"], "a", "b").collect()} == {("f", 2): "l2\nl3", ("f", 5): "l5\nl6", ("g", 1): None}
 
 
 def test_corroborate(spark):
@@ -43,6 +50,42 @@ def test_corroborate(spark):
     assert {r.id: r.corroborated_by for r in got} == want
 
 
+def test_corroborate_by_matched_lines(spark):
+    rows = [(1, "a", "f", 10, 12, [40, 41]), (2, "b", "f", 40, 40, None), (3, "c", "f", 90, 90, []), (4, "a", "f", 41, 41, None)]
+    got = I.corroborate(spark.createDataFrame(rows, "id int, tool string, file string, start_line int, end_line int, match_lines array<int>")).collect()
+    assert {r.id: r.corroborated_by for r in got} == {1: ["b"], 2: ["a"], 3: [], 4: []}
+
+
+def test_signature_start(spark):
+    lines = spark.createDataFrame([("f", 1, "}"), ("f", 2, "int"), ("f", 3, "g()"), ("f", 4, "{")], "file string, line_no int, line string")
+    got = I.signature_start(lines, ["file"], F.col("line") == "}", F.col("line") == "{").collect()
+    assert [(r.line_no, r.start_line) for r in got] == [(4, 2)]
+
+
+def test_leaked_pairs_and_declared_splits(spark):
+    pairs = spark.createDataFrame([(1, "c1"), (2, "c2"), (3, None)], "pair int, commit string")
+    kept, dropped = D.without_leaked_pairs(pairs, spark.createDataFrame([("c2",), (None,)], "commit string"), "commit")
+    assert sorted(r.pair for r in kept.collect()) == [1, 3] and dropped.first()[0] == 2
+    rows = spark.range(20).withColumn("split", F.lit("val"))
+    digest = F.sha1(F.col("id").cast("string").cast("binary"))
+    own = D.source_or_ratio_split(rows, "split", digest, ("id",)).collect()
+    assert {(r.split, r.preserved) for r in own} == {("val", True)} and len(own) == 20
+    mixed = D.source_or_ratio_split(rows.withColumn("split", F.when(F.col("id") > 0, F.col("split"))), "split", digest, ("id",)).collect()
+    assert sorted(r.split for r in mixed) == ["test"] * 2 + ["train"] * 16 + ["val"] * 2 and not any(r.preserved for r in mixed)
+    tiny = D.bootstrap_rows(spark)
+    assert tiny.select("code").distinct().count() == tiny.count() == 12
+    assert [D.artifact_kind(*x) for x in ((20, None), (21, 5), (None, 3), (None, 300), (None, None))] == ["bootstrap", "real", "bootstrap", "real", "unknown"]
+
+
+def test_pool_header_and_severity_counts(spark):
+    samples = spark.createDataFrame([(1, "s1", "x", ["b", "a"], 2), (2, "s2", "y", ["a", "c"], 5), (3, "s3", None, None, None)], "seq int, sample string, subsystem string, checklist array<string>, n_findings int")
+    r = V.pool_header(samples, ["subsystem"], "checklist", "seq").first()
+    assert (r.subsystem, r.checklist, r.max_single) == ("x", ["b", "a", "c"], 5)
+    f = spark.createDataFrame([("High",), ("odd",), (None,), ("",), ("info",), ("ART",)], "severity string")
+    got = V.severity_counts(f).orderBy("place", "severity").collect()
+    assert [(r.severity, r.n) for r in got] == [("high", 1), ("info", 1), ("?", 2), ("art", 1), ("odd", 1)]
+
+
 def test_line_windows(spark):
     def loop(n, window, step):
         out, i = [], 0
@@ -273,17 +316,36 @@ def test_sources(spark, tmp_path):
     (tmp_path / "src/readme.md").write_text("no")
     got = {r.path.rsplit("/", 1)[1]: r.text for r in files.list_sources(spark, str(tmp_path / "src"), exclude="test_*").collect()}
     assert got == {"X.CPP": "int a;", "b.h": "int b;"}
+    assert [r.path.rsplit("/", 1)[1] for r in files.list_sources(spark, str(tmp_path / "src")).collect()] == ["X.CPP", "b.h", "test_c.c"]
+    assert files.list_sources(spark, str(tmp_path / "src/readme.md")).first().text == "no"
+    assert files.list_sources(spark, str(tmp_path / "src"), exclude="*").count() == 0
+    (tmp_path / "x.jsonl").write_bytes(b'{"a":1}\n{"a":2}')
+    (tmp_path / "empty.jsonl").write_bytes(b"")
+    assert [files.file_provenance(spark, str(tmp_path / n)).first().rows for n in ("x.jsonl", "empty.jsonl")] == [2, 0]
+    (tmp_path / "kb.json").write_text(json.dumps({"entries": [{"id": "k", "triggers": ["GETS", "x y"], "note": "n"}, {"id": "q", "triggers": None}]}))
+    (tmp_path / "bad.json").write_text('{"entries": [')
+    kb = files.read_kb(spark, str(tmp_path / "kb.json"))
+    assert [r.ids for r in files.match_kb(spark.createDataFrame([("call gets(",), (None,), ("a",)], "text string"), kb).collect()] == [["k"], [], []]
+    assert files.read_kb(spark, str(tmp_path / "bad.json")).count() == files.read_kb(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "set.json").write_text('{"threshold": 0.7, "window": null, "name": "n"}')
+    defaults = {"threshold": 0.5, "window": 12, "name": "d", "more": True}
+    assert files.read_settings(spark, str(tmp_path / "set.json"), defaults) == {"threshold": 0.7, "window": 12, "name": "n", "more": True}
+    assert files.read_settings(spark, str(tmp_path / "none.json"), defaults) == defaults
+    grouped = {r.lang: [p.rsplit("/", 1)[1] for p in r.paths] for r in files.by_language(files.list_sources(spark, str(tmp_path / "src"))).collect()}
+    assert grouped == {"cpp": ["X.CPP", "b.h"], "c": ["test_c.c"]}
     m = files.manifest(spark, str(tmp_path / "src"))
     assert m.count() == 4 and files.verify_manifest(m, m.where("bytes > 6")).where("status = 'missing'").count() == 2
     (tmp_path / "rows_train.jsonl").write_text('{"a": 1}\n\n{bad\n{"a": 2}\n')
     rows = files.read_shards(spark, str(tmp_path / "rows_train.jsonl"), "a int")
-    assert sorted((r.a, r.split) for r in rows.collect()) == [(1, "train"), (2, "train")]
+    assert [(r.a, r.split) for r in rows.orderBy("seq").collect()] == [(1, "train"), (2, "train")]
     with pytest.raises(Exception, match="(?i)malformed"):
         files.read_jsonl(spark, str(tmp_path / "rows_train.jsonl"), "a int", strict=True).collect()
     (tmp_path / "doc.json").write_text(json.dumps({"explanations": [], "findings": [{"file": "f.c", "start_line": 3}]}))
     assert [r.file for r in files.read_findings(spark, str(tmp_path / "doc.json")).collect()] == ["f.c"]
     (tmp_path / "t.csv").write_text('File,Line,Level,Name,Warning\nf.c,3,4,strcpy,"a, b"\nf.c,x,1,y,z\n')
     assert [(r.start_line, r.severity) for r in files.read_csv_findings(spark, str(tmp_path / "t.csv"), "t").collect()] == [(3, "high"), (0, "low")]
+    odd = spark.createDataFrame([("a.c:1:2: warning: m [x/y z+]",)], "line string")
+    assert files.parse_log_lines(odd, "tidy").first().rule == "x/y z+"
     log = spark.createDataFrame([("a/b.c:12:5: warning: bad thing [x-y.z]",), ("c:\\d.c:7:1: error: oops",), ("note: no",), ("a.c:1:2: note: n",)], "line string")
     assert [(r.file, r.start_line, r.rule, r.severity, r.issue) for r in files.parse_log_lines(log, "tidy").collect()] == [("a/b.c", 12, "x-y.z", "medium", "bad thing"), ("c:\\d.c", 7, "tidy", "high", "oops")]
     tab = spark.createDataFrame([("a.c\t3\tError\tid\tmsg",), ("a.c\tx\tError\tid\tmsg",), ("a\tb",)], "line string")
@@ -311,6 +373,20 @@ def test_sinks(spark, tmp_path):
     assert '"cwe":null' in "".join(r.value for r in spark.read.text(str(tmp_path / "l")).collect())
     sinks.write_blind_split(f.select("seq", F.col("issue").alias("code"), "severity", F.lit("eval").alias("split")), str(tmp_path / "blind"), "seq", "code", ["severity"], "split")
     assert spark.read.parquet(str(tmp_path / "blind/corpus")).columns == ["opaque_id", "code", "split"]
+    with pytest.raises(PySparkException, match="more than 2"):
+        sinks.findings_document(f, most=2).collect()
+    with pytest.raises(PySparkException, match="more than 1"):
+        sinks.sarif_document(f, most=1).collect()
+    docs = spark.createDataFrame([(2, None, [("b", 1)]), (1, "m", [("a", 1), ("a", 2)]), (3, "n", None)], "ord int, meta string, findings array<struct<file:string, line:int>>")
+    one = files.merge_documents(docs).first()
+    assert one.meta == "m" and [(x.file, x.line) for x in one.findings] == [("a", 1), ("a", 2), ("b", 1)]
+    with pytest.raises(PySparkException, match="more than 2"):
+        files.merge_documents(docs, most=2).collect()
+    told = f.select("*", F.lit("does").alias("what_code_does"), F.lit(" ").alias("vulnerability"), F.lit("does").alias("explanation"), F.lit("do x").alias("fix"))
+    assert told.select(sinks.narrative(told)).first()[0] == "Bad <copy>\n\nWhat the code is doing: does\n\nFix: do x"
+    review = {"subsystem": "net", "what_the_code_does": "It reads.", "what_could_go_wrong": [{"explanation": "overflow", "file": "a.c", "lines": "3-4", "code": "x\n"}], "findings": [{"title": "T", "severity": "high", "file": "a.c", "line": "3", "flags": ["copied narrative"]}], "reviewed_anchors": [{"anchor": "f()", "disposition": "dismissed", "reason": "bounded"}], "audit_checklist": ["lengths"], "suppressed_findings": [{"title": "S", "suppressed": "key"}]}
+    lines = list(sinks.review_markdown(review))
+    assert lines[0] == "# Review of net" and "1. overflow (a.c:3-4)" in lines and "- f(): dismissed - bounded" in lines and "- [ ] lengths" in lines and "- flagged: copied narrative" in lines and "- S: key" in lines
     assert sinks.empty_findings(spark).count() == 0
     assert [r.status for r in sinks.lane_status([("a", True, True), ("b", True, False), ("c", False, False)], spark).collect()] == ["ok", "failed", "skipped"]
 
