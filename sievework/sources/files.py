@@ -161,7 +161,7 @@ def manifest(spark: SparkSession, path: str, exclude: str = "checkpoint-") -> Da
 
 
 def file_provenance(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, rows) of JSON-lines files: a last line without a line break counts."""
+    """(path, sha256, rows) of JSON-lines files: a last line without a line break counts; an empty file has no row."""
     files = spark.read.format("binaryFile").load(path)
     text = F.decode("content", "ISO-8859-1")
     ends = F.octet_length("content") > 0

@@ -321,7 +321,9 @@ def test_sources(spark, tmp_path):
     assert files.list_sources(spark, str(tmp_path / "src"), exclude="*").count() == 0
     (tmp_path / "x.jsonl").write_bytes(b'{"a":1}\n{"a":2}')
     (tmp_path / "empty.jsonl").write_bytes(b"")
-    assert [files.file_provenance(spark, str(tmp_path / n)).first().rows for n in ("x.jsonl", "empty.jsonl")] == [2, 0]
+    (tmp_path / "y.jsonl").write_bytes(b'{"a":1}\n\xff\n')
+    assert [files.file_provenance(spark, str(tmp_path / n)).first().rows for n in ("x.jsonl", "y.jsonl")] == [2, 2]
+    assert files.file_provenance(spark, str(tmp_path / "empty.jsonl")).count() == 0
     (tmp_path / "kb.json").write_text(json.dumps({"entries": [{"id": "k", "triggers": ["GETS", "x y"], "note": "n"}, {"id": "q", "triggers": None}]}))
     (tmp_path / "bad.json").write_text('{"entries": [')
     kb = files.read_kb(spark, str(tmp_path / "kb.json"))
