@@ -187,7 +187,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def basename(path: Column) -> Column:
-    return F.substring_index(normal_path(path), "/", -1)
+    return F.substring_index(F.regexp_replace(path, r"\\", "/"), "/", -1)
 
 
 def normal_path(path: Column) -> Column:

@@ -72,9 +72,9 @@ def json_path(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
 
 
-@query()
+@query("SELECT event_id, '[' || props || ']' AS repaired FROM events")
 def json_repair(spark, sf_dir):
-    """Documents cut off after two thirds, closed again where that can be done."""
+    """Arrays of the properties twice, cut off in the second: the first is kept, and closed."""
     from sievework.functions.lexical import repair_json_udf
 
     e = table(spark, sf_dir, "events").select("event_id", F.expr("substring(concat('[', props, ',', props, ']'), 1, length(props) + 4)").alias("cut"))

@@ -122,3 +122,19 @@ def observation_texts(spark, sf_dir):
 def recommended_model(spark, sf_dir):
     models = spark.createDataFrame([("big", 3, 40.0, 1.0, True), ("mid", 2, 9.0, 0.25, True), ("new", 3, 8.0, 0.25, False), ("small", 1, 2.0, 0.1, True)], "name string, rank int, weights_gb double, kv_gb_per_k double, installed boolean")
     return T.recommend(models, 12.0, 8.0).select("name", "rank")
+
+
+@query("SELECT doc_id, trim(text) <> '' AND (coalesce(trim(lang), '') <> '' OR coalesce(trim(source), '') = 'src1') AS usable, CASE WHEN doc_id % 3 = 0 THEN doc_id % 100 >= 40 ELSE false END AS over FROM documents")
+def usable_records(spark, sf_dir):
+    """Documents as records with two fields, one of them mostly blank, and scores that are not always numbers."""
+    score = F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 100 / 100).cast("string")).when(F.col("doc_id") % 3 == 1, "n/a")
+    fields = [F.col("lang"), F.when(F.col("source") == "src1", F.col("source")).otherwise(F.lit(" "))]
+    return table(spark, sf_dir, "documents").select("doc_id", T.usable(F.col("text"), fields).alias("usable"), T.scores_at_least(score, 0.4).alias("over"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly_counts(spark, sf_dir):
+    """The stream's counts by hour, over the table as a batch."""
+    from sievework.streaming.scan import hourly_counts as counts
+
+    return counts(table(spark, sf_dir, "events"))

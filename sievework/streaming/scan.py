@@ -14,5 +14,7 @@ def scan_stream(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def hourly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Findings by tool and hour of their time, with a watermark for late ones."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select("w.start", "event_type", "n")
+    """Findings by tool and hour of their time, with a watermark for late ones. Times may be with or without a zone."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counts = timed.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")

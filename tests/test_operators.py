@@ -149,6 +149,44 @@ def test_budget_against_a_plain_fold(spark, seed):
     assert {r.id for r in got.collect()} == want
 
 
+def test_picks_of_the_queries_against_plain_folds(spark):
+    """The registered round robin and budgeted pick over a driver table, in plain Python."""
+    import hashlib
+
+    from sievework.plans.datasets import budget_pick, stratified_round_robin
+
+    path = "/root/testdata/sf0.01"
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{path}/documents.parquet").collect() if r.doc_id in quality}
+    queues, left, used, want = {}, {1: 60, 0: 30}, {}, set()
+    for i in sorted(docs):
+        queues.setdefault((docs[i].lang, quality[i]), []).append(i)
+    langs = ["es", "fr", *sorted({lang for lang, _ in queues if lang is not None} - {"es", "fr"})]
+    for lap in range(25):
+        for lang in langs:
+            for y in (1, 0):
+                q = queues.get((lang, y), [])
+                if lap < len(q) and left[y] > 0 and used.get(lang, 0) < 25:
+                    left[y], used[lang] = left[y] - 1, used.get(lang, 0) + 1
+                    want.add(q[lap])
+    assert want and {r.doc_id for r in stratified_round_robin(spark, path).where("lang is not null").collect()} == want
+
+    units = {}
+    for i, d in docs.items():
+        size = len(json.dumps({"doc_id": i, "text": d.text}, ensure_ascii=False).encode()) + 1
+        units.setdefault(i // 2, []).append((hashlib.sha1(str(i).encode()).hexdigest(), i, quality[i], size))
+    picked, counts, room = set(), {0: 0, 1: 0}, 120_000
+    for unit in sorted(units.values(), key=lambda u: (len(u) == 1, min(u)[0])):
+        size = sum(n for *_, n in unit)
+        fits = len(picked) + len(unit) <= 80 and size <= room
+        if fits and (len(unit) > 1 or not picked or (counts[unit[0][2]] + 1) / (len(picked) + 1) <= 0.62):
+            room -= size
+            for y in (1, 0) if len(unit) > 1 else (unit[0][2],):  # a pair is one of each
+                counts[y] += 1
+            picked |= {i for _, i, _, _ in unit}
+    assert picked and {r.doc_id for r in budget_pick(spark, path).collect()} == picked
+
+
 def test_guards(spark):
     df = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "id int, y int")
     with pytest.raises(PySparkException):
@@ -393,6 +431,17 @@ def test_sinks(spark, tmp_path):
     assert [r.status for r in sinks.lane_status([("a", True, True), ("b", True, False), ("c", False, False)], spark).collect()] == ["ok", "failed", "skipped"]
 
 
+def test_stream_counts_hours(spark):
+    from sievework.streaming.scan import hourly_counts
+
+    path = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{path}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/events.parquet*")
+    q = hourly_counts(stream).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, hourly_counts(events).collect()))
+
+
 def test_stream_gives_the_rows_of_the_batch(spark):
     from sievework.streaming.scan import scan_stream
 
