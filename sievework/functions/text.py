@@ -224,5 +224,16 @@ def numbered_lines(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), lambda line, i: F.format_string("%4d| %s", i + 1, line)), "\n")
 
 
+def reply_state(reply: Column) -> Column:
+    """What a chat reply, a JSON document, has under message.content: `ok` for a string that is JSON, `unreadable` for one that is not, else what is wrong:
+    `no object`, `no message`, `no content`; null for null."""
+    v = F.try_parse_json(reply)
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    message, content = F.try_variant_get(v, "$.message", "variant"), F.try_variant_get(v, "$.message.content", "variant")
+    readable = F.try_parse_json(F.try_variant_get(v, "$.message.content", "string")).isNotNull()
+    state = F.when(~kind(v).startswith("OBJECT"), "no object").when(~kind(message).startswith("OBJECT"), "no message").when(kind(content) != "STRING", "no content")
+    return F.when(reply.isNotNull(), state.when(readable, "ok").otherwise("unreadable"))
+
+
 def footprint_gb(weights_gb: Column, kv_gb_per_k: Column, context_k: Column) -> Column:
     return weights_gb + kv_gb_per_k * context_k

@@ -197,6 +197,19 @@ def provenance(df: DataFrame, text: str, label: str, group: str) -> DataFrame:
     )
 
 
+def provenance_record(rows: DataFrame, text: str, label: str, group: str, files: DataFrame, caps: dict[str, int], leaks: DataFrame | None = None, **facts: str) -> DataFrame:
+    """One row that says what a dataset is: ``facts`` (dataset, revision, license and so on), the counts of ``provenance``, rows by group, the caps that it was made
+    under, how many rows a leakage check dropped (``leaks``, one row), and path, sha256 and rows of its files."""
+    one = provenance(rows, text, label, group)
+    groups = rows.where(F.col(group).isNotNull()).groupBy(group).count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(group).cast("string"), "count")))).alias("per_group"))
+    written = files.agg(F.array_sort(F.collect_list(F.struct("path", "sha256", "rows"))).alias("files"))
+    out = one.crossJoin(groups).crossJoin(written)  # one row each
+    if leaks is not None:
+        out = out.crossJoin(leaks)
+    limits = F.struct(*[F.lit(v).alias(k) for k, v in caps.items()]) if caps else F.lit(None).cast("string")
+    return out.select(*[F.lit(v).alias(k) for k, v in facts.items()], "*", limits.alias("caps"))
+
+
 def guard_rows(df: DataFrame, least: int) -> DataFrame:
     """``df``, or a failure when it has fewer rows: checked when it is read, before anything is written."""
     n = df.agg((F.count(F.lit(1)) >= least).alias("enough"))

@@ -88,6 +88,16 @@ def pool_header(samples: DataFrame, header: list[str], checklist: str, seq: str)
     return first.crossJoin(listed).select("h.*", F.col("e.entry").alias(checklist), "max_single")  # one row by one row
 
 
+def review_context(sources: DataFrame, key: list[str], seq: str, begin: str = "BEGIN SOURCES", end: str = "END SOURCES") -> DataFrame:
+    """Per review one text: the files' names, then each file (path, text) in order with its lines numbered, between two markers."""
+    from sievework.functions.text import numbered_lines
+
+    block = F.concat(F.lit("/* ===== FILE: "), F.col("path"), F.lit(" ===== */\n"), numbered_lines(F.col("text")))
+    rows = sources.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(seq, "path", block.alias("block")))).alias("files"))
+    names, blocks = F.array_join(F.col("files.path"), ", "), F.array_join(F.col("files.block"), "\n\n")
+    return rows.select(*key, F.concat(F.lit("Files under review: "), names, F.lit(f"\n\n{begin}\n"), blocks, F.lit(f"\n{end}")).alias("context"))
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     """(place, severity, n): the five names from the most severe, then others by name; a missing one is `?`."""
     name = F.lower(F.coalesce(F.nullif("severity", F.lit("")), F.lit("?")))

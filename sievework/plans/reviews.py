@@ -243,6 +243,17 @@ def anchor_idents(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.anchor_key(F.lit("CWE-1"), anchor, F.col("text"))["ident"].alias("ident"))
 
 
+@query(
+    """WITH l AS (SELECT conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM conversations),
+b AS (SELECT conv_id, turn, string_agg(lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INTEGER, ' ') || '| ' || line, chr(10) ORDER BY n) AS block FROM l GROUP BY conv_id, turn)
+SELECT conv_id, sha256('Files under review: ' || string_agg('t' || turn, ', ' ORDER BY turn) || chr(10) || chr(10) || 'BEGIN SOURCES' || chr(10) || string_agg('/* ===== FILE: t' || turn || ' ===== */' || chr(10) || block, chr(10) || chr(10) ORDER BY turn) || chr(10) || 'END SOURCES') AS digest FROM b GROUP BY conv_id"""
+)
+def review_contexts(spark, sf_dir):
+    """Turns as the files of one review."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("path"), "text")
+    return R.review_context(rows, ["conv_id"], "turn").select("conv_id", F.sha2(F.col("context").cast("binary"), 256).alias("digest"))
+
+
 @query("SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS digest, regexp_extract(url, '[^/]*$', 0) AS base FROM pages")
 def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(X.html_escape(F.col("html")).cast("binary"), 256).alias("digest"), X.basename(F.col("url")).alias("base"))

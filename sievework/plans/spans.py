@@ -72,6 +72,17 @@ def json_path(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
 
 
+#: Replies around the events' properties, and what state each is in.
+_REPLIES = [("concat('{\"message\": {\"content\": ', to_json(named_struct('x', props)), '}}')", "no content"), ("concat('{\"message\": ', props, '}')", "no content"), ("props", "no message"), ("concat('[', props, ']')", "no object"), ("'{\"message\": null}'", "no message"), ("'{\"message\": {\"content\": \"{}\"}}'", "ok"), ("'{\"message\": {\"content\": \"{\"}}'", "unreadable"), ("'cut {'", "no object")]
+
+
+@query(f"WITH v(i, state) AS (VALUES {', '.join(f'({i}, {chr(39)}{s}{chr(39)})' for i, (_, s) in enumerate(_REPLIES))}) SELECT event_id, state FROM events JOIN v ON (event_id * 3 + length(props)) % {len(_REPLIES)} = i")
+def reply_states(spark, sf_dir):
+    """Chat replies of all shapes."""
+    reply = F.element_at(F.array(*[F.expr(x) for x, _ in _REPLIES]), (F.expr("event_id * 3 + length(props)") % len(_REPLIES) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", X.reply_state(reply).alias("state"))
+
+
 @query("SELECT event_id, '[' || props || ']' AS repaired FROM events")
 def json_repair(spark, sf_dir):
     """Arrays of the properties twice, cut off in the second: the first is kept, and closed."""

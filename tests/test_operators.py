@@ -77,6 +77,14 @@ def test_leaked_pairs_and_declared_splits(spark):
     assert [D.artifact_kind(*x) for x in ((20, None), (21, 5), (None, 3), (None, 300), (None, None))] == ["bootstrap", "real", "bootstrap", "real", "unknown"]
 
 
+def test_provenance_record(spark):
+    rows = spark.createDataFrame([("abc", 1, "g"), ("d", 0, "g"), ("e", 0, "h"), ("f", 0, None)], "code string, label int, project string")
+    files_ = spark.createDataFrame([("a.jsonl", "00", 4)], "path string, sha256 string, rows long")
+    dropped = spark.createDataFrame([(6,)], "dropped_rows long")
+    r = D.provenance_record(rows, "code", "label", "project", files_, {"max_rows": 9}, dropped, dataset="d", license="MIT").first()
+    assert (r.dataset, r.license, r.n_rows, r.n_pos, r.bytes, r.per_group, r.caps.max_rows, r.dropped_rows, r.files[0].path) == ("d", "MIT", 4, 1, 6, {"g": 2, "h": 1}, 9, 6, "a.jsonl")
+
+
 def test_pool_header_and_severity_counts(spark):
     samples = spark.createDataFrame([(1, "s1", "x", ["b", "a"], 2), (2, "s2", "y", ["a", "c"], 5), (3, "s3", None, None, None)], "seq int, sample string, subsystem string, checklist array<string>, n_findings int")
     r = V.pool_header(samples, ["subsystem"], "checklist", "seq").first()
