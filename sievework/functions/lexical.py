@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
+#: What begins neither a comment nor a literal.
+PLAIN = re.compile(r"[^\"'/uULR]+")
 RAW_STRING = re.compile(r'(?:u8|u|U|L)?R"([^ ()\\\t\v\f\n]{0,16})\(')
 
 
@@ -53,8 +55,8 @@ def mask(text: str, keep_strings: bool = False) -> str:
             closed = len(inner) > 1 and inner.endswith(c)
             out.append(inner if keep_strings else c + blank(inner[1 : len(inner) - closed]) + c * closed)
         else:
-            j = i + 1
-            out.append(c)
+            j = plain.end() if (plain := PLAIN.match(text, i)) else i + 1
+            out.append(text[i:j])
         i = j
     return "".join(out)
 
