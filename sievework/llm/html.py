@@ -5,7 +5,7 @@ The page becomes a tree of block elements; its text becomes blocks in page order
 Scoring. A block of running text gives points for its length and commas to the ancestors of its owner, fewer the further up. A
 container's value is its points, discounted by the share of its text that stands in links, times HOME_WEIGHT if it is marked as an article or as the main
 part. The container of greatest value is chosen on every page, of equals the first. With it are kept those of its siblings that
-score well enough by the same measure, plain paragraphs of running text, and headings before it; beside a marked article no other containers.
+score well enough by the same measure, plain paragraphs of running text, and headings before it, alone or in a short element; beside a marked article no other containers.
 
 What is not the article. Elements that are menus, footers, forms, scripts and the like by tag, role or style never count. Names in class and id
 count as a whole: a name all of whose words are marks or fillers (`comment-list`, `user-feedback`) excludes its element, one with another
@@ -58,13 +58,15 @@ EXCLUDED_ROLES = frozenset("navigation banner contentinfo complementary search d
 #: Words in class and id that mark what is not the article.
 MARKS = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead topbar footer colophon sidebar aside widget ad ads adv advert adverts advertisement advertising adsense sponsor sponsored "
-    "sponsors promo promotion popup modal overlay lightbox cookie cookies consent gdpr notice disclaimer newsletter subscribe subscription signup signin login register sharing share social "
+    "sponsors promo promotion popup modal overlay lightbox banner banners cookie cookies consent gdpr notice notices announcement disclaimer newsletter subscribe subscription signup signin login register sharing share social "
     "related recommended recommendations trending popular pagination pager toolbar copyright taboola outbrain".split()
 )
 #: Words that say that readers wrote it.
 REMARKS = frozenset("comment comments commentlist disqus discussion reply replies respond responses reactions feedback guestbook".split())
 #: Words that go with a mark without changing what it says.
-FILLERS = frozenset("site page list item items area box block bar wrapper wrap container section sections holder inner outer top bottom left right main global user users reader readers visitor links link buttons icons banner primary secondary thread post article header".split())
+FILLERS = frozenset("site page list item items area box block bar wrapper wrap container section sections holder inner outer top bottom left right main global user users reader readers visitor links link buttons icons primary secondary thread post posts article articles stories news reading content".split())
+#: With one of these a header is that of a text, not of the site.
+TEXT_HEADERS = frozenset(("post", "posts", "article", "articles", "page", "section", "content", "news"))
 #: Words in class and id of what shows who wrote a remark, and when.
 BYLINE = frozenset("author avatar byline commenter username user nick date time timestamp posted reply says".split())
 HOMES = frozenset(("article", "main"))
@@ -74,15 +76,16 @@ HOME_WEIGHT = 2.2
 WEAK_WEIGHT = 0.5
 FRAME_SHARE = 0.6
 SIBLING_SHARE = 0.2
+HEAD_CHARS = 300
 MAX_LINK_DENSITY = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "at", "out", "mark", "home", "in_home", "name", "byline", "points", "text", "linked", "children")
+    __slots__ = ("tag", "parent", "at", "out", "mark", "home", "in_home", "name", "byline", "titled", "points", "text", "linked", "children")
 
     def __init__(self, tag: str, parent: Node | None, at: int):
         self.tag, self.parent, self.at = tag, parent, at
-        self.out = self.home = self.byline = False
+        self.out = self.home = self.byline = self.titled = False
         self.in_home = parent is not None and (parent.home or parent.in_home)
         self.mark = 0  # 1 by one of several words, 2 by a whole name, 3 by a name that says that readers wrote it
         self.name = ""
@@ -232,17 +235,28 @@ def parse(page: str) -> tuple[Node, list[Node], list[Block]]:
     return root, nodes, blocks
 
 
-def named(value: str) -> int:
-    """What a class or id says: 0 nothing, 1 a mark among other words, 2 a mark, 3 that readers wrote it."""
+def named(value: str, of_site: bool = False) -> int:
+    """What a class or id says: 0 nothing, 1 a mark among other words, 2 a mark, 3 that readers wrote it. ``of_site``: a header here is the site's."""
     out = 0
     for name in value.split():
         words = {w.lower() for w in WORDS.findall(name)}
-        if words & (MARKS | REMARKS):
-            whole = words <= MARKS | REMARKS | FILLERS
+        header = {"header"} if of_site and not words & TEXT_HEADERS else set()
+        if words & (MARKS | REMARKS | header):
+            whole = words <= MARKS | REMARKS | FILLERS | header
             out = max(out, 1 if not whole else 3 if words & REMARKS else 2)
     return out
 
 
+def near_the_top(node: Node) -> bool:
+    """Whether a block stands in the page's body or in a frame right in it."""
+    up = node.parent
+    for _ in range(2):
+        if up is None or up.tag in ("body", "html", ""):
+            return True
+        up = up.parent
+    return False
+
+
 def mark(node: Node, attributes: str) -> None:
     """Sets what tag and attributes say."""
     node.out = node.tag in EXCLUDED or (node.tag == "header" and not node.in_home)
@@ -253,7 +267,7 @@ def mark(node: Node, attributes: str) -> None:
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if name in ("class", "id"):
             if node.tag not in ("html", "body", "main", "p", *HEADING):
-                node.mark = max(node.mark, named(value))
+                node.mark = max(node.mark, named(value, of_site=not node.in_home and near_the_top(node)))
             if name == "class":
                 node.name = value
             node.byline |= bool(BYLINE & {w.lower() for w in WORDS.findall(value)})
@@ -344,6 +358,7 @@ def choose(nodes: list[Node], blocks: list[Block]) -> Node | None:
     for b in blocks:
         b.owner.text += len(b.text)
         b.owner.linked += b.linked
+        b.owner.titled |= b.owner.tag in HEADING
         points = points_of(b) * (WEAK_WEIGHT if weak[b.owner.at] else 1.0)
         # running text right in a container gives to it as a paragraph does to its parent
         up = b.owner.parent if b.owner.tag in ("p", "pre", "li", "td", "th", "dd", "dt", "blockquote") and b.owner.parent is not None else b.owner
@@ -355,6 +370,7 @@ def choose(nodes: list[Node], blocks: list[Block]) -> Node | None:
         if node.parent is not None:
             node.parent.text += node.text
             node.parent.linked += node.linked
+            node.parent.titled |= node.titled
     return max((n for n in nodes if n.points > 0), key=lambda n: (value(n), -n.at), default=None)
 
 
@@ -375,8 +391,8 @@ def keep_siblings(best: Node) -> set[int]:
     for node in best.parent.children:
         if node.out or node is best:
             continue
-        if node.tag in HEADING or node.tag == "header":
-            good = node.at < best.at
+        if node.tag in HEADING or node.tag == "header" or (node.titled and node.text <= HEAD_CHARS and node.at < best.at):
+            good = node.at < best.at and not node.mark
         elif node.tag in ("p", "pre", "blockquote"):
             good = node.text > 0 and density(node) <= MAX_LINK_DENSITY / 2
         else:

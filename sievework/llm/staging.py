@@ -61,7 +61,7 @@ def stage_by_key(df: DataFrame, key: str, name: str) -> DataFrame:
     other side."""
     spark = df.sparkSession
     path, table = _place(spark, name), f"sievework_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     with _tidy(spark):
         df.repartition(buckets, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
     _written.append((spark, path, table))

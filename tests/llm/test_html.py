@@ -45,6 +45,15 @@ CASES = {
     "dated sections": (page("<article>" + f"<section><h2>S</h2><p><time>1990</time></p><p>{LONG}</p></section>" * 2 + "</article>"), ["S", "1990", LONG] * 2),
     "heading of links": (page(f"<article><h1>T</h1><p>{LONG}</p><h3>Related</h3><ul><li><a href=a>one thing</a></li><li><a href=b>two</a></li></ul></article>"), ["T", LONG]),
     "links between running text": (page(f"<article><p>{LONG}</p><ul><li><a href=a>one thing</a></li></ul><p>{OTHER}</p></article>"), [LONG, "one thing", OTHER]),
+    "a blog's page": (
+        page(
+            f"<div id=page class=site><div class='site-header'><h1>My site</h1><p>{OTHER}</p></div><div id=content class='site-content'><div id=primary class='content-area'><div class='post hentry'>"
+            f"<div class='post-header'><h1>Title</h1></div><div class='entry-content'><p>{LONG}</p><div class='sponsored-content'><p>{OTHER}</p></div><h2>Part</h2><p>{OTHER}</p></div><div class='entry-footer'><a href=t>tag</a> <a href=u>tags</a></div></div>"
+            f"<div class='related-posts'><h3>Related</h3><p>{OTHER}</p></div><div id=comments class='comments-area'><h2>2 thoughts</h2><ol class='comment-list'><li class=comment><p>{OTHER}</p></li></ol></div></div>"
+            f"<div id=secondary class='widget-area'><p>{OTHER}</p></div></div></div>"
+        ),
+        ["Title", LONG, "Part", OTHER],
+    ),
     "frame": (page(f"<div class='widget'><div><p>{LONG}</p><p>{OTHER}</p></div></div><div class=sidebar><p>side text here</p></div>"), [LONG, OTHER]),
     "equal containers": (page(f"<section><div><p>{LONG}</p></div><div class=right-box><p>{LONG}</p></div></section>"), [LONG, LONG]),
     "header with the title": (page(f"<article><header><h1>T</h1></header><div class=body><p>{LONG}</p><p>{OTHER}</p></div></article>"), ["T", LONG, OTHER]),
