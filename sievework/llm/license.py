@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quality import bound
 from .staging import pick
 
 #: Spellings that licence matching treats as equal, the second for the first.
@@ -179,17 +180,32 @@ def _wide(words: str) -> str:
     return f" {words.replace(' ', '  ')} "
 
 
+def _any_spelling() -> str:
+    """A pattern for any spelling, by first letters, so that most words are passed over at their first."""
+    by_letter: dict[str, list[str]] = {}
+    for old in SPELLINGS:
+        by_letter.setdefault(old[0], []).append(old[1:].replace(" ", "  "))
+    return " (?:" + "|".join(f"{c}(?:{'|'.join(ends)})" for c, ends in by_letter.items()) + ") "
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; null where nothing is left."""
-    body = F.regexp_replace(text, "(?dim)" + COPYRIGHT_LINE, "")
-    untitled = F.regexp_replace(body, TITLE, "")
-    out = F.lower(F.when(untitled.rlike(LETTER), untitled).otherwise(body))
-    out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
-    spelt = out
-    for old, new in SPELLINGS.items():
-        spelt = F.replace(spelt, F.lit(_wide(old)), F.lit(f" {new} "))
-    out = F.when(out.rlike("|".join(map(_wide, SPELLINGS))), spelt).otherwise(out)
-    return F.nullif(F.trim(F.regexp_replace(out, " +", " ")), F.lit(""))
+
+    def untitled(body: Column) -> Column:
+        return F.when(body.rlike(TITLE), bound(F.regexp_replace(body, TITLE, ""), lambda rest: F.when(rest.rlike(LETTER), rest).otherwise(body))).otherwise(body)
+
+    def spelt(wide: Column) -> Column:
+        out = wide
+        for old, new in SPELLINGS.items():
+            out = F.replace(out, F.lit(_wide(old)), F.lit(f" {new} "))
+        return F.when(wide.rlike(_any_spelling()), out).otherwise(wide)
+
+    def form(body: Column) -> Column:
+        return F.concat(F.lit(" "), F.regexp_replace(F.lower(untitled(body)), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+
+    wide = bound(F.regexp_replace(text, "(?dim)" + COPYRIGHT_LINE, ""), form)
+    out = F.replace(bound(wide, spelt), F.lit("  "), F.lit(" "))
+    return F.nullif(F.trim(out), F.lit(""))
 
 
 def digest(text: Column) -> Column:
