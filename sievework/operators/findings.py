@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import basename, graded_confidence, line_numbers, normalize_severity
+from sievework.functions.text import graded_confidence, line_numbers, normalize_severity
 
 #: Fields of a classifier's finding that are carried along only where they are there.
 OPTIONAL = ("fix", "is_vulnerable", "matched_patterns", "match_lines", "cross_check")
