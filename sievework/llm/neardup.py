@@ -184,12 +184,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = nodes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("own"), "buckets", "sketch")
     placed = stage(placed, "placed")
     held = placed.select("own", F.explode("buckets").alias("bucket")).groupBy("bucket", "own").agg(F.lit(1).alias("one"))
-    mixed = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
+    mixed = stage(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket"), "mixed")
     groups = stage(held.join(mixed, "bucket").select("own").distinct(), "groups")  # read back, it joins as a plain side, and a hot group can be split
-    members = stage(placed.join(groups, "own", "left_semi"), "members").select("rep", "n", "own", "sketch", F.explode("buckets").alias("bucket"))
-    x, y = members.alias("x"), members.alias("y")
+    members = stage(placed.join(groups, "own", "left_semi"), "members")
+    marks = F.transform("buckets", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int")).alias("marks")
+    seats = members.select("rep", F.posexplode("buckets").alias("band", "bucket")).join(mixed, "bucket")  # of their buckets only those where groups meet
+    sides = stage(seats.join(members.select("rep", "n", "own", "sketch", marks), "rep"), "sides")
+    x, y = sides.alias("x"), sides.alias("y")
     apart = F.expr("x.bucket = y.bucket and x.rep < y.rep and x.own != y.own") & _sizes("x.n", "y.n") & F.expr(f"{_agreement('x.sketch', 'y.sketch')} >= {AGREE}")
-    pairs = x.join(y, apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    # only in the first band that they share, or a pair is made up to BANDS times; two marks of 31 bits are equal by chance in 1 of 2^31 cases
+    once = F.array_position(F.zip_with("x.marks", "y.marks", lambda p, q: p == q), True) == F.col("x.band") + 1
+    pairs = x.join(y, apart & once).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     new = _verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), docs)
     if not new.where("linked").isEmpty():
         label = connected_components(tested.union(new).where("linked").select("a", "b"))
