@@ -12,8 +12,10 @@ mean over its tokens of the target's loss less the background's: low where a tex
 
 Counts grow with the input, so no task and not the driver holds them all. Texts are packed into chunks, one row each. A chunk
 sends its distinct n-grams, sorted and cut into ranges of the hash, with its own counts; the task of a range adds up all chunks'
-and answers each with the sums, in the order of its question. The chunk, joined with its answers, makes the same sorted
-list again and scores its texts. A frequent n-gram is one entry a chunk, however often it stands in it.
+and answers each with the sums, in the order of its question. The chunk, followed by its answers, makes the same sorted
+list again and scores its texts. A frequent n-gram is one entry a chunk, however often it stands in it. A task holds one chunk
+with its answers, or one range, whatever the number of partitions: rows reach Python in batches of BATCH_BYTES, chunks are
+written in row groups of GROUP_BYTES, the words of a chunk are hashed a few texts at a time and a range is added up in pieces.
 
 Edge cases: a text without words (null, empty) has 0 tokens and null losses and score; without wanted texts the
 background too is scaled to nothing, and all scores are 0; repeated rows count as often as they stand; a null id is never wanted; an empty table gives an empty result;
@@ -22,6 +24,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,24 +33,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import pick, stage
-from .textkernel import U64, Words, mix, word_chunks
+from .staging import mark, pick, release, stage
+from .textkernel import U64, mix, word_chunks
 
 MU = 4.0
 ALPHA = 0.1
 CHUNK = 4 << 20
 RANGES = 256
+PIECE = 1 << 19
+BATCH_BYTES = 8 << 20
+GROUP_BYTES = 16 << 20
 BROADCAST_IDS = 1_000_000
 LOSSES = "n_tokens long, target_loss double, background_loss double"
 
 
-def tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(words: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unigrams (even), bigrams of a word and the one before (odd), and which words have none before them."""
-    pair = np.zeros(len(words.hash), U64)
-    pair[1:] = mix(words.hash[:-1] * U64(0x9E3779B97F4A7C15) + words.hash[1:], 71) | U64(1)
+    pair = np.zeros(len(words), U64)
+    pair[1:] = mix(words[:-1] * U64(0x9E3779B97F4A7C15) + words[1:], 71) | U64(1)
     first = np.zeros(len(pair) + 1, bool)
-    first[words.bound] = True
-    return words.hash & ~U64(1), pair, first[:-1]
+    first[bound] = True
+    return words & ~U64(1), pair, first[:-1]
 
 
 def _chunks(batches):
@@ -82,17 +89,17 @@ def packed(values: np.ndarray) -> bytes:
 
 def unpacked(data: bytes, n: int, kind=np.int64) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(data, n * 8, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).view(kind).reshape(n)
+    return planes.reshape(8, n).T.copy(order="C").view(kind).reshape(n)
 
 
 class Chunk:
     """A chunk's texts as tokens, and its distinct n-grams in order with the places of the tokens' own."""
 
     def __init__(self, texts: pa.Array):
-        ((_, _, words),) = word_chunks(texts, lower=True, chunk=1 << 62)
-        self.size = np.diff(words.bound)
-        self.bound = words.bound
-        one, pair, self.first = tokens(words)
+        parts = [(words.hash, np.diff(words.bound)) for _, _, words in word_chunks(texts, lower=True)]
+        self.size = np.concatenate([size for _, size in parts])
+        self.bound = np.append(0, np.cumsum(self.size))
+        one, pair, self.first = tokens(np.concatenate([words for words, _ in parts]), self.bound)
         self.keys, at = np.unique(np.concatenate([one, pair[~self.first]]), return_inverse=True)
         self.one, self.pair = at[: len(one)], np.zeros(len(one), np.int64)
         self.pair[~self.first] = at[len(one) :]
@@ -101,19 +108,27 @@ class Chunk:
         at = np.concatenate([self.one[chosen], self.pair[chosen & ~self.first]])
         return np.bincount(at, minlength=len(self.keys))
 
-    def own(self, places: np.ndarray) -> np.ndarray:
-        """Per token how often the n-gram at ``places`` stands in the token's own text."""
-        text = np.repeat(np.arange(len(self.size)), self.size)
-        _, at, n = np.unique(text * np.int64(len(self.keys) + 1) + places, return_inverse=True, return_counts=True)
-        return n[at]
+    @cached_property
+    def places(self) -> np.ndarray:
+        """Per token its bigram's place, or one past the last."""
+        return np.where(self.first, len(self.keys), self.pair)
+
+    @cached_property
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per token how often its word, and its bigram, stands in its own text."""
+        text = np.repeat(np.arange(len(self.size)), self.size) * np.int64(len(self.keys) + 1)
+        out = []
+        for places in (self.one, self.places):
+            _, at, n = np.unique(text + places, return_inverse=True, return_counts=True)
+            out.append(n[at])
+        return out[0], out[1]
 
     def losses(self, counts: np.ndarray, scale: float, total: int, vocabulary: int, without: np.ndarray) -> np.ndarray:
         """Per token in nats, from ``counts`` by n-gram of ``total`` tokens; of the texts marked in ``without`` the own counts
         are taken out first. All is scaled then."""
         out = np.repeat(without, self.size)
-        places = np.where(self.first, len(self.keys), self.pair)
-        single = (counts[self.one] - out * self.own(self.one)) * scale
-        double = (np.append(counts, 0)[places] - out * ~self.first * self.own(places)) * scale
+        single = (counts[self.one] - out * self.own[0]) * scale
+        double = (np.append(counts, 0)[self.places] - out * ~self.first * self.own[1]) * scale
         # the word before stands in the same text, and is counted there as often
         rest = (total - np.repeat(without * self.size, self.size)) * scale
         p = (single + ALPHA) / (rest + ALPHA * vocabulary)
@@ -150,17 +165,30 @@ def _answers(batches):
     held: list[dict] = []
 
     def flush():
-        bound = np.cumsum([0, *(r["n"] for r in held)])
-        keys = np.concatenate([np.cumsum(unpacked(r["keys"], r["n"], U64), dtype=U64) for r in held])
-        distinct, at = np.unique(keys, return_inverse=True)
-        for r in held:
-            r["n_words"] = 0
-        held[0]["n_words"] = int((distinct & U64(1) == 0).sum())
-        for c in ("target", "background"):
-            sums = np.bincount(at, np.concatenate([unpacked(r[c], r["n"]) for r in held])).astype(np.int64)[at]
-            for k, r in enumerate(held):
-                r[c] = packed(sums[bound[k] : bound[k + 1]])
-        return pa.RecordBatch.from_pylist([{c: r[c] for c in ANSWER.names} for r in held], ANSWER)
+        keys = [np.cumsum(unpacked(r.pop("keys"), r["n"], U64), dtype=U64) for r in held]
+        n_words = 0
+        values = {c: [unpacked(r.pop(c), r["n"]) for r in held] for c in ("target", "background")}
+        low, high = min(int(k[0]) for k in keys), max(int(k[-1]) for k in keys)
+        pieces = sum(map(len, keys)) // PIECE + 1
+        # equal n-grams fall into one piece, as all rows are cut at the same hashes
+        cuts = np.array([low + (high - low) * i // pieces for i in range(1, pieces)], U64)
+        ends = np.array([[*np.searchsorted(k, cuts), len(k)] for k in keys])
+        begins = np.zeros(len(keys), np.int64)
+        for end in ends.T:
+            distinct, at = np.unique(np.concatenate([k[a:b] for k, a, b in zip(keys, begins, end, strict=True)]), return_inverse=True)
+            n_words += int((distinct & U64(1) == 0).sum())
+            bound = np.cumsum([0, *(end - begins)])
+            for c in values.values():
+                sums = np.zeros(len(distinct), np.int64)
+                np.add.at(sums, at, np.concatenate([v[a:b] for v, a, b in zip(c, begins, end, strict=True)]))
+                sums = sums[at]
+                for k, (a, b) in enumerate(zip(begins, end, strict=True)):
+                    c[k][a:b] = sums[bound[k] : bound[k + 1]]
+            begins = end
+        del keys
+        for k, r in enumerate(held):
+            r |= {c: packed(v[k]) for c, v in values.items()} | {"n_words": 0 if k else n_words}
+        return pa.RecordBatch.from_pylist(held, ANSWER)
 
     for batch in batches:
         for r in batch.to_pylist():
@@ -183,28 +211,45 @@ def score(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col:
     marked = source.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left").select("doc_id", "text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
     key = source.schema["doc_id"].dataType
     kinds = T.StructType([T.StructField("ids", T.ArrayType(key)), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("wanted", T.ArrayType(T.BooleanType()))])
-    chunks = stage(marked.mapInArrow(_chunks, kinds).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    since = mark()
+    groups = {"parquet_block_size": GROUP_BYTES}
+    chunks = stage(marked.mapInArrow(_chunks, kinds).withColumn("chunk", F.monotonically_increasing_id()), "chunks", BATCH_BYTES, **groups, parquet_page_size_row_check_min=1)
     bits = max(RANGES, chunks.count() // 4).bit_length() - 1
     asked = chunks.select("chunk", "texts", "wanted").mapInArrow(_questions(bits), _ddl(QUESTION))
-    answers = stage(asked.repartition("part").sortWithinPartitions("part").mapInArrow(_answers, _ddl(ANSWER)), "answers")
+    answers = stage(asked.repartition("part").sortWithinPartitions("part").mapInArrow(_answers, _ddl(ANSWER)), "answers", BATCH_BYTES, **groups)
     *total, vocabulary = [x or 0 for x in answers.agg(F.sum("n_target"), F.sum("n_background"), F.sum("n_words")).first()]
     scale = (1.0, total[0] / total[1] if total[1] else 1.0)
 
+    def scores(row: pa.RecordBatch, replies: list[tuple]) -> pa.RecordBatch:
+        ids, texts, wanted = (row.column(c)[0].values for c in ("ids", "texts", "wanted"))
+        chunk = Chunk(texts)
+        wanted = wanted.to_numpy(zero_copy_only=False).astype(bool)
+        mean = []
+        for k in range(2):
+            counts = np.concatenate([np.zeros(0, np.int64), *(unpacked(r[k + 1], r[0]) for r in replies)])
+            losses = chunk.losses(counts, scale[k], total[k], vocabulary, wanted | bool(k)) if len(counts) else np.zeros(0)
+            sums = np.append(0.0, np.cumsum(losses))
+            mean.append(pa.array((sums[chunk.bound[1:]] - sums[chunk.bound[:-1]]) / np.maximum(chunk.size, 1), mask=chunk.size == 0))
+        return pa.RecordBatch.from_arrays([ids, pa.array(chunk.size.astype(np.int64)), *mean], ["key", "n_tokens", "target_loss", "background_loss"])
+
     def run(batches):
+        row, replies = None, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = Chunk(batch.column(1)[i].values)
-                replies = sorted(batch.column(2)[i].as_py() or (), key=lambda r: r["part"])
-                wanted = batch.column(3)[i].values.to_numpy(zero_copy_only=False).astype(bool)
-                mean = []
-                for k, c in enumerate(("target", "background")):
-                    counts = np.concatenate([np.zeros(0, np.int64), *(unpacked(r[c], r["n"]) for r in replies)])
-                    losses = chunk.losses(counts, scale[k], total[k], vocabulary, wanted | bool(k)) if len(counts) else np.zeros(0)
-                    sums = np.append(0.0, np.cumsum(losses))
-                    mean.append(pa.array((sums[chunk.bound[1:]] - sums[chunk.bound[:-1]]) / np.maximum(chunk.size, 1), mask=chunk.size == 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i].values, pa.array(chunk.size.astype(np.int64)), *mean], ["key", "n_tokens", "target_loss", "background_loss"])
+            reply = [batch.column(c) for c in ("n", "target", "background")]
+            for i, part in enumerate(batch.column("part").to_pylist()):
+                if part >= 0:
+                    replies.append(tuple(c[i].as_py() for c in reply))
+                    continue
+                if row:
+                    yield scores(row, replies)
+                row, replies = batch.slice(i, 1), []
+        if row:
+            yield scores(row, replies)
 
     schema = T.StructType([T.StructField("key", key), *T._parse_datatype_string(LOSSES).fields])
-    replies = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "n", "target", "background")).alias("replies"))
-    scored = chunks.join(replies, "chunk", "left").select("ids", "texts", "replies", "wanted").mapInArrow(run, schema)
+    questions = chunks.select("chunk", F.lit(-1).cast("long").alias("part"), "ids", "texts", "wanted")
+    parts = questions.unionByName(answers.select("chunk", "part", "n", "target", "background"), allowMissingColumns=True)
+    until = mark()
+    scored = stage(parts.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(run, schema), "scores", BATCH_BYTES)
+    release(since, until)
     return scored.withColumnRenamed("key", id_col).withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str, str | None]] = []
 #: Shuffle files of a query go when it ends and not whenever the driver next collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What is handed to Python at once.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,30 +30,37 @@ def shared_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _tidy(spark: SparkSession):
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def _tidy(spark: SparkSession, batch: int | None = None):
+    wanted = {CLEANUP: "true"} | ({BATCH: str(batch)} if batch else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/sievework/{uuid.uuid4().hex}-{name}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, batch: int | None = None, **options: int) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Every executor can read the files, so a lost executor costs a re-read and not a recomputation.
-    The folder goes when the Python driver ends, or with ``release``.
+    The folder goes when the Python driver ends, or with ``release``. ``batch``: bytes that Python gets at once, one row at
+    least; ``options`` go to the writer, with dots for underscores.
     """
     spark = df.sparkSession
     path = _place(spark, name)
     schema = df.schema
-    with _tidy(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    with _tidy(spark, batch):
+        df.write.options(**{k.replace("_", "."): v for k, v in options.items()}).option("compression", "zstd").parquet(path)
     _written.append((spark, path, None))
     return spark.read.schema(schema).parquet(path)
 

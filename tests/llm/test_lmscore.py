@@ -1,8 +1,10 @@
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievework.llm import lmscore
@@ -91,3 +93,49 @@ def test_texts_that_stand_twice_score_apart(spark):
     ours = [r.score for r in got if r.doc_id >= 10**9]
     rest = sorted(r.score for r in got if r.doc_id < 10**9 and r.score is not None)
     assert sum(x > rest[int(0.95 * len(rest))] for x in ours) >= 0.9 * len(ours)
+
+
+def peak(run):
+    """What ``run`` returns, and the most bytes that it held at once."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_range_is_added_up_in_pieces():
+    """Sums of a large range are exact, and take little more room than its keys and counts."""
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 1 << 56, 400_000, dtype=np.uint64))
+    rows, total = [], Counter()
+    for k in range(12):
+        keys = np.sort(rng.choice(pool, 200_000, replace=False))
+        counts = rng.integers(1, 9, len(keys))
+        rows.append((0, k, len(keys), lmscore.packed(np.diff(keys, prepend=np.uint64(0))), lmscore.packed(counts // 2), lmscore.packed(counts), 0, 0, keys, counts))
+        total.update(dict(zip(keys.tolist(), counts.tolist())))
+    batch = pa.RecordBatch.from_pylist([dict(zip(lmscore.QUESTION.names, r)) for r in rows], lmscore.QUESTION)
+    ((out,), most) = peak(lambda: list(lmscore._answers(iter([batch]))))
+    assert most < 47 * sum(r[2] for r in rows)
+    assert sum(out.column("n_words").to_pylist()) == sum(k % 2 == 0 for k in total)
+    for r, got in zip(rows, out.to_pylist()):
+        assert got["chunk"] == r[1] and lmscore.unpacked(got["background"], got["n"]).tolist() == [total[k] for k in r[8].tolist()]
+
+
+def test_a_chunk_is_hashed_a_few_texts_at_a_time():
+    texts = pa.array([" ".join(["extraordinarily unquestionable"] * 600)] * 250)
+    chunk, most = peak(lambda: lmscore.Chunk(texts))
+    assert len(chunk.size) == 250 and set(chunk.size.tolist()) == {1200} and len(chunk.keys) == 4
+    assert most < 15 * texts.nbytes
+
+
+def test_python_gets_few_chunks_at_once(spark, monkeypatch):
+    """All three stages limit what reaches Python at once, whatever a partition holds."""
+    seen = []
+    real = lmscore.stage
+    monkeypatch.setattr(lmscore, "stage", lambda df, name, *a, **b: seen.append((name, df.schema, a)) or real(df, name, *a, **b))
+    rows = [(i, " ".join(f"w{i * 7 % 90}x{k}" for k in range(30))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)
+    assert lmscore.score(docs, docs.select("doc_id").limit(9)).count() == 90
+    assert [name for name, _, _ in seen] == ["chunks", "answers", "scores"]
+    assert all(a == (lmscore.BATCH_BYTES,) for _, _, a in seen)
