@@ -235,3 +235,31 @@ def test_no_pattern_runs_away():
         began = time.perf_counter()
         R.scan_code(text)
         assert time.perf_counter() - began < 5
+
+
+def test_every_rule_is_tried_where_it_can_match(monkeypatch):
+    """Rules are picked by the words of a text: the same hits as when all are tried."""
+    texts = ["\n".join(("void f() {", *some, "}", "", " " * 50)) for some in ([*HITS.values()], [*MISSES.values()], ["paſſword = 'x'; // gets(", 'paſſword = "abcd";', "xgets(a); gets_(b);", 'R"x(', "gets(a);"])]
+    for code in [*texts, *HITS.values(), *MISSES.values(), *(x.upper() for x in HITS.values())]:
+        monkeypatch.undo()
+        got = R.scan_code(code), R.scanned_spans(code)
+        monkeypatch.setattr(R, "_rules_in", lambda text: set(range(len(R.CODE_RULES))))
+        assert got == (R.scan_code(code), R.scanned_spans(code))
+
+
+def test_text_without_a_rules_words_costs_little():
+    """Next to finding the functions, not 52 searches of every text."""
+    code = "int f(int n)\n{\n  return n + 1;\n}\n" * 4000 + "/* " + "a comment of many words\n" * 60000 + " */"
+    took = []
+    for call in (L.function_spans, R.scanned_spans):
+        began = time.process_time()
+        got = call(code)
+        took.append(time.process_time() - began)
+    assert got == [] and took[1] < 4 * took[0] + 0.5
+
+
+def test_long_blanks_take_time_in_proportion():
+    code = "void f(char *a, char *b) {\n  strncpy(a, b, 4); /* " + "word " * 20000 + "*/\n  a[3] = 0;\n}\n"
+    began = time.process_time()
+    assert R.scanned_spans(code) == [] and R.scanned_spans(code.replace("a[3]", "c[3]")) == [(1, 4, [("strncpy_no_nul", 2)])]
+    assert time.process_time() - began < 2
