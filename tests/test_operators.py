@@ -460,3 +460,12 @@ def test_stream_gives_the_rows_of_the_batch(spark):
     q.awaitTermination(120)
     key = ["doc_id", "line_no", "rule"]
     assert sorted(map(tuple, spark.table("hits").select(key).collect())) == sorted(map(tuple, scan_stream(docs, "doc_id").select(key).collect()))
+
+
+def test_findings_leave_their_code_behind_when_told(spark):
+    from sievework.operators import rules
+
+    files = spark.createDataFrame([("a.c", "void f(char *s) {\n  gets(s);\n}\n/* long */\n"), ("b.c", "int a;"), ("c.c", None)], "path string, text string")
+    with_code, without = rules.scan_findings(files), rules.scan_findings(files, snippet=False)
+    assert [r["snippet"] for r in with_code.collect()] == ["void f(char *s) {\n  gets(s);\n}"] and [r["snippet"] for r in without.collect()] == [None]
+    assert with_code.drop("snippet").collect() == without.drop("snippet").collect() and rules.explained(with_code).drop("snippet").collect() == rules.explained(without).drop("snippet").collect()
