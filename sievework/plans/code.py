@@ -119,7 +119,7 @@ SELECT path AS file, a::INTEGER AS start_line, b::INTEGER AS end_line, matched_p
 )
 def code_findings(spark, sf_dir):
     """One finding for each function and stretch, from medium up."""
-    out = R.scan_findings(sources(spark, sf_dir), floor="medium")
+    out = R.scan_findings(sources(spark, sf_dir), floor="medium", snippet=False)
     return out.select("file", "start_line", "end_line", F.array_join("matched_patterns", ",").alias("matched_patterns"), "cwe", "severity", F.array_join(F.col("match_lines").cast("array<string>"), ",").alias("match_lines"), "score")
 
 

@@ -469,3 +469,14 @@ def test_findings_leave_their_code_behind_when_told(spark):
     with_code, without = rules.scan_findings(files), rules.scan_findings(files, snippet=False)
     assert [r["snippet"] for r in with_code.collect()] == ["void f(char *s) {\n  gets(s);\n}"] and [r["snippet"] for r in without.collect()] == [None]
     assert with_code.drop("snippet").collect() == without.drop("snippet").collect() and rules.explained(with_code).drop("snippet").collect() == rules.explained(without).drop("snippet").collect()
+
+
+@pytest.mark.parametrize("name", ["code_findings", "explained_findings"])
+def test_queries_that_read_no_code_ask_for_none(spark, monkeypatch, name):
+    from sievework.operators import rules
+    from sievework.plans import code
+
+    asked, real = [], rules.scan_findings
+    monkeypatch.setattr(rules, "scan_findings", lambda *a, **k: asked.append(k.get("snippet", True)) or real(*a, **k))
+    getattr(code, name)(spark, "/root/testdata/sf0.001")
+    assert asked == [False]
